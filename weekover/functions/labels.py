@@ -1,12 +1,9 @@
-"""Tags and bins computed from one row."""
+"""Tags and bins computed from one row, as SQL expressions."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # First hour after each daypart, and its name.
 DAYPARTS = ((6, "late_night"), (12, "morning"), (15, "lunch"), (18, "afternoon"), (24, "dinner"))
 
@@ -22,40 +19,34 @@ DELAYED_MINUTES = 10
 HIGH_DELAY_MINUTES = 12
 MEDIUM_DELAY_MINUTES = 8
 
+COUPON_PRESENT = "(coupon_code IS NOT NULL AND coupon_code != '')"
+
 
-def daypart(hour: Column) -> Column:
-    tag = F.lit(None).cast("string")
-    for upper, name in reversed(DAYPARTS):
-        tag = F.when(hour < upper, name).otherwise(tag)
-    return tag
+def daypart(hour: str) -> str:
+    bins = " ".join(f"WHEN {hour} < {upper} THEN '{name}'" for upper, name in DAYPARTS)
+    return f"CASE {bins} END"
 
 
-def cluster_slug(label: Column, known: Sequence[str], default: str) -> Column:
+def cluster_slug(label: str, known: Sequence[str], default: str) -> str:
     """Normalised cluster name; labels of no known cluster give the default one."""
-    slug = F.regexp_replace(F.lower(label), "[ +]", "_")
-    return F.when(slug.isin(list(known)), slug).otherwise(F.lit(default))
+    slug = f"regexp_replace(lower({label}), '[ +]', '_')"
+    names = ", ".join(f"'{name}'" for name in known)
+    return f"if({slug} IN ({names}), {slug}, '{default}')"
 
 
-def direction(value: Column, inverted: Column | bool = False, band: float = 0.0) -> Column:
+def direction(value: str, inverted: str = "FALSE", band: float = 0.0) -> str:
     """``pos``, ``neg``, ``neu`` or ``na``; for inverted metrics a fall is good."""
-    inverted = F.lit(inverted) if isinstance(inverted, bool) else inverted
-    neutral = F.abs(value) < band if band else value == 0
-    good = F.when(inverted, value < 0).otherwise(value > 0)
+    neutral = f"abs({value}) < {band}D" if band else f"{value} = 0"
+    good = f"if({inverted}, {value} < 0, {value} > 0)"
     return (
-        F.when(value.isNull() | F.isnan(value), "na")
-        .when(neutral, "neu")
-        .when(good, "pos")
-        .otherwise("neg")
+        f"CASE WHEN {value} IS NULL OR isnan({value}) THEN 'na' WHEN {neutral} THEN 'neu' "
+        f"WHEN {good} THEN 'pos' ELSE 'neg' END"
     )
 
 
-def status_tier(orders: Column, critical: int = CRITICAL_ORDERS, warning: int = WARNING_ORDERS) -> Column:
-    return F.when(orders > critical, "CRITICAL").when(orders > warning, "WARNING").otherwise("NORMAL")
-
-
-def delay_severity(minutes: Column) -> Column:
-    return F.when(minutes > HIGH_DELAY_MINUTES, "high").when(minutes > MEDIUM_DELAY_MINUTES, "medium")
+def status_tier(orders: str, critical: int = CRITICAL_ORDERS, warning: int = WARNING_ORDERS) -> str:
+    return f"CASE WHEN {orders} > {critical} THEN 'CRITICAL' WHEN {orders} > {warning} THEN 'WARNING' ELSE 'NORMAL' END"
 
 
-def coupon_present(code: Column) -> Column:
-    return code.isNotNull() & (code != "")
+def delay_severity(minutes: str) -> str:
+    return f"CASE WHEN {minutes} > {HIGH_DELAY_MINUTES} THEN 'high' WHEN {minutes} > {MEDIUM_DELAY_MINUTES} THEN 'medium' END"

@@ -2,166 +2,150 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekover.functions.labels import daypart
-from weekover.functions.numeric import MONEY, change, growth_pct, ratio, rounded
-from weekover.metrics import HOURLY_METRICS, RATE_METRICS, TRAFFIC_MEASURES, hourly_columns
+from weekover.functions.numeric import aliased, change, growth_pct, percent, ratio, rounded
+from weekover.metrics import RATE_METRICS, TRAFFIC_MEASURES, hourly_columns
 from weekover.operators import facts, filters, traffic
 from weekover.params import ReportParams
 from weekover.sources.inputs import ReportInputs
 
 TOTAL = "Overall"
+COUNTS = ("total_opd", "lw_opd", *TRAFFIC_MEASURES)
 KPIS = ("total_opd", "ob_pct", "amv", "cdpo_po", "sdpo_po", "rdpo_po", "total_platform_po", "targeted_po", "special_po")
 
 
 def side_by_side(kpis: DataFrame, params: ReportParams) -> DataFrame:
     """Both days of an hour in one row, in one aggregation; hours without today drop out."""
     days = {"tw": params.today, "lw": params.last_week}
-    wide = kpis.groupBy("cluster", "hr").agg(
-        *[
-            F.max(F.when(F.col("dt") == F.lit(day), F.col(name))).alias(f"{side}_{name}")
-            for side, day in days.items()
-            for name in KPIS
-        ]
-    )
-    return wide.where(F.col("tw_total_opd").isNotNull())
-
-
-def conversion(sessions: str, converted: str) -> Column:
-    """Unrounded conversion in percent."""
-    return ratio(F.col(converted), F.col(sessions)) * 100
-
-
-def _traffic_columns(cvr: Column, lw_cvr: Column) -> list[Column]:
-    return [
-        F.col("sessions"),
-        F.col("lw_sessions"),
-        rounded(growth_pct(F.col("sessions"), F.col("lw_sessions")), 1).alias("traffic_gr"),
-        rounded(cvr, 2).alias("cvr"),
-        rounded(lw_cvr, 2).alias("lw_cvr"),
-        rounded(cvr - lw_cvr, 2).alias("cvr_chg"),
-    ]
-
+    columns = {
+        f"{side}_{name}": f"max(if(dt = DATE '{day}', {name}, NULL))" for side, day in days.items() for name in KPIS
+    }
+    wide = kpis.groupBy("cluster", "hr").agg(*map(F.expr, aliased(columns)))
+    return wide.where("tw_total_opd IS NOT NULL")
 
-def hourly_wow(kpis: DataFrame, by_hour: DataFrame, params: ReportParams) -> DataFrame:
-    """One row per hour of today: every metric with last week and change.
 
-    The conversion counts stay on the row for the total.
-    """
-    rows = side_by_side(kpis, params).join(by_hour, ["cluster", "hr"], "left")
-
-    def rate(side: str, name: str) -> Column:
-        if name == "residual":
-            return F.col(f"{side}_total_platform_po") - F.col(f"{side}_special_po")
-        return F.col(f"{side}_{name}")
-
-    columns = [
-        F.col("tw_total_opd").alias("total_opd"),
-        F.col("lw_total_opd").alias("lw_opd"),
-        rounded(growth_pct(F.col("tw_total_opd"), F.col("lw_total_opd")), 1).alias("opd_gr"),
-        *_traffic_columns(
-            conversion("sessions", "conv_sessions"), conversion("lw_sessions", "lw_conv_sessions")
-        ),
-    ]
+def paired_rates(kpis: DataFrame, by_hour: DataFrame, params: ReportParams) -> DataFrame:
+    """Rounded rates of today and last week with the traffic of the hour, one row per hour."""
+    columns = {"total_opd": "tw_total_opd", "lw_opd": "lw_total_opd"}
     for m in RATE_METRICS:
-        tw, lw = rate("tw", m.tw), rate("lw", m.tw)
-        columns += [
-            rounded(tw, m.digits).alias(m.tw),
-            rounded(lw, m.digits).alias(m.lw),
-            change(tw, lw, m.change_kind, m.change_digits).alias(m.change),
-        ]
-    return rows.select(
-        "cluster", F.col("hr").cast("string").alias("hr"), *columns, "conv_sessions", "lw_conv_sessions"
+        for side, name in (("tw", m.tw), ("lw", m.lw)):
+            if m.name == "residual":
+                columns[name] = rounded(f"{side}_total_platform_po - {side}_special_po", 2)
+            else:
+                columns[name] = f"{side}_{m.tw}"
+    return (
+        side_by_side(kpis, params)
+        .join(by_hour, ["cluster", "hr"], "left")
+        .selectExpr("cluster", "hr", *aliased(columns), *TRAFFIC_MEASURES)
     )
 
 
-def total_row(wow: DataFrame, clusters: DataFrame) -> DataFrame:
-    """The total of every cluster: counts summed, rounded hourly rates weighted by orders.
-
-    Changes come from the unrounded weighted values. A cluster without hours still gets
-    its row, of NULLs.
-    """
-
-    def weighted(value: str, weight: str) -> Column:
-        return F.sum(F.col(value).cast(MONEY) * F.col(weight))
-
-    sums = wow.groupBy("cluster").agg(
-        F.sum("total_opd").alias("total_opd"),
-        F.sum("lw_opd").alias("lw_opd"),
-        *[F.sum(m).alias(m) for m in TRAFFIC_MEASURES],
-        *[weighted(m.tw, "total_opd").alias(m.tw) for m in RATE_METRICS],
-        *[weighted(m.lw, "lw_opd").alias(m.lw) for m in RATE_METRICS],
-    )
-    columns = [
-        F.col("total_opd"),
-        F.col("lw_opd"),
-        rounded(growth_pct(F.col("total_opd"), F.col("lw_opd")), 1).alias("opd_gr"),
-        *_traffic_columns(
-            conversion("sessions", "conv_sessions"), conversion("lw_sessions", "lw_conv_sessions")
-        ),
-    ]
+def weights() -> dict[str, str]:
+    """What an hour adds to a total: its counts, and its rates times the orders of their day."""
+    parts = {name: name for name in COUNTS}
+    for m in RATE_METRICS:
+        parts[m.tw] = f"cast({m.tw} AS decimal(18,2)) * total_opd"
+        parts[m.lw] = f"cast({m.lw} AS decimal(18,2)) * lw_opd"
+    return parts
+
+
+def report_columns() -> dict[str, str]:
+    """Every metric with last week and change, from counts and order-weighted rates."""
+    cvr, lw_cvr = percent("conv_sessions", "sessions"), percent("lw_conv_sessions", "lw_sessions")
+    columns = {
+        "total_opd": "total_opd",
+        "lw_opd": "lw_opd",
+        "opd_gr": rounded(growth_pct("total_opd", "lw_opd"), 1),
+        "sessions": "sessions",
+        "lw_sessions": "lw_sessions",
+        "traffic_gr": rounded(growth_pct("sessions", "lw_sessions"), 1),
+        "cvr": rounded(cvr, 2),
+        "lw_cvr": rounded(lw_cvr, 2),
+        "cvr_chg": rounded(f"{cvr} - {lw_cvr}", 2),
+    }
     for m in RATE_METRICS:
-        tw = ratio(F.col(m.tw), F.col("total_opd"))
-        lw = ratio(F.col(m.lw), F.col("lw_opd"))
-        columns += [
-            rounded(tw, m.digits).alias(m.tw),
-            rounded(lw, m.digits).alias(m.lw),
-            change(tw, lw, m.change_kind, m.change_digits).alias(m.change),
-        ]
-    return clusters.join(sums, "cluster", "left").select("cluster", F.lit(TOTAL).alias("hr"), *columns)
+        tw, lw = ratio(m.tw, "total_opd"), ratio(m.lw, "lw_opd")
+        columns |= {
+            m.tw: rounded(tw, m.digits),
+            m.lw: rounded(lw, m.digits),
+            m.change: change(tw, lw, m.change_kind, m.change_digits),
+        }
+    return columns
 
 
-def hour_position() -> Column:
-    """Sort position of a report row: the hour, the total last."""
-    return F.when(F.col("hr") == TOTAL, 999).otherwise(F.col("hr").cast("int"))
+def hourly_wow(rates: DataFrame) -> DataFrame:
+    """One row per hour of today: every metric with last week and change."""
+    parts = rates.selectExpr("cluster", "hr", *aliased(weights()))
+    return parts.selectExpr("cluster", "cast(hr AS string) AS hr", *aliased(report_columns()))
 
 
-def with_total(wow: DataFrame, clusters: DataFrame) -> DataFrame:
-    columns = ["cluster", *hourly_columns()]
+def with_total(rates: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Hour rows and the total of every cluster, in one rollup.
+
+    The total sums the counts and recombines the rounded hourly rates weighted by orders,
+    its changes coming from the unrounded values; the weighted rate of a single hour is
+    the rate itself. A blank row per cluster makes sure that a cluster without hours
+    gets its total, of NULLs.
+    """
+    blank = clusters.selectExpr("cluster", "FALSE AS is_hour")
+    rows = rates.selectExpr("*", "TRUE AS is_hour").unionByName(blank, allowMissingColumns=True)
+    sums = {name: f"sum({part})" for name, part in weights().items()}
+    sums |= {"is_total": "grouping(hr) = 1", "is_hour": "max(is_hour)"}
+    rolled = rows.groupingSets([["cluster", "hr"], ["cluster"]], "cluster", "hr").agg(*map(F.expr, aliased(sums)))
+    label = f"if(is_total, '{TOTAL}', cast(hr AS string)) AS hr"
+    position = "if(is_total, 999, hr) AS pos"
     return (
-        wow.select(columns)
-        .unionByName(total_row(wow, clusters).select(columns))
-        .withColumn("pos", hour_position())
+        rolled.where("is_total OR is_hour")
+        .selectExpr("cluster", label, *aliased(report_columns()), position)
+        .select("cluster", *hourly_columns(), "pos")
         .orderBy("cluster", "pos")
     )
 
 
-def hourly_rows(inputs: ReportInputs, params: ReportParams) -> DataFrame:
+def hourly_rates(inputs: ReportInputs, params: ReportParams) -> DataFrame:
     by_hour = traffic.traffic_by_hour(
         traffic.cluster_traffic(inputs.traffic, inputs.cluster_classes, params)
     )
-    return hourly_wow(facts.hourly_report_kpis(inputs, params), by_hour, params)
+    return paired_rates(facts.hourly_report_kpis(inputs, params), by_hour, params)
+
+
+def hourly_rows(inputs: ReportInputs, params: ReportParams) -> DataFrame:
+    """The hour rows of the report without its totals."""
+    return hourly_wow(hourly_rates(inputs, params))
 
 
 def hourly_report(inputs: ReportInputs, params: ReportParams) -> DataFrame:
     """The complete hourly report of every cluster with cities in the cluster dimension."""
     clusters = filters.cluster_cities(inputs.cluster_dim, params).select("cluster").distinct()
-    return with_total(hourly_rows(inputs, params), clusters)
+    return with_total(hourly_rates(inputs, params), clusters)
 
 
 def report_meta(report: DataFrame, params: ReportParams) -> DataFrame:
     """Generation stamp, latest hour (0 when empty) and row split of a report."""
-    is_total = F.col("hr") == TOTAL
-    return report.groupBy("cluster").agg(
-        F.lit(params.as_of_text).alias("as_of"),
-        F.coalesce(F.max(F.when(~is_total, F.col("hr").cast("int"))), F.lit(0)).alias("latest_hr"),
-        F.count_if(F.coalesce(~is_total, F.lit(True))).alias("detail_rows"),
-        F.coalesce(F.max(is_total), F.lit(False)).alias("has_total"),
-    )
+    is_total = f"hr <=> '{TOTAL}'"
+    columns = {
+        "as_of": f"'{params.as_of_text}'",
+        "latest_hr": f"coalesce(max(if({is_total}, NULL, cast(nullif(hr, '{TOTAL}') AS int))), 0)",
+        "detail_rows": f"count_if(NOT {is_total})",
+        "has_total": f"max({is_total})",
+    }
+    return report.groupBy("cluster").agg(*map(F.expr, aliased(columns)))
 
 
 def mark_partial_hour(wow: DataFrame) -> DataFrame:
     """Flags the latest hour of each cluster, which is still filling."""
-    # One row per cluster.
-    latest = wow.groupBy("cluster").agg(F.max(F.col("hr").cast("int")).alias("latest_hr"))
-    return wow.join(F.broadcast(latest), "cluster").select(
-        "cluster", "hr", (F.col("hr").cast("int") == F.col("latest_hr")).alias("is_partial")
+    # A cluster has one row per hour of the day.
+    return wow.selectExpr(
+        "cluster", "hr", "cast(hr AS int) = max(cast(hr AS int)) OVER (PARTITION BY cluster) AS is_partial"
     )
 
 
 def daypart_rollup(kpis: DataFrame) -> DataFrame:
-    return kpis.groupBy("cluster", daypart(F.col("hr")).alias("daypart"), "dt").agg(
-        F.sum("total_opd").alias("total_opd")
+    return (
+        kpis.selectExpr("cluster", f"{daypart('hr')} AS daypart", "dt", "total_opd")
+        .groupBy("cluster", "daypart", "dt")
+        .agg(F.expr("sum(total_opd) AS total_opd"))
     )

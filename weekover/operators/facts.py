@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekover.functions.labels import coupon_present
-from weekover.functions.numeric import money, ratio, rounded
+from weekover.functions.labels import COUPON_PRESENT
+from weekover.functions.numeric import aliased, exact, money, percent, ratio, rounded
 from weekover.metrics import MONEY_MEASURES, TRAFFIC_MEASURES
 from weekover.operators import filters, spend, traffic
 from weekover.params import ReportParams
@@ -23,24 +23,19 @@ from weekover.sources.inputs import ReportInputs
 from weekover.sources.schemas import MONEY_COLUMNS
 
 KEY = ("cluster", *spend.ORDER_KEY)
-EXACT = "decimal(38,2)"
-
-
-def _row_sums() -> dict[str, Column]:
-    platform_hit = money("platform_discount_hit")
-    merchant_hit = money("merchant_discount_hit")
-    return {
-        "bill_sum": money("order_bill"),
-        "cdpo_sum": money("cart_discount") + merchant_hit + platform_hit,
-        "sdpo_sum": money("platform_discount") + platform_hit + money("alliance_discount"),
-        "rdpo_sum": merchant_hit + money("merchant_offers_discount"),
-        "platform_sum": money("total_platform_discount"),
-        "campaign_sum": platform_hit,
-        "special_sum": money("special_spend"),
-    }
 
+_PLATFORM_HIT = money("platform_discount_hit")
+_MERCHANT_HIT = money("merchant_discount_hit")
 
-SCALED_SUMS = ("bill_sum", "cdpo_sum", "sdpo_sum", "rdpo_sum", "platform_sum", "campaign_sum")
+# Per-row amounts that count once per copy met.
+AMOUNTS = {
+    "bill_sum": money("order_bill"),
+    "cdpo_sum": f"{money('cart_discount')} + {_MERCHANT_HIT} + {_PLATFORM_HIT}",
+    "sdpo_sum": f"{money('platform_discount')} + {_PLATFORM_HIT} + {money('alliance_discount')}",
+    "rdpo_sum": f"{_MERCHANT_HIT} + {money('merchant_offers_discount')}",
+    "platform_sum": money("total_platform_discount"),
+    "campaign_sum": _PLATFORM_HIT,
+}
 
 
 def distinct_rows(rows: DataFrame) -> DataFrame:
@@ -62,69 +57,60 @@ def order_level(
     ``fan_out=False`` leaves every copy counted once, which is the same on unique keys.
     """
     offers = spend.targeted_offers(inputs.offer_events, inputs.templates, params)
+    totals = {name: exact(f"sum({amount})") for name, amount in AMOUNTS.items()}
+    totals |= {
+        "copies": "count(*)",
+        "has_banner": f"max(banner_factor > {params.banner_threshold}D)",
+        "has_coupon": f"max({COUPON_PRESENT})",
+        "special_sum": exact(f"sum({money('special_spend')})"),
+    }
     per_order = (
         spend.special_spend(rows, inputs.special_coupons)
         .groupBy(*KEY, *group)
-        .agg(
-            F.count("*").alias("copies"),
-            F.max(F.col("banner_factor") > params.banner_threshold).alias("has_banner"),
-            F.max(coupon_present(F.col("coupon_code"))).alias("has_coupon"),
-            *[F.sum(value).cast(EXACT).alias(name) for name, value in _row_sums().items()],
-        )
+        .agg(*map(F.expr, aliased(totals)))
     )
     # Spend joins before the window: the partitioning of a shuffled join serves both.
-    nested = "offer_details" in rows.columns
-    if nested:
+    if "offer_details" in rows.columns:
         per_order = per_order.join(spend.nested_spend(rows, offers, KEY), list(KEY), "left")
+        targeted = "targeted_spend"
     else:
         per_order = per_order.join(spend.order_spend(inputs.offer_lines, offers), "order_id", "left")
-    if group:
-        # An order can reach several groups; there are at most as many rows per key as
-        # there are groups in the city dimension.
-        same_key = Window.partitionBy(*KEY)
-        key_copies = F.sum("copies").over(same_key)
-        key_special = F.sum("special_sum").over(same_key)
-    else:
-        key_copies, key_special = F.col("copies"), F.col("special_sum")
-    per_order = per_order.withColumns({"key_copies": key_copies, "key_special": key_special})
-    if not nested:
-        per_order = per_order.withColumn("targeted_spend", F.col("order_spend") * F.col("key_copies"))
+        targeted = "order_spend * key_copies"
+    # An order can reach several groups; there are at most as many rows per key as there
+    # are groups in the city dimension.
+    over_key = f"OVER (PARTITION BY {', '.join(KEY)})" if group else None
+    per_order = per_order.selectExpr(
+        "*",
+        f"sum(copies) {over_key} AS key_copies" if group else "copies AS key_copies",
+        f"sum(special_sum) {over_key} AS key_special" if group else "special_sum AS key_special",
+    )
 
     # A key with a NULL part matches nothing, so its rows meet no spend and no copy.
-    matched = F.col("order_id").isNotNull() & F.col("hr").isNotNull()
-    times = F.when(matched & F.lit(fan_out), F.col("key_copies")).otherwise(F.lit(1))
-    rows_met = F.col("copies") * times
-    special_met = F.col("key_special") * F.col("copies") if fan_out else F.col("special_sum")
-    zero = F.lit(0).cast(EXACT)
-    return per_order.select(
-        *KEY,
-        *group,
-        (F.col("has_banner") & F.col("order_id").isNotNull()).alias("has_banner"),
-        (F.col("has_coupon") & F.col("order_id").isNotNull()).alias("has_coupon"),
-        *[(F.col(name) * times).cast(EXACT).alias(name) for name in SCALED_SUMS],
-        F.when(matched, special_met.cast(EXACT)).otherwise(zero).alias("special_sum"),
-        F.coalesce(F.when(matched, (F.col("targeted_spend") * rows_met).cast(EXACT)), zero).alias("targeted_sum"),
-    )
+    matched = "order_id IS NOT NULL AND hr IS NOT NULL"
+    times = f"if({matched}, key_copies, 1)" if fan_out else "1"
+    special = "key_special * copies" if fan_out else "special_sum"
+    columns = {name: exact(f"{name} * {times}") for name in AMOUNTS}
+    columns |= {
+        "special_sum": exact(f"if({matched}, {special}, 0)"),
+        "targeted_sum": exact(f"coalesce(if({matched}, {targeted} * copies * {times}, 0), 0)"),
+        "has_banner": "has_banner AND order_id IS NOT NULL",
+        "has_coupon": "has_coupon AND order_id IS NOT NULL",
+    }
+    return per_order.selectExpr(*KEY, *group, *aliased(columns))
 
 
 def hourly_kpis(per_order: DataFrame) -> DataFrame:
     """Per-order averages by cluster, hour and day."""
-    orders = F.count("order_id")
-
-    def per(total: str, digits: int = 2) -> Column:
-        return rounded(ratio(F.sum(total), orders), digits)
-
-    return per_order.groupBy("cluster", "hr", "dt").agg(
-        orders.alias("total_opd"),
-        rounded(ratio(F.count_if("has_banner"), orders) * 100, 1).alias("ob_pct"),
-        per("bill_sum", 0).alias("amv"),
-        per("cdpo_sum").alias("cdpo_po"),
-        per("sdpo_sum").alias("sdpo_po"),
-        per("rdpo_sum").alias("rdpo_po"),
-        per("platform_sum").alias("total_platform_po"),
-        per("targeted_sum").alias("targeted_po"),
-        per("special_sum").alias("special_po"),
-    )
+    orders = "count(order_id)"
+    rates = {
+        "total_opd": orders,
+        "ob_pct": rounded(percent("count_if(has_banner)", orders), 1),
+        "amv": rounded(ratio("sum(bill_sum)", orders), 0),
+    }
+    for name in ("cdpo", "sdpo", "rdpo", "targeted", "special"):
+        rates[f"{name}_po"] = rounded(ratio(f"sum({name}_sum)", orders), 2)
+    rates["total_platform_po"] = rounded(ratio("sum(platform_sum)", orders), 2)
+    return per_order.groupBy("cluster", "hr", "dt").agg(*map(F.expr, aliased(rates)))
 
 
 def hourly_report_kpis(inputs: ReportInputs, params: ReportParams, fan_out: bool = True) -> DataFrame:
@@ -144,23 +130,23 @@ def grouped_orders(inputs: ReportInputs, params: ReportParams, name: str) -> Dat
 
 def group_facts(per_order: DataFrame, lookup: DataFrame, params: ReportParams) -> DataFrame:
     """Sums by cluster, group, hour and day; traffic reaches today's rows only."""
-    sums = per_order.groupBy("cluster", "grp", "hr", "dt").agg(
-        F.count("order_id").alias("orders"),
-        F.count_if("has_coupon").alias("coupon_orders"),
-        *[F.sum(m).alias(m) for m in MONEY_MEASURES],
-    )
-    today = lookup.withColumn("dt", F.lit(params.today))
-    joined = sums.withColumn("grp_key", F.lower("grp")).join(today, ["cluster", "grp_key", "hr", "dt"], "left")
-    times = F.coalesce("spellings", F.lit(1))
-    return joined.select(
-        "cluster",
-        "grp",
-        "hr",
-        "dt",
-        "orders",
-        "coupon_orders",
-        *[(F.col(m) * times).cast(EXACT).alias(m) for m in MONEY_MEASURES],
-        *[F.coalesce(m, F.lit(0)).cast("bigint").alias(m) for m in TRAFFIC_MEASURES],
+    counts = {"orders": "count(order_id)", "coupon_orders": "count_if(has_coupon)"}
+    money_sums = {name: f"sum({name})" for name in MONEY_MEASURES}
+    sums = per_order.groupBy("cluster", "grp", "hr", "dt").agg(*map(F.expr, aliased(counts | money_sums)))
+    today = lookup.selectExpr("*", f"DATE '{params.today}' AS dt")
+    return (
+        sums.selectExpr("*", "lower(grp) AS grp_key")
+        .join(today, ["cluster", "grp_key", "hr", "dt"], "left")
+        .selectExpr(
+            "cluster",
+            "grp",
+            "hr",
+            "dt",
+            "orders",
+            "coupon_orders",
+            *aliased({name: exact(f"{name} * coalesce(spellings, 1)") for name in MONEY_MEASURES}),
+            *aliased({name: f"coalesce({name}, 0)" for name in TRAFFIC_MEASURES}),
+        )
     )
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekover.functions.numeric import MONEY, growth_pct, ratio, rounded
+from weekover.functions.numeric import aliased, growth_pct, percent, ratio, rounded
 from weekover.metrics import GROUP_MEASURES, GROUP_METRICS, GROWTH_METRICS
 from weekover.params import ReportParams
 
@@ -18,10 +18,13 @@ UNKNOWN_HOUR = -1
 def group_hour_sums(facts: DataFrame) -> DataFrame:
     """Facts with a name for unknown groups and hours, missing measures as zero."""
     return (
-        facts.withColumn("grp", F.coalesce(F.nullif("grp", F.lit("")), F.lit(UNKNOWN_GROUP)))
-        .withColumn("hr", F.coalesce("hr", F.lit(UNKNOWN_HOUR)))
+        facts.selectExpr(
+            "* EXCEPT (grp, hr)",
+            f"coalesce(nullif(grp, ''), '{UNKNOWN_GROUP}') AS grp",
+            f"coalesce(hr, {UNKNOWN_HOUR}) AS hr",
+        )
         .groupBy("cluster", "grp", "hr", "dt")
-        .agg(*[F.sum(F.coalesce(m, F.lit(0))).alias(m) for m in GROUP_MEASURES])
+        .agg(*[F.expr(f"sum(coalesce({m}, 0)) AS {m}") for m in GROUP_MEASURES])
     )
 
 
@@ -30,78 +33,66 @@ def group_keys(sums: DataFrame) -> DataFrame:
     return sums.select("cluster", "grp").distinct()
 
 
-def ratio_pack(measure) -> dict[str, Column]:
-    """Metrics of one side from its sums; ``measure`` maps a sum's name to its column."""
-    orders = measure("orders")
-
-    def per(total: Column) -> Column:
-        return rounded(ratio(total, orders), 2)
-
+def traffic_pack(prefix: str) -> dict[str, str]:
+    sessions = f"{prefix}sessions"
     return {
-        "orders": orders.cast("bigint"),
-        "oc_pct": rounded(ratio(measure("coupon_orders"), orders) * 100, 1),
-        "cdpo": per(measure("cdpo_sum")),
-        "sdpo": per(measure("sdpo_sum")),
-        "rdpo": per(measure("rdpo_sum")),
-        "residual": per(measure("platform_sum") - measure("special_sum")),
-        "special": per(measure("special_sum")),
-        "targeted": per(measure("targeted_sum")),
-        "campaign": per(measure("campaign_sum")),
-        **traffic_pack(measure, ""),
+        "sessions": f"cast({sessions} AS bigint)",
+        "cvr": rounded(percent(f"{prefix}conv_sessions", sessions), 2),
     }
 
 
-def traffic_pack(measure, prefix: str) -> dict[str, Column]:
-    sessions = measure(f"{prefix}sessions")
+def ratio_pack(prefix: str = "") -> dict[str, str]:
+    """Metrics of one side from its sums, whose columns start with ``prefix``."""
+    orders = f"{prefix}orders"
+    totals = {
+        "cdpo": f"{prefix}cdpo_sum",
+        "sdpo": f"{prefix}sdpo_sum",
+        "rdpo": f"{prefix}rdpo_sum",
+        "residual": f"({prefix}platform_sum - {prefix}special_sum)",
+        "special": f"{prefix}special_sum",
+        "targeted": f"{prefix}targeted_sum",
+        "campaign": f"{prefix}campaign_sum",
+    }
     return {
-        "sessions": sessions.cast("bigint"),
-        "cvr": rounded(ratio(measure(f"{prefix}conv_sessions"), sessions) * 100, 2),
+        "orders": f"cast({orders} AS bigint)",
+        "oc_pct": rounded(percent(f"{prefix}coupon_orders", orders), 1),
+        **{name: rounded(ratio(total, orders), 2) for name, total in totals.items()},
+        **traffic_pack(prefix),
     }
 
 
 def group_ratios(sums: DataFrame) -> DataFrame:
     """The ratio pack of every stored row, with last week's traffic beside it."""
-    last_week = traffic_pack(F.col, "lw_")
-    return sums.select(
-        "cluster",
-        "grp",
-        "hr",
-        "dt",
-        *[column.alias(name) for name, column in ratio_pack(F.col).items()],
-        *[column.alias(f"lw_{name}") for name, column in last_week.items()],
-    )
+    last_week = {f"lw_{name}": column for name, column in traffic_pack("lw_").items()}
+    return sums.selectExpr("cluster", "grp", "hr", "dt", *aliased(ratio_pack() | last_week))
 
 
 def _both_days(sums: DataFrame, keys: Sequence[str], params: ReportParams) -> DataFrame:
     """Today's and last week's sums in one row; a missing side is zero."""
     days = {"tw": params.today, "lw": params.last_week}
-    return sums.groupBy(*keys).agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("dt") == F.lit(day), F.col(m))), F.lit(0)).alias(f"{side}_{m}")
-            for side, day in days.items()
-            for m in GROUP_MEASURES
-        ]
-    )
+    columns = {
+        f"{side}_{m}": f"coalesce(sum(if(dt = DATE '{day}', {m}, NULL)), 0)"
+        for side, day in days.items()
+        for m in GROUP_MEASURES
+    }
+    return sums.groupBy(*keys).agg(*map(F.expr, aliased(columns)))
 
 
-def _sides() -> list[Column]:
+def _sides() -> list[str]:
     """``tw_*`` and ``lw_*`` metrics; last week's traffic is read from today's rows."""
-    tw = ratio_pack(lambda m: F.col(f"tw_{m}"))
-    lw = ratio_pack(lambda m: F.col(f"lw_{m}")) | traffic_pack(lambda m: F.col(f"tw_{m}"), "lw_")
-    return [side[name].alias(f"{prefix}_{name}") for prefix, side in (("tw", tw), ("lw", lw)) for name in GROUP_METRICS]
+    packs = {"tw": ratio_pack("tw_"), "lw": ratio_pack("lw_") | traffic_pack("tw_lw_")}
+    return aliased({f"{side}_{name}": packs[side][name] for side in packs for name in GROUP_METRICS})
 
 
-def _summary_change(name: str) -> Column:
-    tw, lw = F.col(f"tw_{name}"), F.col(f"lw_{name}")
-    if name in GROWTH_METRICS:
-        return rounded(growth_pct(tw, lw), 1)
-    return rounded(tw - lw, 2)
+def _summary_change(name: str) -> str:
+    tw, lw = f"tw_{name}", f"lw_{name}"
+    return rounded(growth_pct(tw, lw), 1) if name in GROWTH_METRICS else rounded(f"{tw} - {lw}", 2)
 
 
 def group_summary(sums: DataFrame, params: ReportParams) -> DataFrame:
     """One row per group over all hours, the unknown one included."""
-    sides = _both_days(sums, ["cluster", "grp"], params).select("cluster", "grp", *_sides())
-    return sides.select("*", *[_summary_change(name).alias(f"d_{name}") for name in GROUP_METRICS])
+    sides = _both_days(sums, ["cluster", "grp"], params).selectExpr("cluster", "grp", *_sides())
+    return sides.selectExpr("*", *aliased({f"d_{name}": _summary_change(name) for name in GROUP_METRICS}))
 
 
 def group_hour_grid(sums: DataFrame, params: ReportParams) -> DataFrame:
@@ -111,29 +102,29 @@ def group_hour_grid(sums: DataFrame, params: ReportParams) -> DataFrame:
     as one short array per cluster, and each group unfolds that array.
     """
     hours = (
-        sums.where(F.col("hr") != UNKNOWN_HOUR)
+        sums.where(f"hr != {UNKNOWN_HOUR}")
         .groupBy("cluster")
-        .agg(F.collect_set("hr").alias("hours"))
+        .agg(F.expr("collect_set(hr) AS hours"))
     )
     cells = _both_days(sums, ["cluster", "grp", "hr"], params)
     measures = [c for c in cells.columns if c not in ("cluster", "grp", "hr")]
-    grid = group_keys(sums).join(F.broadcast(hours), "cluster").select("cluster", "grp", F.explode("hours").alias("hr"))
+    grid = group_keys(sums).join(F.broadcast(hours), "cluster").selectExpr("cluster", "grp", "explode(hours) AS hr")
     return (
         grid.join(cells, ["cluster", "grp", "hr"], "left")
-        .select("cluster", "grp", "hr", *[F.coalesce(m, F.lit(0)).alias(m) for m in measures])
-        .select("cluster", "grp", "hr", *_sides())
+        .selectExpr("cluster", "grp", "hr", *[f"coalesce({m}, 0) AS {m}" for m in measures])
+        .selectExpr("cluster", "grp", "hr", *_sides())
     )
 
 
 def nested_hourly(grid: DataFrame) -> DataFrame:
     """One row per group with its hours as an ordered array, 24 entries at most."""
 
-    def side(prefix: str) -> Column:
-        return F.struct(*[F.col(f"{prefix}_{name}").alias(name) for name in GROUP_METRICS]).alias(prefix)
+    def side(prefix: str) -> str:
+        fields = ", ".join(f"'{name}', {prefix}_{name}" for name in GROUP_METRICS)
+        return f"'{prefix}', named_struct({fields})"
 
-    return grid.groupBy("cluster", "grp").agg(
-        F.array_sort(F.collect_list(F.struct("hr", side("tw"), side("lw")))).alias("hours")
-    )
+    cell = f"named_struct('hr', hr, {side('tw')}, {side('lw')})"
+    return grid.groupBy("cluster", "grp").agg(F.expr(f"array_sort(collect_list({cell})) AS hours"))
 
 
 def hour_reagg(grid: DataFrame, hours: Sequence[int]) -> DataFrame:
@@ -142,31 +133,22 @@ def hour_reagg(grid: DataFrame, hours: Sequence[int]) -> DataFrame:
     Conversion is the session-weighted mean of the rounded hourly values; a zero
     conversion is reported as missing. Other metrics cannot be recombined.
     """
+    sums = {f"{side}_{m}": f"sum({side}_{m})" for side in ("tw", "lw") for m in ("orders", "sessions")}
+    for side in ("tw", "lw"):
+        weighted = f"sum(cast(coalesce({side}_cvr, 0) AS decimal(18,2)) * {side}_sessions)"
+        sums[f"{side}_mean"] = f"nullif({ratio(weighted, f'sum({side}_sessions)')}, 0)"
     picked = grid.where(F.col("hr").isin(list(hours)))
-
-    def weighted(side: str) -> Column:
-        rate = F.coalesce(f"{side}_cvr", F.lit(0.0)).cast(MONEY)
-        return F.sum(rate * F.col(f"{side}_sessions"))
-
-    sums = picked.groupBy("cluster", "grp").agg(
-        *[F.sum(f"{side}_{m}").alias(f"{side}_{m}") for side in ("tw", "lw") for m in ("orders", "sessions")],
-        weighted("tw").alias("tw_weighted"),
-        weighted("lw").alias("lw_weighted"),
-    )
-    mean = {s: F.nullif(ratio(F.col(f"{s}_weighted"), F.col(f"{s}_sessions")), F.lit(0.0)) for s in ("tw", "lw")}
-    return sums.select(
-        "cluster",
-        "grp",
-        *[
-            column
-            for m in ("orders", "sessions")
-            for column in (
-                F.col(f"tw_{m}"),
-                F.col(f"lw_{m}"),
-                rounded(growth_pct(F.col(f"tw_{m}"), F.col(f"lw_{m}")), 2).alias(f"d_{m}"),
-            )
-        ],
-        rounded(mean["tw"], 2).alias("tw_cvr"),
-        rounded(mean["lw"], 2).alias("lw_cvr"),
-        rounded(mean["tw"] - mean["lw"], 2).alias("d_cvr"),
+    columns = {}
+    for m in ("orders", "sessions"):
+        tw, lw = f"tw_{m}", f"lw_{m}"
+        columns |= {tw: tw, lw: lw, f"d_{m}": rounded(growth_pct(tw, lw), 2)}
+    columns |= {
+        "tw_cvr": rounded("tw_mean", 2),
+        "lw_cvr": rounded("lw_mean", 2),
+        "d_cvr": rounded("tw_mean - lw_mean", 2),
+    }
+    return (
+        picked.groupBy("cluster", "grp")
+        .agg(*map(F.expr, aliased(sums)))
+        .selectExpr("cluster", "grp", *aliased(columns))
     )

@@ -2,113 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekover.functions.labels import DEAD_BAND, direction
-from weekover.functions.numeric import MONEY, growth_pct, rounded
+from weekover.functions.numeric import aliased, growth_pct, rounded
 from weekover.metrics import GROWTH_METRICS, HOURLY_METRICS, INVERTED_METRICS
 from weekover.operators.compare import TOTAL
 
 HOURS = tuple(range(24))
 
-# Fixed value: share of the average within which a cell is not tagged.
-HEAT_BAND_INVERSE = 20
+# Fixed value: a cell is tagged from one part in so many of the average on.
+HEAT_BAND_PARTS = 20
 
 
 def metric_rows(report: DataFrame) -> DataFrame:
     """A report unfolded to one row per row and metric: value, last week, change."""
-    entries = [
-        F.struct(
-            F.lit(m.section).alias("section"),
-            F.lit(m.name).alias("metric"),
-            F.lit(m.inverted).alias("inverted"),
-            F.col(m.tw).cast("double").alias("value"),
-            F.col(m.lw).cast("double").alias("lw"),
-            F.col(m.change).cast("double").alias("change"),
-        )
+    entries = ", ".join(
+        f"named_struct('section', '{m.section}', 'metric', '{m.name}', 'inverted', {m.inverted}, "
+        f"'value', cast({m.tw} AS double), 'lw', cast({m.lw} AS double), 'change', cast({m.change} AS double))"
         for m in HOURLY_METRICS
-    ]
-    return report.select("cluster", "hr", F.explode(F.array(*entries)).alias("entry")).select(
-        "cluster", "hr", "entry.*"
     )
+    return report.selectExpr("cluster", "hr", f"inline(array({entries}))")
 
 
 def metric_hour_matrix(report: DataFrame) -> DataFrame:
     """Metric and side (tw, lw, delta) by hour; absent hours stay blank."""
-    sides = F.array(
-        F.struct(F.lit("tw").alias("side"), F.col("value").alias("cell")),
-        F.struct(F.lit("lw").alias("side"), F.col("lw").alias("cell")),
-        F.struct(F.lit("delta").alias("side"), F.col("change").alias("cell")),
-    )
-    labels = [TOTAL, *map(str, HOURS)]
+    names = {TOTAL: "overall"} | {str(h): f"h{h}" for h in HOURS}
     matrix = (
         metric_rows(report)
-        .select("cluster", "hr", "metric", F.explode(sides).alias("s"))
-        .select("cluster", "hr", "metric", "s.side", "s.cell")
+        .selectExpr("cluster", "hr", "metric", "stack(3, 'tw', value, 'lw', lw, 'delta', change) AS (side, cell)")
         .groupBy("cluster", "metric", "side")
-        .pivot("hr", labels)
+        .pivot("hr", list(names))
         .agg(F.first("cell"))
     )
-    names = {TOTAL: "overall"} | {str(h): f"h{h}" for h in HOURS}
-    return matrix.select("cluster", "metric", "side", *[F.col(f"`{k}`").alias(v) for k, v in names.items()])
+    return matrix.selectExpr("cluster", "metric", "side", *aliased({v: f"`{k}`" for k, v in names.items()}))
 
 
 def kpi_list(report: DataFrame) -> DataFrame:
     """The total row as a list of metrics with their direction of change."""
-    return metric_rows(report.where(F.col("hr") == TOTAL)).select(
-        "cluster",
-        "section",
-        "metric",
-        "value",
-        "lw",
-        "change",
-        direction(F.col("change"), F.col("inverted")).alias("direction"),
+    return metric_rows(report.where(F.col("hr") == TOTAL)).selectExpr(
+        "cluster", "section", "metric", "value", "lw", "change", f"{direction('change', 'inverted')} AS direction"
     )
 
 
 def change_direction(wow: DataFrame) -> DataFrame:
     """Direction of every change, plain and with the dead band."""
-    change, inverted = F.col("change"), F.col("inverted")
-    return metric_rows(wow).select(
+    return metric_rows(wow).selectExpr(
         "cluster",
         "hr",
         "metric",
         "change",
-        direction(change, inverted).alias("direction"),
-        direction(change, inverted, DEAD_BAND).alias("direction_band"),
+        f"{direction('change', 'inverted')} AS direction",
+        f"{direction('change', 'inverted', DEAD_BAND)} AS direction_band",
     )
 
 
-def cell_change(metric: str) -> Column:
+def cell_change(metric: str) -> str:
     """Change of one grid cell: growth if the metric has it and last week is not zero."""
-    tw, lw = F.col(f"tw_{metric}"), F.col(f"lw_{metric}")
-    difference = rounded(tw - lw, 2)
+    tw, lw = f"tw_{metric}", f"lw_{metric}"
+    difference = rounded(f"{tw} - {lw}", 2)
     if metric not in GROWTH_METRICS:
         return difference
-    return F.when(lw != 0, rounded(growth_pct(tw, lw), 2)).otherwise(difference)
+    return f"if({lw} != 0, {rounded(growth_pct(tw, lw), 2)}, {difference})"
 
 
 def pivot_metric(grid: DataFrame, metric: str) -> DataFrame:
     """One metric by group, with today, last week and change for each of the 24 hours."""
-    cells = grid.select(
+    cells = grid.selectExpr(
         "cluster",
         "grp",
         "hr",
-        F.col(f"tw_{metric}").cast("double").alias("tw"),
-        F.col(f"lw_{metric}").cast("double").alias("lw"),
-        cell_change(metric).alias("d"),
+        f"cast(tw_{metric} AS double) AS tw",
+        f"cast(lw_{metric} AS double) AS lw",
+        f"{cell_change(metric)} AS d",
     )
     wide = (
         cells.groupBy("cluster", "grp")
         .pivot("hr", list(HOURS))
         .agg(*[F.first(c).alias(c) for c in ("tw", "lw", "d")])
     )
-    return wide.select(
-        "cluster",
-        "grp",
-        *[F.col(f"{h}_{c}").alias(f"h{h}_{c}") for h in HOURS for c in ("tw", "lw", "d")],
-    )
+    return wide.selectExpr("cluster", "grp", *[f"{h}_{c} AS h{h}_{c}" for h in HOURS for c in ("tw", "lw", "d")])
 
 
 def heat_tag(grid: DataFrame, metric: str) -> DataFrame:
@@ -117,25 +91,23 @@ def heat_tag(grid: DataFrame, metric: str) -> DataFrame:
     Cells within the band of the average stay blank, a zero cell counts as below. The
     comparison is scaled to whole decimals, so the edge of the band is exact.
     """
-    value = F.col(f"tw_{metric}").cast(MONEY)
     # A group has 24 rows at most.
-    own = Window.partitionBy("cluster", "grp")
-    total = F.sum(F.when(value > 0, value)).over(own)
-    count = F.count(F.when(value > 0, value)).over(own)
+    own = "OVER (PARTITION BY cluster, grp)"
     above, below = ("bad", "good") if metric in INVERTED_METRICS else ("good", "bad")
-    distance = value * F.col("positive") - F.col("total")
     return (
-        grid.withColumns({"total": total, "positive": count})
-        .withColumn("distance", distance)
-        .select(
+        grid.selectExpr("cluster", "grp", "hr", f"cast(tw_{metric} AS decimal(18,2)) AS cell")
+        .selectExpr(
+            "*",
+            f"sum(if(cell > 0, cell, NULL)) {own} AS total",
+            f"cell * count(if(cell > 0, 1, NULL)) {own} AS scaled",
+        )
+        .selectExpr(
             "cluster",
             "grp",
             "hr",
-            F.col(f"tw_{metric}").cast("double").alias("value"),
-            F.when(F.col("distance").isNull() | (F.abs("distance") * HEAT_BAND_INVERSE < F.col("total")), "")
-            .when(F.col("distance") > 0, above)
-            .otherwise(below)
-            .alias("tag"),
+            "cast(cell AS double) AS value",
+            f"""CASE WHEN scaled IS NULL OR total IS NULL OR abs(scaled - total) * {HEAT_BAND_PARTS} < total THEN ''
+                WHEN scaled > total THEN '{above}' ELSE '{below}' END AS tag""",
         )
     )
 
@@ -145,19 +117,20 @@ def group_rank(summary: DataFrame) -> DataFrame:
 
     A cluster has one summary row per group of the city dimension.
     """
-    order = Window.partitionBy("cluster").orderBy(F.desc("tw_orders"), "grp")
-    return summary.select(
-        "cluster", "grp", F.col("tw_orders").alias("orders"), F.row_number().over(order).alias("pos")
-    )
+    position = "row_number() OVER (PARTITION BY cluster ORDER BY tw_orders DESC, grp) AS pos"
+    return summary.selectExpr("cluster", "grp", "tw_orders AS orders", position)
 
 
 def sort_nulls_last(summary: DataFrame, column: str) -> DataFrame:
     """Positions of the groups sorted by one column; NULLs come last both ways."""
-    clusters = Window.partitionBy("cluster")
-    return summary.select(
+
+    def position(order: str) -> str:
+        return f"row_number() OVER (PARTITION BY cluster ORDER BY {column} {order} NULLS LAST, grp)"
+
+    return summary.selectExpr(
         "cluster",
         "grp",
-        F.col(column).cast("double").alias("value"),
-        F.row_number().over(clusters.orderBy(F.asc_nulls_last(column), "grp")).alias("pos_asc"),
-        F.row_number().over(clusters.orderBy(F.desc_nulls_last(column), "grp")).alias("pos_desc"),
+        f"cast({column} AS double) AS value",
+        f"{position('ASC')} AS pos_asc",
+        f"{position('DESC')} AS pos_desc",
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekover.functions.labels import (
@@ -12,7 +12,7 @@ from weekover.functions.labels import (
     delay_severity,
     status_tier,
 )
-from weekover.functions.numeric import ratio, rounded
+from weekover.functions.numeric import percent, rounded
 from weekover.params import ReportParams
 
 # Length of a trailing series, and of the live order list.
@@ -26,20 +26,17 @@ def _today(rows: DataFrame, params: ReportParams) -> DataFrame:
 
 def share_of_total(facts: DataFrame, params: ReportParams) -> DataFrame:
     """Today's orders of each group and their share of the cluster."""
-    orders = _today(facts, params).groupBy("cluster", "grp").agg(F.sum("orders").alias("orders"))
-    # One row per cluster.
-    totals = orders.groupBy("cluster").agg(F.sum("orders").alias("total"))
-    return orders.join(F.broadcast(totals), "cluster").select(
-        "cluster", "grp", "orders", rounded(ratio(F.col("orders"), F.col("total")) * 100, 1).alias("share_pct")
-    )
+    orders = _today(facts, params).groupBy("cluster", "grp").agg(F.expr("sum(orders) AS orders"))
+    # A cluster has one row per group of the city dimension.
+    whole = "sum(orders) OVER (PARTITION BY cluster)"
+    return orders.selectExpr("cluster", "grp", "orders", f"{rounded(percent('orders', whole), 1)} AS share_pct")
 
 
 def status_tiers(
     facts: DataFrame, params: ReportParams, critical: int = CRITICAL_ORDERS, warning: int = WARNING_ORDERS
 ) -> DataFrame:
-    return _today(facts, params).select(
-        "cluster", "grp", "hr", "orders", status_tier(F.col("orders"), critical, warning).alias("status")
-    )
+    tier = status_tier("orders", critical, warning)
+    return _today(facts, params).selectExpr("cluster", "grp", "hr", "orders", f"{tier} AS status")
 
 
 def peak_hour(facts: DataFrame, params: ReportParams) -> DataFrame:
@@ -47,23 +44,21 @@ def peak_hour(facts: DataFrame, params: ReportParams) -> DataFrame:
     return (
         _today(facts, params)
         .groupBy("cluster", "grp")
-        .agg(F.max(F.struct("orders", "hr")).alias("peak"))
-        .select("cluster", "grp", F.col("peak.hr").alias("peak_hr"), F.col("peak.orders").alias("peak_orders"))
+        .agg(F.expr("max_by(hr, struct(orders, hr)) AS peak_hr"), F.expr("max(orders) AS peak_orders"))
     )
 
 
 def trailing_hours(grid: DataFrame, hour: int | None = None) -> DataFrame:
     """Today's orders over the seven hours that end at each hour, or at the chosen one."""
     # A group has 24 rows at most.
-    last_hours = Window.partitionBy("cluster", "grp").orderBy("hr").rangeBetween(1 - TRAILING_HOURS, 0)
-    series = F.collect_list("tw_orders").over(last_hours)
-    rows = grid.select(
+    span = f"OVER (PARTITION BY cluster, grp ORDER BY hr RANGE BETWEEN {TRAILING_HOURS - 1} PRECEDING AND CURRENT ROW)"
+    rows = grid.selectExpr(
         "cluster",
         "grp",
         "hr",
-        F.col("tw_orders").alias("orders"),
-        F.array_join(F.transform(series, lambda v: v.cast("string")), ",").alias("series"),
-        rounded(F.avg("tw_orders").over(last_hours), 2).alias("avg_7"),
+        "tw_orders AS orders",
+        f"array_join(collect_list(cast(tw_orders AS string)) {span}, ',') AS series",
+        f"{rounded(f'avg(tw_orders) {span}', 2)} AS avg_7",
     )
     return rows if hour is None else rows.where(F.col("hr") == hour)
 
@@ -71,16 +66,15 @@ def trailing_hours(grid: DataFrame, hour: int | None = None) -> DataFrame:
 def delayed_count(orders: DataFrame, params: ReportParams) -> DataFrame:
     """Today's orders by city that have been open for more than ten minutes, with severity."""
     as_of = F.lit(params.as_of_text).cast(orders.schema["created_on"].dataType)
-    waiting = F.timestamp_diff("MINUTE", F.col("created_on"), as_of)
     return (
         _today(orders, params)
-        .withColumn("minutes", waiting)
-        .withColumn("severity", delay_severity(F.col("minutes")))
+        .withColumn("minutes", F.timestamp_diff("MINUTE", F.col("created_on"), as_of))
+        .selectExpr("city_code", "minutes", f"{delay_severity('minutes')} AS severity")
         .groupBy("city_code")
         .agg(
-            F.count_if(F.col("minutes") > DELAYED_MINUTES).alias("delayed"),
-            F.count_if(F.col("severity") == "high").alias("high"),
-            F.count_if(F.col("severity") == "medium").alias("medium"),
+            F.expr(f"count_if(minutes > {DELAYED_MINUTES}) AS delayed"),
+            F.expr("count_if(severity = 'high') AS high"),
+            F.expr("count_if(severity = 'medium') AS medium"),
         )
     )
 
@@ -88,5 +82,4 @@ def delayed_count(orders: DataFrame, params: ReportParams) -> DataFrame:
 def latest_orders(orders: DataFrame, n: int = QUEUE_LENGTH) -> DataFrame:
     """The n latest orders, newest first."""
     latest = orders.select("order_id", "created_on").orderBy(F.desc("created_on"), "order_id").limit(n)
-    newest_first = Window.orderBy(F.desc("created_on"), "order_id")
-    return latest.withColumn("pos", F.row_number().over(newest_first))
+    return latest.selectExpr("*", "row_number() OVER (ORDER BY created_on DESC, order_id) AS pos")

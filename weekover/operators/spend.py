@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekover.functions.numeric import MONEY, money
+from weekover.functions.numeric import exact, money
 from weekover.params import ReportParams
 
 ORDER_KEY = ("order_id", "hr", "dt")
@@ -55,10 +55,9 @@ def weighted_lines(lines: DataFrame, offers: DataFrame) -> DataFrame:
     An offer under several listed templates counts once per template. Counting the
     templates first keeps the join many to one, so a popular offer cannot multiply rows.
     """
-    weights = offers.groupBy("offer_id").agg(F.count("*").alias("templates"))
-    spend = (money("discount") * F.col("templates")).alias("spend")
+    weights = offers.groupBy("offer_id").agg(F.expr("count(*) AS templates"))
     keys = [c for c in lines.columns if c not in ("offer_id", "discount")]
-    return lines.join(weights, "offer_id").select(*keys, spend)
+    return lines.join(weights, "offer_id").selectExpr(*keys, f"{money('discount')} * templates AS spend")
 
 
 def order_spend(lines: DataFrame, offers: DataFrame) -> DataFrame:
@@ -66,7 +65,7 @@ def order_spend(lines: DataFrame, offers: DataFrame) -> DataFrame:
     return (
         weighted_lines(lines.select("order_id", "offer_id", "discount"), offers)
         .groupBy("order_id")
-        .agg(F.sum("spend").cast("decimal(38,2)").alias("order_spend"))
+        .agg(F.expr(f"{exact('sum(spend)')} AS order_spend"))
     )
 
 
@@ -75,7 +74,7 @@ def nested_spend(rows: DataFrame, offers: DataFrame, keys: Sequence[str] = ORDER
     return (
         weighted_lines(explode_offers(rows, keys), offers)
         .groupBy(*keys)
-        .agg(F.sum("spend").cast("decimal(38,2)").alias("targeted_spend"))
+        .agg(F.expr(f"{exact('sum(spend)')} AS targeted_spend"))
     )
 
 
@@ -87,20 +86,19 @@ def targeted_spend(
     Copies are counted before the join, which then meets each order once per hour
     instead of once per copy and line.
     """
-    copies = rows.groupBy(*keys).agg(F.count("*").alias("copies"))
-    return copies.join(order_spend(lines, offers), "order_id").select(
-        *keys, (F.col("order_spend") * F.col("copies")).cast("decimal(38,2)").alias("targeted_spend")
+    copies = rows.groupBy(*keys).agg(F.expr("count(*) AS copies"))
+    return copies.join(order_spend(lines, offers), "order_id").selectExpr(
+        *keys, f"{exact('order_spend * copies')} AS targeted_spend"
     )
 
 
-def first_offer_total() -> Column:
-    """Amount of the first offer total; NULL for a missing, empty or malformed entry."""
-    return F.get("offer_totals", F.lit(0))["total_offer_discount"].try_cast(MONEY)
+# Amount of the first offer total; NULL for a missing, empty or malformed entry.
+FIRST_OFFER_TOTAL = "try_cast(get(offer_totals, 0).total_offer_discount AS decimal(18,2))"
 
 
 def special_spend(rows: DataFrame, special_coupons: DataFrame) -> DataFrame:
     """Rows with ``special_spend``: the first offer total if the coupon is a special one."""
-    listed = special_coupons.select("coupon_code", F.lit(True).alias("is_special")).distinct()
-    return rows.join(listed, "coupon_code", "left").withColumn(
-        "special_spend", F.when(F.col("is_special"), first_offer_total())
-    ).drop("is_special")
+    listed = special_coupons.selectExpr("coupon_code", "TRUE AS is_special").distinct()
+    return rows.join(listed, "coupon_code", "left").selectExpr(
+        "* EXCEPT (is_special)", f"CASE WHEN is_special THEN {FIRST_OFFER_TOTAL} END AS special_spend"
+    )

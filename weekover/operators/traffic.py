@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekover.metrics import TRAFFIC_MEASURES
 from weekover.params import ReportParams
 
 
-def _sums():
-    return [F.sum(m).alias(m) for m in TRAFFIC_MEASURES]
+def _totals(function: str) -> list[Column]:
+    return [F.expr(f"{function}({m}) AS {m}") for m in TRAFFIC_MEASURES]
 
 
 def cluster_traffic(traffic: DataFrame, cluster_classes: DataFrame, params: ReportParams) -> DataFrame:
@@ -24,12 +24,12 @@ def cluster_traffic(traffic: DataFrame, cluster_classes: DataFrame, params: Repo
 
 
 def traffic_by_hour(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("cluster", "hr").agg(*_sums())
+    return rows.groupBy("cluster", "hr").agg(*_totals("sum"))
 
 
 def traffic_by_city(rows: DataFrame) -> DataFrame:
     """Sums by lower-cased city name."""
-    return rows.groupBy("cluster", F.lower("city").alias("city_key"), "hr").agg(*_sums())
+    return rows.groupBy("cluster", F.lower("city").alias("city_key"), "hr").agg(*_totals("sum"))
 
 
 def traffic_by_state(rows: DataFrame, city_dim: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def traffic_by_state(rows: DataFrame, city_dim: DataFrame) -> DataFrame:
         rows.withColumn("city_key", F.lower("city"))
         .join(cities, "city_key")
         .groupBy("cluster", "state", "hr")
-        .agg(*_sums())
+        .agg(*_totals("sum"))
     )
 
 
@@ -51,5 +51,5 @@ def group_lookup(sums: DataFrame, name: str) -> DataFrame:
     largest of the spellings.
     """
     return sums.groupBy("cluster", F.lower(name).alias("grp_key"), "hr").agg(
-        F.count("*").alias("spellings"), *[F.max(m).alias(m) for m in TRAFFIC_MEASURES]
+        F.expr("count(*) AS spellings"), *_totals("max")
     )

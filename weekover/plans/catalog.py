@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekover.functions import labels
-from weekover.functions.numeric import MONEY
+from weekover.functions.numeric import aliased
 from weekover.metrics import GROUP_METRICS
 from weekover.operators import compare, facts, filters, groups, layout, monitor, snapshot, spend, traffic
 from weekover.params import ReportParams
@@ -46,7 +46,7 @@ def query(build: Callable[[ReportInputs, ReportParams], DataFrame]) -> Callable:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         params = retail.default_params()
-        return _plain(build(retail.load_inputs(spark, sf_dir, params), params))
+        return _plain(build(retail.RetailInputs(spark, sf_dir, params), params))
 
     REGISTRY[build.__name__] = run
     return build
@@ -81,15 +81,11 @@ def cluster_filter(i: ReportInputs, p: ReportParams) -> DataFrame:
 def cluster_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request label per customer, in the spellings a client may send."""
     p = retail.default_params()
-    key = F.col("c_custkey")
-    gap = F.when(key % 3 == 0, " ").when(key % 3 == 1, "+").otherwise("_")
-    name = F.when(key % 5 == 4, "Next").otherwise((key % 5).cast("string"))
-    label = F.concat(F.lit("Tier"), gap, name)
-    return retail.table(spark, sf_dir, "customer").select(
-        key.alias("request_id"),
-        label.alias("label"),
-        labels.cluster_slug(label, p.clusters, p.default_cluster).alias("cluster"),
-    )
+    label = """concat('Tier', CASE c_custkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN '+' ELSE '_' END,
+        if(c_custkey % 5 = 4, 'Next', cast(c_custkey % 5 AS string))) AS label"""
+    slug = labels.cluster_slug("label", p.clusters, p.default_cluster)
+    requests = retail.table(spark, sf_dir, "customer").selectExpr("c_custkey AS request_id", label)
+    return requests.selectExpr("*", f"{slug} AS cluster")
 
 
 @query
@@ -164,7 +160,7 @@ def traffic_state(i: ReportInputs, p: ReportParams) -> DataFrame:
 
 @query
 def hourly_wow(i: ReportInputs, p: ReportParams) -> DataFrame:
-    return compare.hourly_rows(i, p).drop("conv_sessions", "lw_conv_sessions")
+    return compare.hourly_rows(i, p)
 
 
 @query
@@ -366,7 +362,7 @@ def latest_n(i: ReportInputs, p: ReportParams) -> DataFrame:
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = retail.default_params()
     root = shared_folder(spark, "snapshot")
-    report = compare.hourly_report(retail.load_inputs(spark, sf_dir, p), p)
+    report = compare.hourly_report(retail.RetailInputs(spark, sf_dir, p), p)
     snapshot.write_snapshot(report, root, refresh.KIND, p)
     return snapshot.read_snapshot(spark, root, refresh.KIND)
 
@@ -377,11 +373,11 @@ def snapshot_refresh_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = retail.default_params()
     before = replace(p, as_of=p.as_of.replace(hour=11, minute=0))
     root = shared_folder(spark, "snapshot")
-    stored = compare.hourly_report(retail.load_inputs(spark, sf_dir, before), before)
+    stored = compare.hourly_report(retail.RetailInputs(spark, sf_dir, before), before)
     snapshot.write_snapshot(stored, root, refresh.KIND, before)
     one = replace(p, clusters=(REFRESHED_CLUSTER,))
     snapshot.write_snapshot(
-        compare.hourly_report(retail.load_inputs(spark, sf_dir, one), one), root, refresh.KIND, one
+        compare.hourly_report(retail.RetailInputs(spark, sf_dir, one), one), root, refresh.KIND, one
     )
     return snapshot.read_snapshot(spark, root, refresh.KIND)
 
@@ -400,27 +396,24 @@ def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scalar_functions(i: ReportInputs, p: ReportParams) -> DataFrame:
-    created, bill = F.col("created_on"), F.col("order_bill")
-    hit = F.coalesce("platform_discount_hit", F.lit(0.0))
-    first_total = F.get("offer_totals", F.lit(0))["total_offer_discount"]
-    hr_text = F.hour(created).cast("string")
-    return i.orders.select(
-        "order_id",
-        F.hour(created).alias("hour_of"),
-        filters.time_of_day("created_on").alias("time_of_day"),
-        F.lit(p.today).alias("today"),
-        F.date_sub(F.lit(p.today), p.compare_days).alias("last_week"),
-        F.lower("coupon_code").alias("lower_code"),
-        hit.alias("hit_or_zero"),
-        F.nullif("coupon_code", F.lit("")).alias("code_or_null"),
-        F.round(bill.cast(MONEY), 1).cast("double").alias("bill_1dp"),
-        hr_text.alias("hr_text"),
-        hr_text.cast("int").alias("hr_int"),
-        first_total.try_cast("double").alias("first_total"),
-        labels.coupon_present(F.col("coupon_code")).alias("has_coupon"),
-        F.when(F.col("dt") == F.lit(p.today), "today").otherwise("last week").alias("day_label"),
-        F.col("coupon_code").isin("1-URGENT", "2-HIGH").alias("is_listed"),
-        (F.col("order_id") / F.nullif(F.col("city_code"), F.lit(0))).alias("quotient"),
-        F.to_date(F.substring(created.cast("string"), 1, 10)).alias("date_prefix"),
-        F.abs(hit - F.col("platform_discount")).alias("distance"),
-    )
+    first_total = "get(offer_totals, 0).total_offer_discount"
+    columns = {
+        "hour_of": "hour(created_on)",
+        "time_of_day": "date_format(created_on, 'HH:mm:ss')",
+        "today": f"DATE '{p.today}'",
+        "last_week": f"DATE '{p.today}' - {p.compare_days}",
+        "lower_code": "lower(coupon_code)",
+        "hit_or_zero": "coalesce(platform_discount_hit, 0)",
+        "code_or_null": "nullif(coupon_code, '')",
+        "bill_1dp": "cast(round(cast(order_bill AS decimal(18,2)), 1) AS double)",
+        "hr_text": "cast(hour(created_on) AS string)",
+        "hr_int": "cast(cast(hour(created_on) AS string) AS int)",
+        "first_total": f"try_cast({first_total} AS double)",
+        "has_coupon": labels.COUPON_PRESENT,
+        "day_label": f"CASE WHEN dt = DATE '{p.today}' THEN 'today' ELSE 'last week' END",
+        "is_listed": "coupon_code IN ('1-URGENT', '2-HIGH')",
+        "quotient": "order_id / nullif(city_code, 0)",
+        "date_prefix": "to_date(substring(cast(created_on AS string), 1, 10))",
+        "distance": "abs(coalesce(platform_discount_hit, 0) - platform_discount)",
+    }
+    return i.orders.selectExpr("order_id", *aliased(columns))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 
 
-@dataclass(frozen=True)
-class ReportInputs:
-    """Canonical frames.
+class ReportInputs(Protocol):
+    """Canonical frames, see ``schemas``.
 
     Offers come in one of two storage forms: nested, as the array ``offer_details`` on
     each order row (``offer_lines`` is then None), or normalised, as one ``offer_lines``
@@ -25,3 +25,18 @@ class ReportInputs:
     cluster_dim: DataFrame
     cluster_classes: DataFrame
     traffic: DataFrame
+
+
+@dataclass(frozen=True)
+class FrameInputs:
+    """Inputs given as frames."""
+
+    orders: DataFrame
+    offer_lines: DataFrame | None
+    offer_events: DataFrame
+    templates: DataFrame
+    special_coupons: DataFrame
+    city_dim: DataFrame
+    cluster_dim: DataFrame
+    cluster_classes: DataFrame
+    traffic: DataFrame

@@ -8,6 +8,7 @@ state. Every frame is a lazy projection of the parquet tables.
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,6 @@ from pyspark.sql import types as T
 
 from weekover.params import ReportParams
 from weekover.sources import schemas
-from weekover.sources.inputs import ReportInputs
 
 # The clock of the test runs, and the lists that stand for dimension tables.
 AS_OF = datetime(2024, 1, 30, 14, 45)
@@ -34,16 +34,16 @@ CLUSTER_CLASSES = (
 # an at-least-once feed would do.
 COPY_EVERY = 50
 
-EVENTS = T.StructType(
-    [
-        T.StructField("event_id", T.LongType()),
-        T.StructField("ts", T.TimestampNTZType()),
-        T.StructField("user_id", T.LongType()),
-        T.StructField("event_type", T.StringType()),
-        T.StructField("value", T.DoubleType()),
-        T.StructField("props", T.StringType()),
-    ]
-)
+# Declared schemas of the columns in use, so that no read starts a job to infer them.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "part": "p_partkey bigint, p_brand string, p_size int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_quantity double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+}
 
 
 def default_params(**overrides) -> ReportParams:
@@ -51,114 +51,86 @@ def default_params(**overrides) -> ReportParams:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _time(moment: datetime | date) -> Column:
-    return F.lit(str(moment)).cast("timestamp_ntz")
+def _time(moment: datetime | date) -> str:
+    return f"cast('{moment}' as timestamp_ntz)"
 
 
-def _on_day(ts: Column, day: date) -> Column:
+def _on_day(ts: str, day: date) -> str:
     """``ts`` falls on ``day``, as a range that reaches the parquet scan."""
-    return (ts >= _time(day)) & (ts < _time(day + timedelta(days=1)))
+    return f"({ts} >= {_time(day)} AND {ts} < {_time(day + timedelta(days=1))})"
 
 
 def compared_events(events: DataFrame, params: ReportParams) -> DataFrame:
     """Events of the two compared days, none later than the clock of the run."""
-    ts = F.col("ts")
-    return events.where(
-        (_on_day(ts, params.today) | _on_day(ts, params.last_week)) & (ts <= _time(params.as_of))
-    )
+    days = f"{_on_day('ts', params.today)} OR {_on_day('ts', params.last_week)}"
+    return events.where(f"({days}) AND ts <= {_time(params.as_of)}")
 
 
 def order_facts(events: DataFrame, orders: DataFrame, customer: DataFrame) -> DataFrame:
-    key = F.col("o_orderkey")
-    hit = F.when(F.col("event_type") == "click", key % 15)
-    facts = (
-        events.join(orders, F.col("event_id") == key)
-        .join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-        .select(
-            F.col("event_id").alias("order_id"),
-            F.col("ts").alias("created_on"),
-            F.col("ts").cast("date").alias("dt"),
-            F.col("c_nationkey").alias("city_code"),
-            F.when(F.col("event_type") == "error", 1).otherwise(0).alias("excluded_flag"),
-            F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "")
-            .when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority"))
-            .alias("coupon_code"),
-            ((F.col("o_custkey") % 10 + 10).cast("double") / 10).alias("banner_factor"),
-            F.col("o_totalprice").alias("order_bill"),
-            F.col("value").alias("cart_discount"),
-            (key % 60).cast("double").alias("platform_discount"),
-            hit.cast("double").alias("platform_discount_hit"),
-            (key % 40).cast("double").alias("merchant_discount_hit"),
-            (F.col("o_custkey") % 25).cast("double").alias("merchant_offers_discount"),
-            F.when(F.col("event_type") == "purchase", 10.0).alias("alliance_discount"),
-            (key % 60 + F.coalesce(hit, F.lit(0)) + 80).cast("double").alias("total_platform_discount"),
-            F.when(
-                key % 7 != 0,
-                F.array(F.struct((key % 80).cast("string").alias("total_offer_discount"))),
-            )
-            .otherwise(F.array().cast(T.ArrayType(schemas.OFFER_TOTAL)))
-            .alias("offer_totals"),
+    """Order rows; the resent ones are repeated in place, without a second scan."""
+    placed = (
+        events.join(orders, F.col("event_id") == F.col("o_orderkey"))
+        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .selectExpr(
+            "*",
+            "CASE WHEN event_type = 'click' THEN o_orderkey % 15 END AS hit",
+            f"""explode(CASE o_orderkey % {COPY_EVERY}
+                WHEN 0 THEN array(0, 0) WHEN 1 THEN array(0, 10) ELSE array(0) END) AS raise""",
         )
     )
-    return _with_copies(facts)
-
-
-def _with_copies(facts: DataFrame) -> DataFrame:
-    """Repeat the resent orders in place, without a second scan."""
-    slot = F.col("order_id") % COPY_EVERY
-    raised = F.when(slot == 0, F.array(F.lit(0), F.lit(0))).when(slot == 1, F.array(F.lit(0), F.lit(10)))
-    return (
-        facts.withColumn("raise", F.explode(F.coalesce(raised, F.array(F.lit(0)))))
-        .withColumn("order_bill", F.col("order_bill") + F.col("raise"))
-        .drop("raise")
+    return placed.selectExpr(
+        "event_id AS order_id",
+        "ts AS created_on",
+        "cast(ts AS date) AS dt",
+        "c_nationkey AS city_code",
+        "CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS excluded_flag",
+        """CASE o_orderpriority WHEN '5-LOW' THEN NULL WHEN '4-NOT SPECIFIED' THEN ''
+           ELSE o_orderpriority END AS coupon_code""",
+        "cast(10 + o_custkey % 10 AS double) / 10 AS banner_factor",
+        "o_totalprice + raise AS order_bill",
+        "value AS cart_discount",
+        "cast(o_orderkey % 60 AS double) AS platform_discount",
+        "cast(hit AS double) AS platform_discount_hit",
+        "cast(o_orderkey % 40 AS double) AS merchant_discount_hit",
+        "cast(o_custkey % 25 AS double) AS merchant_offers_discount",
+        "CASE WHEN event_type = 'purchase' THEN 10D END AS alliance_discount",
+        "cast(o_orderkey % 60 + coalesce(hit, 0) + 80 AS double) AS total_platform_discount",
+        """CASE WHEN o_orderkey % 7 = 0 THEN cast(array() AS array<struct<total_offer_discount: string>>)
+           ELSE array(named_struct('total_offer_discount', cast(o_orderkey % 80 AS string))) END AS offer_totals""",
     )
 
 
 def offer_lines(lineitem: DataFrame) -> DataFrame:
-    return lineitem.select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("offer_id"),
-        F.col("l_quantity").alias("discount"),
-    )
+    return lineitem.selectExpr("l_orderkey AS order_id", "l_partkey AS offer_id", "l_quantity AS discount")
 
 
 def offer_events(part: DataFrame, params: ReportParams) -> DataFrame:
     """One event per part and brand; every twentieth part also runs under the first template."""
-    brands = F.when(
-        F.col("p_partkey") % 20 == 0, F.array(F.col("p_brand"), F.lit(TEMPLATE_IDS[0]))
-    ).otherwise(F.array(F.col("p_brand")))
-    return part.select(
-        F.col("p_partkey").alias("offer_id"),
-        F.explode(brands).alias("template_id"),
-        F.date_sub(F.lit(params.today), F.col("p_size") * 3).alias("dt"),
+    return part.selectExpr(
+        "p_partkey AS offer_id",
+        f"explode(if(p_partkey % 20 = 0, array(p_brand, '{TEMPLATE_IDS[0]}'), array(p_brand))) AS template_id",
+        f"date_sub(DATE '{params.today}', 3 * p_size) AS dt",
     )
 
 
 def city_dim(nation: DataFrame, region: DataFrame) -> DataFrame:
-    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.col("n_nationkey").alias("city_id"),
-        F.col("n_name").alias("city_name"),
-        F.col("r_name").alias("state"),
+    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).selectExpr(
+        "n_nationkey AS city_id", "n_name AS city_name", "r_name AS state"
     )
 
 
-def _tier(nation_key: Column) -> Column:
-    return F.when(nation_key < 5, 1).when(nation_key < 15, 2).otherwise(3)
+TIER = "CASE WHEN n_nationkey < 5 THEN '1' WHEN n_nationkey < 15 THEN '2' ELSE '3' END"
 
 
 def cluster_dim(nation: DataFrame) -> DataFrame:
     """One row per membership: cities of the second and third tier are also in ``tier_next``."""
-    tier = _tier(F.col("n_nationkey"))
-    own = F.concat(F.lit("tier_"), tier.cast("string"))
-    members = F.when(tier == 1, F.array(own)).otherwise(F.array(own, F.lit("tier_next")))
-    return nation.select(F.col("n_nationkey").alias("city_code"), F.explode(members).alias("cluster"))
+    return nation.selectExpr(
+        "n_nationkey AS city_code",
+        f"explode(if(n_nationkey < 5, array('tier_1'), array('tier_' || {TIER}, 'tier_next'))) AS cluster",
+    )
 
 
 def traffic_buckets(events: DataFrame, nation: DataFrame, params: ReportParams) -> DataFrame:
@@ -166,34 +138,33 @@ def traffic_buckets(events: DataFrame, nation: DataFrame, params: ReportParams)
 
     Last week's events keep the whole day, as the upstream bucket table does.
     """
-    ts = F.col("ts")
-    is_today = _on_day(ts, params.today) & (ts <= _time(params.as_of))
-    is_last_week = _on_day(ts, params.last_week)
-    converted = F.col("event_type") == "purchase"
-    shift = F.expr(f"INTERVAL '{params.compare_days}' DAY")
-    name = F.when(F.col("user_id") % 2 == 1, F.lower("n_name")).otherwise(F.col("n_name"))
-    platform = (
-        F.when(F.col("user_id") % 3 == 0, "Android").when(F.col("user_id") % 3 == 1, "iOS").otherwise("Web")
-    )
+    today = f"({_on_day('ts', params.today)} AND ts <= {_time(params.as_of)})"
+    last_week = _on_day("ts", params.last_week)
+    moment = f"if(is_today, ts, ts + INTERVAL '{params.compare_days}' DAY)"
+
+    def counted(condition: str, name: str) -> Column:
+        return F.expr(f"count_if({condition}) AS {name}")
+
     return (
-        events.where(is_today | is_last_week)
-        .withColumn("is_today", is_today)
+        events.where(f"{today} OR {last_week}")
+        .selectExpr("*", f"{today} AS is_today")
         .join(nation, F.col("user_id") % 25 == F.col("n_nationkey"))
-        .groupBy(
-            F.date_trunc("hour", F.when(F.col("is_today"), ts).otherwise(ts + shift))
-            .cast("timestamp_ntz")
-            .alias("hr"),
-            name.alias("city"),
-            platform.alias("platform"),
-            F.concat(F.lit("class_"), _tier(F.col("n_nationkey")).cast("string")).alias("classification"),
+        .selectExpr(
+            "is_today",
+            "event_type = 'purchase' AS converted",
+            f"cast(date_trunc('HOUR', {moment}) AS timestamp_ntz) AS hr",
+            "if(user_id % 2 = 1, lower(n_name), n_name) AS city",
+            "CASE user_id % 3 WHEN 0 THEN 'Android' WHEN 1 THEN 'iOS' ELSE 'Web' END AS platform",
+            f"'class_' || {TIER} AS classification",
         )
+        .groupBy("hr", "city", "platform", "classification")
         .agg(
-            F.count_if("is_today").alias("sessions"),
-            F.count_if(~F.col("is_today")).alias("lw_sessions"),
-            F.count_if(F.col("is_today") & converted).alias("conv_sessions"),
-            F.count_if(~F.col("is_today") & converted).alias("lw_conv_sessions"),
+            counted("is_today", "sessions"),
+            counted("NOT is_today", "lw_sessions"),
+            counted("is_today AND converted", "conv_sessions"),
+            counted("NOT is_today AND converted", "lw_conv_sessions"),
         )
-        .withColumn("dt", F.col("hr").cast("date"))
+        .selectExpr("*", "cast(hr AS date) AS dt")
     )
 
 
@@ -203,28 +174,63 @@ def inline(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame(pa.table(columns), schema)
 
 
-def load_inputs(
-    spark: SparkSession, sf_dir: str, params: ReportParams, events: DataFrame | None = None
-) -> ReportInputs:
-    """The canonical frames over the tables in ``sf_dir``.
+class RetailInputs:
+    """The canonical frames over the tables in ``sf_dir``, each built when first used.
 
     ``events`` replaces the event rows that orders are built from, as the incremental
-    refresh does with the rows that have landed so far.
+    refresh does with the rows that have landed so far; ``clusters`` replaces the
+    cluster dimension.
     """
-    all_events = events_table(spark, sf_dir)
-    nation = table(spark, sf_dir, "nation")
-    return ReportInputs(
-        orders=order_facts(
-            compared_events(all_events if events is None else events, params),
-            table(spark, sf_dir, "orders"),
-            table(spark, sf_dir, "customer"),
-        ),
-        offer_lines=offer_lines(table(spark, sf_dir, "lineitem")),
-        offer_events=offer_events(table(spark, sf_dir, "part"), params),
-        templates=inline(spark, [(t,) for t in TEMPLATE_IDS], schemas.TEMPLATES),
-        special_coupons=inline(spark, [(c,) for c in SPECIAL_COUPON_CODES], schemas.SPECIAL_COUPONS),
-        city_dim=city_dim(nation, table(spark, sf_dir, "region")),
-        cluster_dim=cluster_dim(nation),
-        cluster_classes=inline(spark, list(CLUSTER_CLASSES), schemas.CLUSTER_CLASSES),
-        traffic=traffic_buckets(all_events, nation, params),
-    )
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        sf_dir: str,
+        params: ReportParams,
+        events: DataFrame | None = None,
+        clusters: DataFrame | None = None,
+    ):
+        self._spark, self._sf_dir, self._params = spark, sf_dir, params
+        self._events, self._clusters = events, clusters
+
+    def _table(self, name: str) -> DataFrame:
+        return table(self._spark, self._sf_dir, name)
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        events = self._table("events") if self._events is None else self._events
+        return order_facts(
+            compared_events(events, self._params), self._table("orders"), self._table("customer")
+        )
+
+    @cached_property
+    def offer_lines(self) -> DataFrame:
+        return offer_lines(self._table("lineitem"))
+
+    @cached_property
+    def offer_events(self) -> DataFrame:
+        return offer_events(self._table("part"), self._params)
+
+    @cached_property
+    def templates(self) -> DataFrame:
+        return inline(self._spark, [(t,) for t in TEMPLATE_IDS], schemas.TEMPLATES)
+
+    @cached_property
+    def special_coupons(self) -> DataFrame:
+        return inline(self._spark, [(c,) for c in SPECIAL_COUPON_CODES], schemas.SPECIAL_COUPONS)
+
+    @cached_property
+    def city_dim(self) -> DataFrame:
+        return city_dim(self._table("nation"), self._table("region"))
+
+    @cached_property
+    def cluster_dim(self) -> DataFrame:
+        return cluster_dim(self._table("nation")) if self._clusters is None else self._clusters
+
+    @cached_property
+    def cluster_classes(self) -> DataFrame:
+        return inline(self._spark, CLUSTER_CLASSES, schemas.CLUSTER_CLASSES)
+
+    @cached_property
+    def traffic(self) -> DataFrame:
+        return traffic_buckets(self._table("events"), self._table("nation"), self._params)

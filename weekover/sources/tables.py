@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weekover.sources import schemas
-from weekover.sources.inputs import ReportInputs
+from weekover.sources.inputs import FrameInputs
 
 
 def write_by_day(df: DataFrame, path: str) -> None:
@@ -22,13 +22,13 @@ def write_by_day(df: DataFrame, path: str) -> None:
     )
 
 
-def read_inputs(spark: SparkSession, root: str) -> ReportInputs:
+def read_inputs(spark: SparkSession, root: str) -> FrameInputs:
     """Read the canonical tables below ``root`` with nested offers."""
 
     def table(name, schema):
         return spark.read.schema(schema).parquet(f"{root}/{name}")
 
-    return ReportInputs(
+    return FrameInputs(
         orders=table("order_facts", schemas.ORDER_FACTS),
         offer_lines=None,
         offer_events=table("offer_events", schemas.OFFER_EVENTS),

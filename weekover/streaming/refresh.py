@@ -7,8 +7,6 @@ days and the clusters it touches are recomputed from all landed events.
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,7 +19,7 @@ KIND = "hourly"
 
 
 def event_stream(spark: SparkSession, folder: str, pattern: str, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(retail.EVENTS).option("pathGlobFilter", pattern)
+    reader = spark.readStream.schema(retail.TABLES["events"]).option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(folder)
@@ -42,20 +40,17 @@ def start_refresh(
         own_folder = f"{landing}/batch_id={batch_id}"
         retail.compared_events(batch, params).write.mode("overwrite").parquet(own_folder)
 
-        def inputs_over(path: str):
-            landed = spark.read.schema(retail.EVENTS).parquet(path)
-            return retail.load_inputs(spark, sf_dir, params, landed)
+        def inputs_over(path: str, clusters: DataFrame | None = None) -> retail.RetailInputs:
+            landed = spark.read.schema(retail.TABLES["events"]).parquet(path)
+            return retail.RetailInputs(spark, sf_dir, params, landed, clusters)
 
         arrived = inputs_over(own_folder)
         touched = (
             filters.in_clusters(arrived.orders, arrived.cluster_dim, params).select("cluster").distinct()
         )
-        everything = inputs_over(landing)
-        affected = replace(
-            everything,
-            # One row per cluster.
-            cluster_dim=everything.cluster_dim.join(F.broadcast(touched), "cluster", "left_semi"),
-        )
+        # One row per cluster.
+        clusters = arrived.cluster_dim.join(F.broadcast(touched), "cluster", "left_semi")
+        affected = inputs_over(landing, clusters)
         snapshot.write_snapshot(compare.hourly_report(affected, params), snapshot_root, KIND, params)
 
     return (
