@@ -14,21 +14,13 @@ from weekover.sources.inputs import ReportInputs
 
 TOTAL = "Overall"
 COUNTS = ("total_opd", "lw_opd", *TRAFFIC_MEASURES)
-KPIS = ("total_opd", "ob_pct", "amv", "cdpo_po", "sdpo_po", "rdpo_po", "total_platform_po", "targeted_po", "special_po")
 
 
-def side_by_side(kpis: DataFrame, params: ReportParams) -> DataFrame:
-    """Both days of an hour in one row, in one aggregation; hours without today drop out."""
-    days = {"tw": params.today, "lw": params.last_week}
-    columns = {
-        f"{side}_{name}": f"max(if(dt = DATE '{day}', {name}, NULL))" for side, day in days.items() for name in KPIS
-    }
-    wide = kpis.groupBy("cluster", "hr").agg(*map(F.expr, aliased(columns)))
-    return wide.where("tw_total_opd IS NOT NULL")
-
+def paired_rates(kpis: DataFrame, by_hour: DataFrame) -> DataFrame:
+    """Rounded rates of today and last week with the traffic of the hour, one row per hour.
 
-def paired_rates(kpis: DataFrame, by_hour: DataFrame, params: ReportParams) -> DataFrame:
-    """Rounded rates of today and last week with the traffic of the hour, one row per hour."""
+    ``kpis`` has both days of an hour side by side.
+    """
     columns = {"total_opd": "tw_total_opd", "lw_opd": "lw_total_opd"}
     for m in RATE_METRICS:
         for side, name in (("tw", m.tw), ("lw", m.lw)):
@@ -36,10 +28,8 @@ def paired_rates(kpis: DataFrame, by_hour: DataFrame, params: ReportParams) -> D
                 columns[name] = rounded(f"{side}_total_platform_po - {side}_special_po", 2)
             else:
                 columns[name] = f"{side}_{m.tw}"
-    return (
-        side_by_side(kpis, params)
-        .join(by_hour, ["cluster", "hr"], "left")
-        .selectExpr("cluster", "hr", *aliased(columns), *TRAFFIC_MEASURES)
+    return kpis.join(by_hour, ["cluster", "hr"], "left").selectExpr(
+        "cluster", "hr", *aliased(columns), *TRAFFIC_MEASURES
     )
 
 
@@ -87,8 +77,8 @@ def with_total(rates: DataFrame, clusters: DataFrame) -> DataFrame:
 
     The total sums the counts and recombines the rounded hourly rates weighted by orders,
     its changes coming from the unrounded values; the weighted rate of a single hour is
-    the rate itself. A blank row per cluster makes sure that a cluster without hours
-    gets its total, of NULLs.
+    the rate itself. Blank rows, one per entry of ``clusters``, make sure that a cluster
+    without hours gets its total, of NULLs. ``pos`` sorts the total last.
     """
     blank = clusters.selectExpr("cluster", "FALSE AS is_hour")
     rows = rates.selectExpr("*", "TRUE AS is_hour").unionByName(blank, allowMissingColumns=True)
@@ -101,7 +91,6 @@ def with_total(rates: DataFrame, clusters: DataFrame) -> DataFrame:
         rolled.where("is_total OR is_hour")
         .selectExpr("cluster", label, *aliased(report_columns()), position)
         .select("cluster", *hourly_columns(), "pos")
-        .orderBy("cluster", "pos")
     )
 
 
@@ -109,7 +98,7 @@ def hourly_rates(inputs: ReportInputs, params: ReportParams) -> DataFrame:
     by_hour = traffic.traffic_by_hour(
         traffic.cluster_traffic(inputs.traffic, inputs.cluster_classes, params)
     )
-    return paired_rates(facts.hourly_report_kpis(inputs, params), by_hour, params)
+    return paired_rates(facts.paired_kpis(facts.hourly_orders(inputs, params), params), by_hour)
 
 
 def hourly_rows(inputs: ReportInputs, params: ReportParams) -> DataFrame:
@@ -119,8 +108,7 @@ def hourly_rows(inputs: ReportInputs, params: ReportParams) -> DataFrame:
 
 def hourly_report(inputs: ReportInputs, params: ReportParams) -> DataFrame:
     """The complete hourly report of every cluster with cities in the cluster dimension."""
-    clusters = filters.cluster_cities(inputs.cluster_dim, params).select("cluster").distinct()
-    return with_total(hourly_rates(inputs, params), clusters)
+    return with_total(hourly_rates(inputs, params), filters.cluster_cities(inputs.cluster_dim, params))
 
 
 def report_meta(report: DataFrame, params: ReportParams) -> DataFrame:

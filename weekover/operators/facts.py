@@ -56,7 +56,7 @@ def order_level(
 
     ``fan_out=False`` leaves every copy counted once, which is the same on unique keys.
     """
-    offers = spend.targeted_offers(inputs.offer_events, inputs.templates, params)
+    weights = spend.offer_weights(inputs.offer_events, inputs.templates, params)
     totals = {name: exact(f"sum({amount})") for name, amount in AMOUNTS.items()}
     totals |= {
         "copies": "count(*)",
@@ -71,10 +71,10 @@ def order_level(
     )
     # Spend joins before the window: the partitioning of a shuffled join serves both.
     if "offer_details" in rows.columns:
-        per_order = per_order.join(spend.nested_spend(rows, offers, KEY), list(KEY), "left")
+        per_order = per_order.join(spend.nested_spend(rows, weights, KEY), list(KEY), "left")
         targeted = "targeted_spend"
     else:
-        per_order = per_order.join(spend.order_spend(inputs.offer_lines, offers), "order_id", "left")
+        per_order = per_order.join(spend.order_spend(inputs.offer_lines, weights), "order_id", "left")
         targeted = "order_spend * key_copies"
     # An order can reach several groups; there are at most as many rows per key as there
     # are groups in the city dimension.
@@ -99,23 +99,50 @@ def order_level(
     return per_order.selectExpr(*KEY, *group, *aliased(columns))
 
 
-def hourly_kpis(per_order: DataFrame) -> DataFrame:
-    """Per-order averages by cluster, hour and day."""
-    orders = "count(order_id)"
+def _rates(day: str = "TRUE") -> dict[str, str]:
+    """Per-order averages over the rows of a day."""
+
+    def total(value: str) -> str:
+        return f"{value} FILTER (WHERE {day})"
+
+    orders = total("count(order_id)")
     rates = {
         "total_opd": orders,
-        "ob_pct": rounded(percent("count_if(has_banner)", orders), 1),
-        "amv": rounded(ratio("sum(bill_sum)", orders), 0),
+        "ob_pct": rounded(percent(total("count_if(has_banner)"), orders), 1),
+        "amv": rounded(ratio(total("sum(bill_sum)"), orders), 0),
     }
     for name in ("cdpo", "sdpo", "rdpo", "targeted", "special"):
-        rates[f"{name}_po"] = rounded(ratio(f"sum({name}_sum)", orders), 2)
-    rates["total_platform_po"] = rounded(ratio("sum(platform_sum)", orders), 2)
-    return per_order.groupBy("cluster", "hr", "dt").agg(*map(F.expr, aliased(rates)))
+        rates[f"{name}_po"] = rounded(ratio(total(f"sum({name}_sum)"), orders), 2)
+    rates["total_platform_po"] = rounded(ratio(total("sum(platform_sum)"), orders), 2)
+    return rates
 
 
-def hourly_report_kpis(inputs: ReportInputs, params: ReportParams, fan_out: bool = True) -> DataFrame:
+def hourly_kpis(per_order: DataFrame) -> DataFrame:
+    """Per-order averages by cluster, hour and day."""
+    return per_order.groupBy("cluster", "hr", "dt").agg(*map(F.expr, aliased(_rates())))
+
+
+def paired_kpis(per_order: DataFrame, params: ReportParams) -> DataFrame:
+    """The averages of both days side by side, one row per hour that has rows today.
+
+    ``lw_total_opd`` is NULL for an hour without rows last week.
+    """
+    today, last_week = f"dt = DATE '{params.today}'", f"dt = DATE '{params.last_week}'"
+    columns = {f"tw_{name}": rate for name, rate in _rates(today).items()}
+    columns |= {f"lw_{name}": rate for name, rate in _rates(last_week).items()}
+    columns["lw_total_opd"] = f"if(count_if({last_week}) > 0, {columns['lw_total_opd']}, NULL)"
+    columns["today_rows"] = f"count_if({today})"
+    return per_order.groupBy("cluster", "hr").agg(*map(F.expr, aliased(columns))).where("today_rows > 0")
+
+
+def hourly_orders(inputs: ReportInputs, params: ReportParams, fan_out: bool = True) -> DataFrame:
+    """One row per cluster, order and hour of the hourly report."""
     rows = distinct_rows(filters.comparable_orders(inputs.orders, inputs.cluster_dim, params))
-    return hourly_kpis(order_level(rows, inputs, params, fan_out=fan_out))
+    return order_level(rows, inputs, params, fan_out=fan_out)
+
+
+def hourly_report_kpis(inputs: ReportInputs, params: ReportParams, fan_out: bool = True) -> DataFrame:
+    return hourly_kpis(hourly_orders(inputs, params, fan_out))
 
 
 def grouped_orders(inputs: ReportInputs, params: ReportParams, name: str) -> DataFrame:

@@ -23,11 +23,7 @@ def comparable_days(orders: DataFrame, params: ReportParams) -> DataFrame:
 
 
 def cluster_cities(cluster_dim: DataFrame, params: ReportParams) -> DataFrame:
-    return (
-        cluster_dim.where(F.col("cluster").isin(list(params.clusters)))
-        .select("city_code", "cluster")
-        .distinct()
-    )
+    return cluster_dim.where(F.col("cluster").isin(list(params.clusters))).select("city_code", "cluster")
 
 
 def in_clusters(rows: DataFrame, cluster_dim: DataFrame, params: ReportParams) -> DataFrame:

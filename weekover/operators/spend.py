@@ -39,47 +39,63 @@ def explode_offers(rows: DataFrame, keys: Sequence[str] = ORDER_KEY) -> DataFram
     )
 
 
-def targeted_offers(offer_events: DataFrame, templates: DataFrame, params: ReportParams) -> DataFrame:
-    """Distinct (offer, template) pairs of the listed templates within the look-back."""
+def listed_events(offer_events: DataFrame, templates: DataFrame, params: ReportParams) -> DataFrame:
+    """(offer, template) events of the listed templates within the look-back."""
     return (
         offer_events.where(F.col("dt") >= F.lit(params.lookback_start))
         .join(templates, "template_id", "left_semi")
         .select("offer_id", "template_id")
-        .distinct()
     )
 
 
-def weighted_lines(lines: DataFrame, offers: DataFrame) -> DataFrame:
+def targeted_offers(offer_events: DataFrame, templates: DataFrame, params: ReportParams) -> DataFrame:
+    """Distinct (offer, template) pairs."""
+    return listed_events(offer_events, templates, params).distinct()
+
+
+def offer_weights(offer_events: DataFrame, templates: DataFrame, params: ReportParams) -> DataFrame:
+    """How many listed templates each targeted offer runs under.
+
+    The set of an offer is no longer than the template list, and one shuffle serves both
+    the distinct pairs and their count.
+    """
+    return (
+        listed_events(offer_events, templates, params)
+        .groupBy("offer_id")
+        .agg(F.expr("size(collect_set(template_id)) AS templates"))
+    )
+
+
+def weighted_lines(lines: DataFrame, weights: DataFrame) -> DataFrame:
     """Lines of targeted offers with their spend.
 
-    An offer under several listed templates counts once per template. Counting the
-    templates first keeps the join many to one, so a popular offer cannot multiply rows.
+    An offer under several listed templates counts once per template. With the templates
+    counted beforehand the join is many to one, so a popular offer cannot multiply rows.
     """
-    weights = offers.groupBy("offer_id").agg(F.expr("count(*) AS templates"))
     keys = [c for c in lines.columns if c not in ("offer_id", "discount")]
     return lines.join(weights, "offer_id").selectExpr(*keys, f"{money('discount')} * templates AS spend")
 
 
-def order_spend(lines: DataFrame, offers: DataFrame) -> DataFrame:
+def order_spend(lines: DataFrame, weights: DataFrame) -> DataFrame:
     """Targeted spend of one copy of each order, from normalised offer lines."""
     return (
-        weighted_lines(lines.select("order_id", "offer_id", "discount"), offers)
+        weighted_lines(lines.select("order_id", "offer_id", "discount"), weights)
         .groupBy("order_id")
         .agg(F.expr(f"{exact('sum(spend)')} AS order_spend"))
     )
 
 
-def nested_spend(rows: DataFrame, offers: DataFrame, keys: Sequence[str] = ORDER_KEY) -> DataFrame:
+def nested_spend(rows: DataFrame, weights: DataFrame, keys: Sequence[str] = ORDER_KEY) -> DataFrame:
     """Targeted spend per key from the offer arrays of the rows, every copy counted."""
     return (
-        weighted_lines(explode_offers(rows, keys), offers)
+        weighted_lines(explode_offers(rows, keys), weights)
         .groupBy(*keys)
         .agg(F.expr(f"{exact('sum(spend)')} AS targeted_spend"))
     )
 
 
 def targeted_spend(
-    rows: DataFrame, lines: DataFrame, offers: DataFrame, keys: Sequence[str] = ORDER_KEY
+    rows: DataFrame, lines: DataFrame, weights: DataFrame, keys: Sequence[str] = ORDER_KEY
 ) -> DataFrame:
     """Targeted spend per key from normalised lines, every copy of an order counted.
 
@@ -87,7 +103,7 @@ def targeted_spend(
     instead of once per copy and line.
     """
     copies = rows.groupBy(*keys).agg(F.expr("count(*) AS copies"))
-    return copies.join(order_spend(lines, offers), "order_id").selectExpr(
+    return copies.join(order_spend(lines, weights), "order_id").selectExpr(
         *keys, f"{exact('order_spend * copies')} AS targeted_spend"
     )
 
@@ -98,7 +114,7 @@ FIRST_OFFER_TOTAL = "try_cast(get(offer_totals, 0).total_offer_discount AS decim
 
 def special_spend(rows: DataFrame, special_coupons: DataFrame) -> DataFrame:
     """Rows with ``special_spend``: the first offer total if the coupon is a special one."""
-    listed = special_coupons.selectExpr("coupon_code", "TRUE AS is_special").distinct()
+    listed = special_coupons.selectExpr("coupon_code", "TRUE AS is_special")
     return rows.join(listed, "coupon_code", "left").selectExpr(
         "* EXCEPT (is_special)", f"CASE WHEN is_special THEN {FIRST_OFFER_TOTAL} END AS special_spend"
     )

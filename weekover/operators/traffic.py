@@ -15,7 +15,7 @@ def _totals(function: str) -> list[Column]:
 
 def cluster_traffic(traffic: DataFrame, cluster_classes: DataFrame, params: ReportParams) -> DataFrame:
     """Today's app buckets of the classes that make up each cluster."""
-    classes = cluster_classes.where(F.col("cluster").isin(list(params.clusters))).distinct()
+    classes = cluster_classes.where(F.col("cluster").isin(list(params.clusters)))
     return (
         traffic.where((F.col("dt") == F.lit(params.today)) & F.col("platform").isin(list(params.platforms)))
         .withColumn("hr", F.hour("hr"))

@@ -116,8 +116,8 @@ def targeted_offers(i: ReportInputs, p: ReportParams) -> DataFrame:
 
 @query
 def targeted_spend(i: ReportInputs, p: ReportParams) -> DataFrame:
-    offers = spend.targeted_offers(i.offer_events, i.templates, p)
-    return spend.targeted_spend(filters.comparable_days(i.orders, p), i.offer_lines, offers)
+    weights = spend.offer_weights(i.offer_events, i.templates, p)
+    return spend.targeted_spend(filters.comparable_days(i.orders, p), i.offer_lines, weights)
 
 
 @query
@@ -165,7 +165,7 @@ def hourly_wow(i: ReportInputs, p: ReportParams) -> DataFrame:
 
 @query
 def hourly_overall(i: ReportInputs, p: ReportParams) -> DataFrame:
-    return compare.hourly_report(i, p)
+    return compare.hourly_report(i, p).orderBy("cluster", "pos")
 
 
 @query

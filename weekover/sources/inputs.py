@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 class ReportInputs(Protocol):
     """Canonical frames, see ``schemas``.
 
+    Rows of ``special_coupons``, ``cluster_dim`` and ``cluster_classes`` are unique; a
+    city or a template may repeat, with the effect the report operators describe.
+
     Offers come in one of two storage forms: nested, as the array ``offer_details`` on
     each order row (``offer_lines`` is then None), or normalised, as one ``offer_lines``
     row per order and offer. No frame is ever built by collecting lines into arrays.

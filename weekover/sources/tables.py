@@ -33,9 +33,9 @@ def read_inputs(spark: SparkSession, root: str) -> FrameInputs:
         offer_lines=None,
         offer_events=table("offer_events", schemas.OFFER_EVENTS),
         templates=table("templates", schemas.TEMPLATES),
-        special_coupons=table("special_coupons", schemas.SPECIAL_COUPONS),
+        special_coupons=table("special_coupons", schemas.SPECIAL_COUPONS).distinct(),
         city_dim=table("city_dim", schemas.CITY_DIM),
-        cluster_dim=table("cluster_dim", schemas.CLUSTER_DIM),
-        cluster_classes=table("cluster_classes", schemas.CLUSTER_CLASSES),
+        cluster_dim=table("cluster_dim", schemas.CLUSTER_DIM).distinct(),
+        cluster_classes=table("cluster_classes", schemas.CLUSTER_CLASSES).distinct(),
         traffic=table("traffic_buckets", schemas.TRAFFIC_BUCKETS),
     )
