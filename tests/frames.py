@@ -1,0 +1,58 @@
+"""Small canonical frames for hand-checked cases."""
+
+from datetime import date, datetime
+
+from weekover.params import ReportParams
+from weekover.sources import schemas
+from weekover.sources.inputs import FrameInputs
+
+TODAY, LAST_WEEK = date(2024, 1, 30), date(2024, 1, 23)
+PARAMS = ReportParams(as_of=datetime(2024, 1, 30, 14, 45), clusters=("tier_2",))
+
+CITIES = [(10, "Alpha", "North"), (11, "Beta", "South"), (12, "alpha", "north")]
+
+
+def order(order_id, when, city=10, **values):
+    """``when`` is ``(day, "HH:MM:SS")`` or None for an order without a time."""
+    day, clock = when if when else (TODAY, None)
+    created = None if clock is None else datetime.combine(day, datetime.strptime(clock, "%H:%M:%S").time())
+    row = {name: None for name in schemas.ORDER_FACTS.names}
+    row |= {"order_id": order_id, "created_on": created, "dt": day, "city_code": city, "excluded_flag": 0}
+    row |= {"offer_details": [], "offer_totals": []}
+    row |= values
+    return tuple(row[name] for name in schemas.ORDER_FACTS.names)
+
+
+def bucket(hour, city, sessions, lw_sessions=0, conv=0, lw_conv=0, platform="iOS", label="class_2"):
+    return (TODAY, datetime(2024, 1, 30, hour), city, platform, label, sessions, lw_sessions, conv, lw_conv)
+
+
+def inputs(spark, orders, traffic=(), offers=(), templates=("T1",), cities=CITIES, clusters=None, lines=None):
+    def frame(rows, schema):
+        return spark.createDataFrame(list(rows), schema)
+
+    facts = frame(orders, schemas.ORDER_FACTS)
+    return FrameInputs(
+        orders=facts if lines is None else facts.drop("offer_details"),
+        offer_lines=None if lines is None else frame(lines, schemas.OFFER_LINES),
+        offer_events=frame(offers, schemas.OFFER_EVENTS),
+        templates=frame([(t,) for t in templates], schemas.TEMPLATES),
+        special_coupons=frame([("SAVE",)], schemas.SPECIAL_COUPONS),
+        city_dim=frame(cities, schemas.CITY_DIM),
+        cluster_dim=frame(clusters or [(c[0], "tier_2") for c in cities], schemas.CLUSTER_DIM),
+        cluster_classes=frame([("tier_2", "class_2")], schemas.CLUSTER_CLASSES),
+        traffic=frame(traffic, schemas.TRAFFIC_BUCKETS),
+    )
+
+
+def rows(df, *columns):
+    """Rows as a set of tuples over the given columns."""
+    return {tuple(r) for r in df.select(*columns).collect()}
+
+
+def one(df, **where):
+    for name, value in where.items():
+        df = df.where(df[name].eqNullSafe(value))
+    found = df.collect()
+    assert len(found) == 1, found
+    return found[0].asDict(recursive=True)

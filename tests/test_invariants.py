@@ -1,0 +1,76 @@
+"""Relations that must hold between reports over the same tables."""
+
+from dataclasses import replace
+
+from frames import rows
+
+from weekover.operators import compare, facts, filters, groups, snapshot
+from weekover.sources import retail
+
+SF_DIR = "/root/testdata/sf0.001"
+P = retail.default_params()
+
+
+def _inputs(spark, params=P):
+    return retail.RetailInputs(spark, SF_DIR, params)
+
+
+def test_total_orders_are_the_sum_of_the_hours(spark):
+    report = compare.hourly_report(_inputs(spark), P).cache()
+    detail = report.where("pos < 999").groupBy("cluster").sum("total_opd")
+    assert rows(detail, "*") == rows(report.where("pos = 999"), "cluster", "total_opd")
+
+
+def test_residual_is_platform_minus_special(spark):
+    i = _inputs(spark)
+    kpis = facts.paired_kpis(facts.hourly_orders(i, P), P)
+    off = compare.hourly_rows(i, P).join(kpis.withColumn("hr", kpis.hr.cast("string")), ["cluster", "hr"])
+    assert off.where("abs(residual - (tw_total_platform_po - tw_special_po)) > 0.0001").count() == 0
+
+
+def test_grid_is_dense(spark):
+    grid = groups.group_hour_grid(groups.group_hour_sums(facts.city_facts(_inputs(spark), P)), P).cache()
+    for row in grid.groupBy("cluster").agg({"*": "count"}).collect():
+        mine = grid.where(grid.cluster == row["cluster"])
+        assert row[1] == mine.select("grp").distinct().count() * mine.select("hr").distinct().count()
+
+
+def test_next_cluster_is_its_two_tiers_at_one_cutoff(spark):
+    """Whole days compared, so that every cluster has the same cutoff."""
+    late = retail.default_params(as_of=P.as_of.replace(hour=23, minute=59, second=59))
+    i = _inputs(spark, late)
+    base = filters.in_clusters(filters.comparable_days(i.orders, late), i.cluster_dim, late)
+    counts = {r[0]: r[1] for r in base.groupBy("cluster").count().collect()}
+    assert counts["tier_next"] == counts["tier_2"] + counts["tier_3"]
+
+
+def test_inline_form_equals_joined_form_on_unique_keys(spark):
+    i = _inputs(spark)
+    rows_ = filters.comparable_orders(i.orders.dropDuplicates(["order_id"]), i.cluster_dim, P)
+    per_key = [facts.hourly_kpis(facts.order_level(rows_, i, P, fan_out=f)) for f in (True, False)]
+    assert rows(per_key[0], "*") == rows(per_key[1], "*")
+
+
+def test_refreshing_one_cluster_leaves_the_others(spark, tmp_path):
+    root = str(tmp_path)
+    early = retail.default_params(as_of=P.as_of.replace(hour=11, minute=0))
+    snapshot.write_snapshot(compare.hourly_report(_inputs(spark, early), early), root, "hourly", early)
+    before = rows(snapshot.read_snapshot(spark, root, "hourly").where("cluster != 'tier_3'"), "*")
+    one = replace(P, clusters=("tier_3",))
+    snapshot.write_snapshot(compare.hourly_report(_inputs(spark, one), one), root, "hourly", one)
+    assert rows(snapshot.read_snapshot(spark, root, "hourly").where("cluster != 'tier_3'"), "*") == before
+    assert rows(snapshot.read_snapshot(spark, root, "hourly", "tier_3"), "as_of") == {(P.as_of_text,)}
+
+
+def test_failed_refresh_keeps_the_last_good_result(spark, tmp_path):
+    root = str(tmp_path)
+    report = compare.hourly_report(_inputs(spark), P)
+    snapshot.write_snapshot(report, root, "hourly", P)
+    before = rows(snapshot.read_snapshot(spark, root, "hourly"), "*")
+    broken = report.selectExpr("* EXCEPT (hr)", "cast(raise_error('lost') AS string) AS hr")
+    try:
+        snapshot.write_snapshot(broken, root, "hourly", P)
+        raise AssertionError("the write did not fail")
+    except Exception as error:
+        assert "lost" in str(error)
+    assert rows(snapshot.read_snapshot(spark, root, "hourly"), "*") == before
