@@ -16,7 +16,7 @@ def _inputs(spark, params=P):
 
 
 def test_total_orders_are_the_sum_of_the_hours(spark):
-    report = compare.hourly_report(_inputs(spark), P).cache()
+    report = compare.hourly_report(_inputs(spark), P)
     detail = report.where("pos < 999").groupBy("cluster").sum("total_opd")
     assert rows(detail, "*") == rows(report.where("pos = 999"), "cluster", "total_opd")
 
@@ -29,7 +29,7 @@ def test_residual_is_platform_minus_special(spark):
 
 
 def test_grid_is_dense(spark):
-    grid = groups.group_hour_grid(groups.group_hour_sums(facts.city_facts(_inputs(spark), P)), P).cache()
+    grid = groups.group_hour_grid(groups.group_hour_sums(facts.city_facts(_inputs(spark), P)), P)
     for row in grid.groupBy("cluster").agg({"*": "count"}).collect():
         mine = grid.where(grid.cluster == row["cluster"])
         assert row[1] == mine.select("grp").distinct().count() * mine.select("hr").distinct().count()

@@ -80,12 +80,14 @@ def test_joined_form_gives_the_same_sums(spark):
     weights = spend.offer_weights(i.offer_events, i.templates, PARAMS)
     spend.nested_spend(base, weights, facts.KEY).createOrReplaceTempView("targeted")
     want = spark.sql(
-        """SELECT b.grp, sum(b.cart_discount) AS cdpo, sum(t.targeted_spend) AS targeted, sum(s.special_spend) AS special
+        """SELECT b.grp, sum(b.cart_discount) AS cdpo, sum(t.spend_units) / 10000 AS targeted, sum(s.special_spend) AS special
            FROM base b LEFT JOIN targeted t USING (cluster, order_id, hr, dt)
            LEFT JOIN (SELECT cluster, order_id, hr, dt, special_spend FROM base) s USING (cluster, order_id, hr, dt)
            GROUP BY b.grp"""
     )
-    got = facts.city_facts(i, PARAMS).selectExpr("grp", "cast(cdpo_sum AS double) AS cdpo", "targeted_sum", "special_sum")
+    got = facts.city_facts(i, PARAMS).selectExpr(
+        "grp", *(f"cast({c}_sum AS double) AS {c}" for c in ("cdpo", "targeted", "special"))
+    )
     assert rows(got, "*") == rows(want, "*")
     assert rows(got, "grp", "cdpo") == {("Alpha", 9.0), ("Beta", 20.0)}
 

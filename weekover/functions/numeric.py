@@ -3,22 +3,41 @@
 They return text for ``selectExpr`` and ``F.expr``: reports have dozens of measures of the
 same form, and one parsed expression is built faster than a chain of column calls.
 
-Money is summed as DECIMAL(18,2), so a sum does not depend on the order in which
-partial aggregates meet. Ratios are doubles, rounded half up through a decimal, which
+Money is added up in whole ten-thousandths, so a sum does not depend on the order in
+which partial aggregates meet, and a row costs one primitive addition per amount. Only
+totals turn into decimals. Ratios are doubles, rounded half up through a decimal, which
 gives the same digits in every engine.
 """
 
 from __future__ import annotations
 
 
-def money(value: str) -> str:
-    """A money value as an exact decimal, NULL counted as zero."""
-    return f"coalesce(cast({value} as decimal(18,2)), 0)"
+def units(value: str) -> str:
+    """A money value in whole ten-thousandths, NULL counted as zero."""
+    return f"coalesce(cast(rint({value} * 10000) as bigint), 0)"
+
+
+def copied_sum(amount: str, *factors: str, day: str = "TRUE") -> str:
+    """Exact sum over the rows of a day of a whole amount times its factors.
+
+    Factors are counts of copies, nearly always one: those rows add up as integers, and
+    only the others, whose products may pass the integer range, as decimals.
+    """
+    single = " AND ".join(f"{factor} = 1" for factor in factors)
+    product = " * ".join([f"cast({amount} as decimal(38,0))", *factors])
+    return (
+        f"(coalesce(sum({amount}) FILTER (WHERE {day} AND {single}), 0)"
+        f" + coalesce(sum({product}) FILTER (WHERE {day} AND NOT ({single})), 0))"
+    )
 
 
 def exact(total: str) -> str:
-    """A sum of money in the one decimal type that facts carry."""
-    return f"cast({total} as decimal(38,2))"
+    """A total of money in the one decimal type that facts carry."""
+    return f"cast({total} as decimal(38,4))"
+
+
+def as_money(total_units: str) -> str:
+    return exact(f"cast({total_units} as decimal(38,0)) * 0.0001BD")
 
 
 def rounded(value: str, digits: int) -> str:

@@ -2,8 +2,8 @@
 
 The reported sums come from joining the base rows to the special spend of the same order
 and hour, which is kept per row: n copies of an order meet n special rows, so every sum
-counts n times. Here rows are first reduced to one per order and hour, and the sums
-multiplied by the number of copies. The result is the same, no pair of copies is ever
+counts n times. Here rows are first reduced to one per order and hour, and the totals
+count it as many times as it has copies. The result is the same, no pair of copies is ever
 built, and a distinct count of orders becomes a plain count.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekover.functions.labels import COUPON_PRESENT
-from weekover.functions.numeric import aliased, exact, money, percent, ratio, rounded
+from weekover.functions.numeric import aliased, as_money, copied_sum, exact, percent, ratio, rounded, units
 from weekover.metrics import MONEY_MEASURES, TRAFFIC_MEASURES
 from weekover.operators import filters, spend, traffic
 from weekover.params import ReportParams
@@ -24,16 +24,16 @@ from weekover.sources.schemas import MONEY_COLUMNS
 
 KEY = ("cluster", *spend.ORDER_KEY)
 
-_PLATFORM_HIT = money("platform_discount_hit")
-_MERCHANT_HIT = money("merchant_discount_hit")
+_PLATFORM_HIT = units("platform_discount_hit")
+_MERCHANT_HIT = units("merchant_discount_hit")
 
-# Per-row amounts that count once per copy met.
+# Amounts of a row, in units.
 AMOUNTS = {
-    "bill_sum": money("order_bill"),
-    "cdpo_sum": f"{money('cart_discount')} + {_MERCHANT_HIT} + {_PLATFORM_HIT}",
-    "sdpo_sum": f"{money('platform_discount')} + {_PLATFORM_HIT} + {money('alliance_discount')}",
-    "rdpo_sum": f"{_MERCHANT_HIT} + {money('merchant_offers_discount')}",
-    "platform_sum": money("total_platform_discount"),
+    "bill_sum": units("order_bill"),
+    "cdpo_sum": f"{units('cart_discount')} + {_MERCHANT_HIT} + {_PLATFORM_HIT}",
+    "sdpo_sum": f"{units('platform_discount')} + {_PLATFORM_HIT} + {units('alliance_discount')}",
+    "rdpo_sum": f"{_MERCHANT_HIT} + {units('merchant_offers_discount')}",
+    "platform_sum": units("total_platform_discount"),
     "campaign_sum": _PLATFORM_HIT,
 }
 
@@ -52,68 +52,81 @@ def distinct_rows(rows: DataFrame) -> DataFrame:
 def order_level(
     rows: DataFrame, inputs: ReportInputs, params: ReportParams, group: Sequence[str] = (), fan_out: bool = True
 ) -> DataFrame:
-    """One row per cluster, group, order and hour, with sums that include the fan-out.
+    """One row per cluster, group, order and hour: amounts of its rows and copies to count.
 
-    ``fan_out=False`` leaves every copy counted once, which is the same on unique keys.
+    ``times`` is how often each row is met by the special rows of its order,
+    ``special_times`` how often the special spend is met, and ``spend_copies`` how many
+    copies the targeted spend still has to be taken. ``fan_out=False`` meets every row
+    once, which is the same on unique keys.
     """
     weights = spend.offer_weights(inputs.offer_events, inputs.templates, params)
-    totals = {name: exact(f"sum({amount})") for name, amount in AMOUNTS.items()}
+    totals = {name: f"sum({amount})" for name, amount in AMOUNTS.items()}
     totals |= {
         "copies": "count(*)",
         "has_banner": f"max(banner_factor > {params.banner_threshold}D)",
         "has_coupon": f"max({COUPON_PRESENT})",
-        "special_sum": exact(f"sum({money('special_spend')})"),
+        "special_sum": f"sum({units('special_spend')})",
     }
+    nested = "offer_details" in rows.columns
+    keys = ["cluster", "order_key"] if nested else list(KEY)
+    if nested:
+        # As one struct the key is never NULL, so the join below adds no NULL filter to
+        # its right side and both sides share the shuffle that made the rows distinct.
+        rows = rows.selectExpr("*", f"struct({', '.join(spend.ORDER_KEY)}) AS order_key")
     per_order = (
         spend.special_spend(rows, inputs.special_coupons)
-        .groupBy(*KEY, *group)
+        .groupBy(*keys, *group)
         .agg(*map(F.expr, aliased(totals)))
     )
     # Spend joins before the window: the partitioning of a shuffled join serves both.
-    if "offer_details" in rows.columns:
-        per_order = per_order.join(spend.nested_spend(rows, weights, KEY), list(KEY), "left")
-        targeted = "targeted_spend"
+    if nested:
+        per_order = per_order.join(spend.nested_spend(rows, weights, keys), keys, "left")
     else:
         per_order = per_order.join(spend.order_spend(inputs.offer_lines, weights), "order_id", "left")
-        targeted = "order_spend * key_copies"
     # An order can reach several groups; there are at most as many rows per key as there
     # are groups in the city dimension.
-    over_key = f"OVER (PARTITION BY {', '.join(KEY)})" if group else None
+    over_key = f"OVER (PARTITION BY {', '.join(keys)})"
     per_order = per_order.selectExpr(
-        "*",
+        "* EXCEPT (special_sum)",
+        *(["order_key.*"] if nested else []),
         f"sum(copies) {over_key} AS key_copies" if group else "copies AS key_copies",
-        f"sum(special_sum) {over_key} AS key_special" if group else "special_sum AS key_special",
+        f"sum(special_sum) {over_key} AS special_sum" if group and fan_out else "special_sum",
     )
 
     # A key with a NULL part matches nothing, so its rows meet no spend and no copy.
-    matched = "order_id IS NOT NULL AND hr IS NOT NULL"
-    times = f"if({matched}, key_copies, 1)" if fan_out else "1"
-    special = "key_special * copies" if fan_out else "special_sum"
-    columns = {name: exact(f"{name} * {times}") for name in AMOUNTS}
-    columns |= {
-        "special_sum": exact(f"if({matched}, {special}, 0)"),
-        "targeted_sum": exact(f"coalesce(if({matched}, {targeted} * copies * {times}, 0), 0)"),
+    matched = "(order_id IS NOT NULL AND hr IS NOT NULL)"
+    columns = {
         "has_banner": "has_banner AND order_id IS NOT NULL",
         "has_coupon": "has_coupon AND order_id IS NOT NULL",
+        "special_sum": f"if({matched}, special_sum, 0)",
+        "targeted_sum": f"if({matched}, coalesce(spend_units, 0), 0)",
+        "times": f"if({matched}, key_copies, 1)" if fan_out else "1L",
+        "special_times": "copies" if fan_out else "1L",
+        "spend_copies": "1L" if nested else "key_copies",
     }
-    return per_order.selectExpr(*KEY, *group, *aliased(columns))
+    return per_order.selectExpr(*KEY, *group, *AMOUNTS, "copies", *aliased(columns))
 
 
-def _rates(day: str = "TRUE") -> dict[str, str]:
-    """Per-order averages over the rows of a day."""
+def _totals(day: str = "TRUE") -> dict[str, str]:
+    """Money totals over the rows of a day, with every copy counted as often as it is met."""
+    totals = {name: copied_sum(name, "times", day=day) for name in AMOUNTS}
+    totals["special_sum"] = copied_sum("special_sum", "special_times", day=day)
+    totals["targeted_sum"] = copied_sum("targeted_sum", "copies", "times", "spend_copies", day=day)
+    return {name: as_money(total) for name, total in totals.items()}
 
-    def total(value: str) -> str:
-        return f"{value} FILTER (WHERE {day})"
 
-    orders = total("count(order_id)")
+def _rates(day: str = "TRUE") -> dict[str, str]:
+    """Per-order averages over the rows of a day."""
+    orders = f"count(order_id) FILTER (WHERE {day})"
+    totals = _totals(day)
     rates = {
         "total_opd": orders,
-        "ob_pct": rounded(percent(total("count_if(has_banner)"), orders), 1),
-        "amv": rounded(ratio(total("sum(bill_sum)"), orders), 0),
+        "ob_pct": rounded(percent(f"count_if(has_banner AND {day})", orders), 1),
+        "amv": rounded(ratio(totals["bill_sum"], orders), 0),
     }
     for name in ("cdpo", "sdpo", "rdpo", "targeted", "special"):
-        rates[f"{name}_po"] = rounded(ratio(total(f"sum({name}_sum)"), orders), 2)
-    rates["total_platform_po"] = rounded(ratio(total("sum(platform_sum)"), orders), 2)
+        rates[f"{name}_po"] = rounded(ratio(totals[f"{name}_sum"], orders), 2)
+    rates["total_platform_po"] = rounded(ratio(totals["platform_sum"], orders), 2)
     return rates
 
 
@@ -158,7 +171,8 @@ def grouped_orders(inputs: ReportInputs, params: ReportParams, name: str) -> Dat
 def group_facts(per_order: DataFrame, lookup: DataFrame, params: ReportParams) -> DataFrame:
     """Sums by cluster, group, hour and day; traffic reaches today's rows only."""
     counts = {"orders": "count(order_id)", "coupon_orders": "count_if(has_coupon)"}
-    money_sums = {name: f"sum({name})" for name in MONEY_MEASURES}
+    totals = _totals()
+    money_sums = {name: totals[name] for name in MONEY_MEASURES}
     sums = per_order.groupBy("cluster", "grp", "hr", "dt").agg(*map(F.expr, aliased(counts | money_sums)))
     today = lookup.selectExpr("*", f"DATE '{params.today}' AS dt")
     return (

@@ -31,8 +31,9 @@ def in_clusters(rows: DataFrame, cluster_dim: DataFrame, params: ReportParams) -
     return rows.join(cluster_cities(cluster_dim, params), "city_code")
 
 
-def time_of_day(column: str):
-    return F.date_format(column, "HH:mm:ss")
+def second_of_day(moment: str) -> str:
+    """Whole seconds since midnight: orders times of day as their ``HH:mm:ss`` text does."""
+    return f"(hour({moment}) * 3600 + minute({moment}) * 60 + second({moment}))"
 
 
 def day_cutoff(rows: DataFrame, params: ReportParams) -> DataFrame:
@@ -41,7 +42,11 @@ def day_cutoff(rows: DataFrame, params: ReportParams) -> DataFrame:
         rows.where(F.col("dt") == F.lit(params.today))
         .groupBy("cluster")
         .agg(F.max("created_on").alias("latest"))
-        .select("cluster", time_of_day("latest").alias("max_hms"))
+        .selectExpr(
+            "cluster",
+            "date_format(latest, 'HH:mm:ss') AS max_hms",
+            f"{second_of_day('latest')} AS last_second",
+        )
     )
 
 
@@ -51,9 +56,8 @@ def same_time_cutoff(rows: DataFrame, params: ReportParams) -> DataFrame:
     A cluster without rows today has no cutoff and keeps no row. The cutoff frame holds
     one row per entry of ``params.clusters``, hence the broadcast.
     """
-    return rows.join(F.broadcast(day_cutoff(rows, params)), "cluster").where(
-        (F.col("dt") == F.lit(params.today)) | (time_of_day("created_on") <= F.col("max_hms"))
-    )
+    kept = f"dt = DATE '{params.today}' OR {second_of_day('created_on')} <= last_second"
+    return rows.join(F.broadcast(day_cutoff(rows, params)), "cluster").where(kept).drop("last_second")
 
 
 def comparable_orders(orders: DataFrame, cluster_dim: DataFrame, params: ReportParams) -> DataFrame:

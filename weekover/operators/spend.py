@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekover.functions.numeric import exact, money
+from weekover.functions.numeric import as_money, units
 from weekover.params import ReportParams
 
 ORDER_KEY = ("order_id", "hr", "dt")
@@ -32,9 +32,10 @@ def offer_lists(lines: DataFrame) -> DataFrame:
     )
 
 
-def explode_offers(rows: DataFrame, keys: Sequence[str] = ORDER_KEY) -> DataFrame:
-    """One row per applied offer; orders with a NULL or empty list drop out."""
-    return rows.select(*keys, F.explode("offer_details").alias("offer")).select(
+def explode_offers(rows: DataFrame, keys: Sequence[str] = ORDER_KEY, outer: bool = False) -> DataFrame:
+    """One row per applied offer; orders with a NULL or empty list drop out unless ``outer``."""
+    unfold = F.explode_outer if outer else F.explode
+    return rows.select(*keys, unfold("offer_details").alias("offer")).select(
         *keys, "offer.offer_id", "offer.discount"
     )
 
@@ -67,30 +68,34 @@ def offer_weights(offer_events: DataFrame, templates: DataFrame, params: ReportP
 
 
 def weighted_lines(lines: DataFrame, weights: DataFrame) -> DataFrame:
-    """Lines of targeted offers with their spend.
+    """Lines of targeted offers with their spend in units.
 
     An offer under several listed templates counts once per template. With the templates
     counted beforehand the join is many to one, so a popular offer cannot multiply rows.
     """
     keys = [c for c in lines.columns if c not in ("offer_id", "discount")]
-    return lines.join(weights, "offer_id").selectExpr(*keys, f"{money('discount')} * templates AS spend")
+    return lines.join(weights, "offer_id").selectExpr(*keys, f"{units('discount')} * templates AS line_units")
 
 
 def order_spend(lines: DataFrame, weights: DataFrame) -> DataFrame:
-    """Targeted spend of one copy of each order, from normalised offer lines."""
+    """Targeted spend of one copy of each order in units, from normalised offer lines."""
     return (
         weighted_lines(lines.select("order_id", "offer_id", "discount"), weights)
         .groupBy("order_id")
-        .agg(F.expr(f"{exact('sum(spend)')} AS order_spend"))
+        .agg(F.expr("sum(line_units) AS spend_units"))
     )
 
 
 def nested_spend(rows: DataFrame, weights: DataFrame, keys: Sequence[str] = ORDER_KEY) -> DataFrame:
-    """Targeted spend per key from the offer arrays of the rows, every copy counted."""
+    """Targeted spend per key in units, from the offer arrays of the rows, every copy counted.
+
+    Rows without offers fall to the join. Unfolding them keeps Spark from filtering the
+    rows beforehand, so a shuffle below them is shared with the other uses of ``rows``.
+    """
     return (
-        weighted_lines(explode_offers(rows, keys), weights)
+        weighted_lines(explode_offers(rows, keys, outer=True), weights)
         .groupBy(*keys)
-        .agg(F.expr(f"{exact('sum(spend)')} AS targeted_spend"))
+        .agg(F.expr("sum(line_units) AS spend_units"))
     )
 
 
@@ -104,12 +109,12 @@ def targeted_spend(
     """
     copies = rows.groupBy(*keys).agg(F.expr("count(*) AS copies"))
     return copies.join(order_spend(lines, weights), "order_id").selectExpr(
-        *keys, f"{exact('order_spend * copies')} AS targeted_spend"
+        *keys, f"{as_money('spend_units * copies')} AS targeted_spend"
     )
 
 
 # Amount of the first offer total; NULL for a missing, empty or malformed entry.
-FIRST_OFFER_TOTAL = "try_cast(get(offer_totals, 0).total_offer_discount AS decimal(18,2))"
+FIRST_OFFER_TOTAL = "try_cast(get(offer_totals, 0).total_offer_discount AS double)"
 
 
 def special_spend(rows: DataFrame, special_coupons: DataFrame) -> DataFrame:
