@@ -53,6 +53,12 @@ def test_only_bounded_frames_are_broadcast_when_sizes_are_unknown(spark):
     assert joins and all(re.fullmatch(r"cluster#\d+", j) for j in joins)
 
 
+def test_grid_reads_the_facts_once(spark):
+    """One scan of the events for the cutoff and one for the rows, besides the traffic."""
+    text = plan(contract.queries()["group_hour_grid"](spark, SF_DIR))
+    assert len(re.findall(r"FileScan parquet \[event_id", text)) == 2
+
+
 def test_day_filter_and_columns_reach_the_scan(spark):
     with settings(spark, **{"spark.sql.maxMetadataStringLength": "2000"}):
         text = plan(contract.queries()["hourly_kpis"](spark, SF_DIR))

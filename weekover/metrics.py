@@ -78,5 +78,20 @@ GROUP_METRICS = (
     "targeted",
     "campaign",
 )
+
+# Sums that each of them is derived from.
+METRIC_SUMS = {
+    "orders": ("orders",),
+    "sessions": ("sessions", "lw_sessions"),
+    "cvr": TRAFFIC_MEASURES,
+    "oc_pct": ("orders", "coupon_orders"),
+    "cdpo": ("orders", "cdpo_sum"),
+    "rdpo": ("orders", "rdpo_sum"),
+    "sdpo": ("orders", "sdpo_sum"),
+    "residual": ("orders", "platform_sum", "special_sum"),
+    "special": ("orders", "special_sum"),
+    "targeted": ("orders", "targeted_sum"),
+    "campaign": ("orders", "campaign_sum"),
+}
 GROWTH_METRICS = frozenset({"orders", "sessions"})
 INVERTED_METRICS = frozenset({"oc_pct"})

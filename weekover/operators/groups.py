@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekover.functions.numeric import aliased, growth_pct, percent, ratio, rounded
-from weekover.metrics import GROUP_MEASURES, GROUP_METRICS, GROWTH_METRICS
+from weekover.metrics import GROUP_MEASURES, GROUP_METRICS, GROWTH_METRICS, METRIC_SUMS
 from weekover.params import ReportParams
 
 UNKNOWN_GROUP = "Unknown"
@@ -67,21 +67,14 @@ def group_ratios(sums: DataFrame) -> DataFrame:
     return sums.selectExpr("cluster", "grp", "hr", "dt", *aliased(ratio_pack() | last_week))
 
 
-def _both_days(sums: DataFrame, keys: Sequence[str], params: ReportParams) -> DataFrame:
-    """Today's and last week's sums in one row; a missing side is zero."""
-    days = {"tw": params.today, "lw": params.last_week}
-    columns = {
-        f"{side}_{m}": f"coalesce(sum(if(dt = DATE '{day}', {m}, NULL)), 0)"
-        for side, day in days.items()
-        for m in GROUP_MEASURES
-    }
-    return sums.groupBy(*keys).agg(*map(F.expr, aliased(columns)))
-
-
-def _sides() -> list[str]:
+def _sides(metrics: Sequence[str] = GROUP_METRICS) -> list[str]:
     """``tw_*`` and ``lw_*`` metrics; last week's traffic is read from today's rows."""
     packs = {"tw": ratio_pack("tw_"), "lw": ratio_pack("lw_") | traffic_pack("tw_lw_")}
-    return aliased({f"{side}_{name}": packs[side][name] for side in packs for name in GROUP_METRICS})
+    return aliased({f"{side}_{name}": packs[side][name] for side in packs for name in metrics})
+
+
+def _days(params: ReportParams) -> dict[str, str]:
+    return {"tw": f"dt = DATE '{params.today}'", "lw": f"dt = DATE '{params.last_week}'"}
 
 
 def _summary_change(name: str) -> str:
@@ -91,28 +84,45 @@ def _summary_change(name: str) -> str:
 
 def group_summary(sums: DataFrame, params: ReportParams) -> DataFrame:
     """One row per group over all hours, the unknown one included."""
-    sides = _both_days(sums, ["cluster", "grp"], params).selectExpr("cluster", "grp", *_sides())
+    both = {
+        f"{side}_{m}": f"coalesce(sum({m}) FILTER (WHERE {day}), 0)"
+        for side, day in _days(params).items()
+        for m in GROUP_MEASURES
+    }
+    sides = (
+        sums.groupBy("cluster", "grp")
+        .agg(*map(F.expr, aliased(both)))
+        .selectExpr("cluster", "grp", *_sides())
+    )
     return sides.selectExpr("*", *aliased({f"d_{name}": _summary_change(name) for name in GROUP_METRICS}))
 
 
-def group_hour_grid(sums: DataFrame, params: ReportParams) -> DataFrame:
+def group_hour_grid(sums: DataFrame, params: ReportParams, metrics: Sequence[str] = GROUP_METRICS) -> DataFrame:
     """Every group with every hour seen in its cluster, empty cells as zero.
 
-    The unknown hour is left out. A cluster sees 24 hours at most, so its hours travel
-    as one short array per cluster, and each group unfolds that array.
+    The unknown hour is left out. A group's cells, 25 a day at most, are kept in two maps
+    by hour, and the hours it saw as bits; the bits of all groups of a cluster, of which
+    there are as many as in the city dimension, say which hours each group unfolds to.
+    So the facts are read once, and groups and hours are never crossed by a join.
     """
-    hours = (
-        sums.where(f"hr != {UNKNOWN_HOUR}")
-        .groupBy("cluster")
-        .agg(F.expr("collect_set(hr) AS hours"))
-    )
-    cells = _both_days(sums, ["cluster", "grp", "hr"], params)
-    measures = [c for c in cells.columns if c not in ("cluster", "grp", "hr")]
-    grid = group_keys(sums).join(F.broadcast(hours), "cluster").selectExpr("cluster", "grp", "explode(hours) AS hr")
+    measures = [m for m in GROUP_MEASURES if any(m in METRIC_SUMS[name] for name in metrics)]
+    cell = f"struct({', '.join(measures)})"
+    known = f"hr != {UNKNOWN_HOUR}"
+    per_group = {
+        f"{side}_cells": f"map_from_entries(collect_list(struct(hr, {cell})) FILTER (WHERE {known} AND {day}))"
+        for side, day in _days(params).items()
+    }
+    per_group["own_hours"] = f"coalesce(bit_or(shiftleft(1, hr)) FILTER (WHERE {known}), 0)"
+    seen = "bit_or(own_hours) OVER (PARTITION BY cluster)"
     return (
-        grid.join(cells, ["cluster", "grp", "hr"], "left")
-        .selectExpr("cluster", "grp", "hr", *[f"coalesce({m}, 0) AS {m}" for m in measures])
-        .selectExpr("cluster", "grp", "hr", *_sides())
+        sums.groupBy("cluster", "grp")
+        .agg(*map(F.expr, aliased(per_group)))
+        .selectExpr("*", f"{seen} AS seen")
+        .selectExpr("*", "explode(filter(sequence(0, 23), h -> getbit(seen, h) = 1)) AS hr")
+        .selectExpr(
+            "cluster", "grp", "hr", *[f"coalesce({s}_cells[hr].{m}, 0) AS {s}_{m}" for s in ("tw", "lw") for m in measures]
+        )
+        .selectExpr("cluster", "grp", "hr", *_sides(metrics))
     )
 
 

@@ -225,8 +225,8 @@ def _state_sums(i: ReportInputs, p: ReportParams) -> DataFrame:
     return groups.group_hour_sums(facts.state_facts(i, p))
 
 
-def _city_grid(i: ReportInputs, p: ReportParams) -> DataFrame:
-    return groups.group_hour_grid(_city_sums(i, p), p)
+def _city_grid(i: ReportInputs, p: ReportParams, *metrics: str) -> DataFrame:
+    return groups.group_hour_grid(_city_sums(i, p), p, metrics or GROUP_METRICS)
 
 
 @query
@@ -295,7 +295,7 @@ def filter_groups(i: ReportInputs, p: ReportParams) -> DataFrame:
 
 @query
 def hour_reagg(i: ReportInputs, p: ReportParams) -> DataFrame:
-    return groups.hour_reagg(_city_grid(i, p), PICKED_HOURS)
+    return groups.hour_reagg(_city_grid(i, p, "orders", "sessions", "cvr"), PICKED_HOURS)
 
 
 @query
@@ -304,11 +304,11 @@ def sort_nulls_last(i: ReportInputs, p: ReportParams) -> DataFrame:
 
 
 def _pivot(metric: str):
-    return lambda i, p: layout.pivot_metric(_city_grid(i, p), metric)
+    return lambda i, p: layout.pivot_metric(_city_grid(i, p, metric), metric)
 
 
 def _heat(metric: str):
-    return lambda i, p: layout.heat_tag(_city_grid(i, p), metric)
+    return lambda i, p: layout.heat_tag(_city_grid(i, p, metric), metric)
 
 
 def _register(name: str, build: Callable[[ReportInputs, ReportParams], DataFrame]) -> None:
@@ -342,7 +342,7 @@ def peak_hour(i: ReportInputs, p: ReportParams) -> DataFrame:
 
 @query
 def trailing_hours(i: ReportInputs, p: ReportParams) -> DataFrame:
-    return monitor.trailing_hours(_city_grid(i, p)).withColumnRenamed("grp", "city")
+    return monitor.trailing_hours(_city_grid(i, p, "orders")).withColumnRenamed("grp", "city")
 
 
 @query
