@@ -1,7 +1,5 @@
 """Relations that must hold between reports over the same tables."""
 
-from dataclasses import replace
-
 from frames import rows
 
 from weekover.operators import compare, facts, filters, groups, snapshot
@@ -56,7 +54,8 @@ def test_refreshing_one_cluster_leaves_the_others(spark, tmp_path):
     early = retail.default_params(as_of=P.as_of.replace(hour=11, minute=0))
     snapshot.write_snapshot(compare.hourly_report(_inputs(spark, early), early), root, "hourly", early)
     before = rows(snapshot.read_snapshot(spark, root, "hourly").where("cluster != 'tier_3'"), "*")
-    one = replace(P, clusters=("tier_3",))
+    one = P.for_cluster("Tier+3")
+    assert one.clusters == ("tier_3",) and P.for_cluster("elsewhere").clusters == ("tier_next",)
     snapshot.write_snapshot(compare.hourly_report(_inputs(spark, one), one), root, "hourly", one)
     assert rows(snapshot.read_snapshot(spark, root, "hourly").where("cluster != 'tier_3'"), "*") == before
     assert rows(snapshot.read_snapshot(spark, root, "hourly", "tier_3"), "as_of") == {(P.as_of_text,)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, datetime, timedelta
 
 # Report clusters, most used first.
@@ -36,6 +36,11 @@ class ReportParams:
     def lookback_start(self) -> date:
         return self.today - timedelta(days=self.lookback_days)
 
+    def for_cluster(self, label: str) -> ReportParams:
+        """The same run for one cluster, named in any spelling; unknown ones mean the default."""
+        slug = label.lower().replace(" ", "_").replace("+", "_")
+        return replace(self, clusters=(slug if slug in self.clusters else self.default_cluster,))
+
     @property
     def as_of_text(self) -> str:
         return self.as_of.strftime("%Y-%m-%d %H:%M:%S")

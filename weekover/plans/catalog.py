@@ -28,7 +28,7 @@ PICKED_GROUPS = ("AMERICA", "EUROPE")
 PICKED_HOURS = (10, 11, 12)
 SORT_COLUMN = "d_special"
 TIERS = {"critical": 4, "warning": 2}
-REFRESHED_CLUSTER = "tier_2"
+REFRESHED_CLUSTER = "Tier 2"
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -367,6 +367,20 @@ def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.read_snapshot(spark, root, refresh.KIND)
 
 
+@table_query
+def snapshot_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The city and the state summaries stored side by side, each under its kind."""
+    p = retail.default_params()
+    root = shared_folder(spark, "snapshot")
+    inputs = retail.RetailInputs(spark, sf_dir, p)
+    for kind, sums in (("city", _city_sums), ("state", _state_sums)):
+        snapshot.write_snapshot(groups.group_summary(sums(inputs, p), p), root, kind, p)
+    stored = [
+        snapshot.read_snapshot(spark, root, kind).withColumn("kind", F.lit(kind)) for kind in ("city", "state")
+    ]
+    return stored[0].unionByName(stored[1])
+
+
 @table_query
 def snapshot_refresh_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report stored earlier in the day, then one cluster refreshed at the present clock."""
@@ -375,7 +389,7 @@ def snapshot_refresh_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_folder(spark, "snapshot")
     stored = compare.hourly_report(retail.RetailInputs(spark, sf_dir, before), before)
     snapshot.write_snapshot(stored, root, refresh.KIND, before)
-    one = replace(p, clusters=(REFRESHED_CLUSTER,))
+    one = p.for_cluster(REFRESHED_CLUSTER)
     snapshot.write_snapshot(
         compare.hourly_report(retail.RetailInputs(spark, sf_dir, one), one), root, refresh.KIND, one
     )

@@ -497,6 +497,9 @@ FROM day_orders WHERE dt = {TODAY} GROUP BY city_code""",
 SELECT order_id, created_on, CAST(ROW_NUMBER() OVER (ORDER BY created_on DESC, order_id) AS INTEGER) AS pos
 FROM day_orders ORDER BY created_on DESC, order_id LIMIT 12""",
     "snapshot_roundtrip": f"SELECT cluster, {_HOURLY}, pos, '{P.as_of_text}' AS as_of FROM report",
+    "snapshot_kinds": f"""
+SELECT 'city' AS kind, '{P.as_of_text}' AS as_of, cluster, grp, {_SUMMARY} FROM city_summary
+UNION ALL SELECT 'state', '{P.as_of_text}', cluster, grp, {_SUMMARY} FROM state_summary""",
     "incremental_refresh": f"SELECT cluster, {_HOURLY}, pos FROM report",
     "scalar_functions": f"""
 SELECT order_id, hr AS hour_of, strftime(created_on, '%H:%M:%S') AS time_of_day, {TODAY} AS today,
@@ -517,7 +520,7 @@ def _before_refresh() -> str:
     earlier = NOW.replace(P.as_of_text, P.as_of.replace(hour=11, minute=0).strftime("%Y-%m-%d %H:%M:%S"))
     now = statement(f"SELECT cluster, {_HOURLY}, pos, '{P.as_of_text}' AS as_of FROM report")
     then = now.replace(NOW, earlier).replace(f"'{P.as_of_text}'", earlier.removeprefix("TIMESTAMP "))
-    one = catalog.REFRESHED_CLUSTER
+    (one,) = P.for_cluster(catalog.REFRESHED_CLUSTER).clusters
     return (
         f"SELECT * FROM ({now}) WHERE cluster = '{one}' UNION ALL BY NAME "
         f"SELECT * FROM ({then}) WHERE cluster <> '{one}'"
