@@ -83,3 +83,16 @@ def with_columns(
         *(F.col(f"`{c}`") for c in kept), *(F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs))
     )
     return passed.mapInArrow(run, schema)
+
+
+def lookup(frame: DataFrame, table: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join with a table of one row per key, so that a hot key of ``frame`` can be split.
+
+    Where the table is an aggregate on the same keys, Spark would join on its partitioning
+    and could not split a hot key at run time. The hash as a further key makes both sides
+    ordinary shuffles.
+    """
+    mark = fresh(frame, "key_hash")
+    hashed = F.xxhash64(*(F.col(f"`{k}`") for k in keys)).alias(mark)
+    right = table.select("*", hashed)
+    return frame.select("*", hashed).join(right, [*keys, mark], how).drop(mark)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weekover.llm import bpe
+from weekover.llm import bpe, simhash
 from weekover.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -29,7 +29,16 @@ def token_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+SHINGLE_WORDS, DISTANCE = 3, 3
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), SHINGLE_WORDS, DISTANCE)
+    return rows.select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
     "op3_byte_bpe": op3_byte_bpe,
 }
 
