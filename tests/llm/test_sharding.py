@@ -1,0 +1,72 @@
+"""Shards against the law, and the capacity against a plain search."""
+
+import random
+import zlib
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
+from tests.llm.conftest import SF
+from weekover.llm import queries, sharding
+
+
+def assert_sharded(rows, texts, n_shards):
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, _ in texts)
+    by_id = defaultdict(list)
+    for i, text in texts:
+        by_id[i].append(text or "")
+    of_text, slots, sizes = defaultdict(set), defaultdict(list), defaultdict(int)
+    for r in rows:
+        body = next(t for t in by_id[r.doc_id] if len(t.encode()) + 16 == r.size and zlib.crc32(t.encode()) == r.text_crc32)
+        of_text[body].add(r.shard)
+        slots[r.shard].append(r.slot)
+        sizes[r.shard] += r.size
+    assert all(len(s) == 1 for s in of_text.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert set(slots) <= set(range(n_shards))
+    return sizes
+
+
+def test_query(spark, documents):
+    texts = [(r.doc_id, r.text) for r in documents.collect()]
+    sizes = assert_sharded(queries.op5_sharding(spark, SF).collect(), texts, 40)
+    groups = defaultdict(int)
+    for _, text in texts:
+        groups[text] += len(text.encode()) + 16
+    mean = sum(groups.values()) / 40
+    assert len(sizes) == 40 and max(sizes.values()) <= mean + max(groups.values())
+
+
+def slow_capacity(sizes, n_shards):
+    def taken(limit):
+        shards, used = 1, 0
+        for s in sizes:
+            if used + s > limit:
+                shards, used = shards + 1, 0
+            used += s
+        return shards
+
+    return next(c for c in range(max(sizes), sum(sizes) + 1) if taken(c) <= n_shards)
+
+
+def test_capacity_is_the_smallest(spark):
+    random.seed(3)
+    for n, n_shards in ((1, 3), (7, 3), (60, 5), (40, 40)):
+        sizes = [random.randint(16, 90) for _ in range(n)]
+        runs = spark.createDataFrame([(i, 0, s) for i, s in enumerate(sizes)], "run long, part long, size long")
+        assert sharding.capacity(runs, n_shards) == slow_capacity(sizes, n_shards)
+
+
+def test_odd_rows(spark):
+    texts = [(1, None), (1, None), (2, ""), (3, "é" * 50_000), (None, "a"), (None, "a"), (5, "a")] + [
+        (100 + i, "copy") for i in range(300)
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("SHARD", F.lit("x"))
+    texts = [(i if i is not None else -1, t) for i, t in texts]
+    rows = sharding.shards(docs.fillna(-1, "doc_id"), 4).collect()
+    assert_sharded(rows, texts, 4)
+    assert sharding.shards(docs, 4).count() == len(texts)
+
+
+def test_empty_table(spark):
+    assert sharding.shards(spark.createDataFrame([], "doc_id long, text string"), 4).count() == 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weekover.llm import bpe, simhash
+from weekover.llm import bpe, sharding, simhash
 from weekover.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -37,9 +37,20 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "fingerprint", "component_id")
 
 
+N_SHARDS = 40
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shards(read_table(spark, sf_dir, "documents"), N_SHARDS)
+    return rows.selectExpr(
+        "doc_id", "size", "text_crc32", "'bytes' AS law", "shard", "slot", "CAST(NULL AS int) AS grown_shard"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_sharding": op5_sharding,
 }
 
 ORACLES: dict[str, str] = {}
