@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weekover.llm import bpe, sharding, simhash
+from weekover.llm import bpe, mixing, sharding, simhash
 from weekover.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -37,6 +37,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "fingerprint", "component_id")
 
 
+EPOCHS = 3.0
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = mixing.mix(read_table(spark, sf_dir, "documents"), EPOCHS)
+    return rows.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
+
+
 N_SHARDS = 40
 
 
@@ -50,6 +58,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
 }
 
