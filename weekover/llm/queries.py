@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weekover.llm import bpe, mixing, sharding, simhash
+from weekover.llm import bpe, chat, mixing, sharding, simhash
 from weekover.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -55,11 +55,34 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A conversation whose texts hold control strings of other templates.
+SPIKED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame(SPIKED, "conv_id long, turn long, role string, text string")
+    return chat_digests(read_table(spark, sf_dir, "conversations").select(*own.columns).union(own))
+
+
+def chat_digests(rows: DataFrame) -> DataFrame:
+    """Digests of turns and trained texts, read back from the formatted conversations."""
+    turns = rows.select("conv_id", "turn", "role", chat.text_parts().alias("parts"))
+    return chat.read_back(chat.formatted(turns)).selectExpr(
+        "conv_id",
+        "CAST(size(turns) AS bigint) AS n_turns",
+        "sha2(array_join(transform(turns, t -> concat(t.role, '\\n', t.text, '\\n')), ''), 256) AS turns_sha256",
+        "CAST(char_length(array_join(loss_texts, '')) AS bigint) AS loss_chars",
+        "sha2(array_join(loss_texts, ''), 256) AS loss_sha256",
+        "CAST(char_length(formatted) AS bigint) AS formatted_chars",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
+    "op10_chat": op10_chat,
 }
 
 ORACLES: dict[str, str] = {}
