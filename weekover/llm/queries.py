@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weekover.llm import bpe, chat, mixing, sharding, simhash
+from weekover.llm import bpe, chat, mixing, quality, sharding, simhash
 from weekover.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -55,6 +55,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.learned_rules(docs, read_table(spark, sf_dir, "labels"))
+    return quality.judged(docs, rules).selectExpr(
+        "doc_id", *(f"stats.{name}" for name in quality.COUNTS), "base_failed", "kept"
+    )
+
+
 # A conversation whose texts hold control strings of other templates.
 SPIKED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
+    "op7_quality": op7_quality,
     "op10_chat": op10_chat,
 }
 
