@@ -7,12 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weekover.llm import bpe, chat, mixing, quality, sharding, simhash
+from weekover.llm import bpe, chat, mixing, quality, sharding, simhash, warc
 from weekover.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.new_archive(spark)
+    warc.archive(read_table(spark, sf_dir, "pages"), path)
+    return warc.restored(spark, path)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents"))
 
@@ -86,6 +92,7 @@ def chat_digests(rows: DataFrame) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_mixing": op4_mixing,
@@ -94,4 +101,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc": """
+        WITH sized AS (
+            SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+        ), held AS (
+            SELECT *, CASE WHEN octet_length(payload) >= 1000
+                THEN max(page_id) OVER (PARTITION BY payload) ELSE page_id END AS holder FROM sized
+        )
+        SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+            CASE WHEN page_id < holder THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id < holder THEN holder END AS refers_to
+        FROM held
+    """,
+}
