@@ -95,4 +95,6 @@ def lookup(frame: DataFrame, table: DataFrame, keys: list[str], how: str = "left
     mark = fresh(frame, "key_hash")
     hashed = F.xxhash64(*(F.col(f"`{k}`") for k in keys)).alias(mark)
     right = table.select("*", hashed)
-    return frame.select("*", hashed).join(right, [*keys, mark], how).drop(mark)
+    joined = frame.select("*", hashed).join(right, [*keys, mark], how)
+    others = [] if how in ("left_semi", "left_anti") else [c for c in table.columns if c not in keys]
+    return joined.select(*(F.col(f"`{c}`") for c in [*frame.columns, *others]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weekover.llm import bpe, chat, mixing, quality, sharding, simhash, warc
+from weekover.llm import bpe, chat, mixing, quality, sharding, simhash, urls, warc
 from weekover.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -69,6 +69,22 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Host, beginning of the path, and verdict of the rules that are applied.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judged(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 # A conversation whose texts hold control strings of other templates.
 SPIKED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -98,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
     "op7_quality": op7_quality,
+    "op8_urls": op8_urls,
     "op10_chat": op10_chat,
 }
 
@@ -114,4 +131,27 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id < holder THEN holder END AS refers_to
         FROM held
     """,
+    "op8_urls": """
+        WITH rules(rule_host, rule_path, verdict) AS (
+            VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+        ), rests AS (
+            SELECT DISTINCT url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+            FROM pages WHERE url IS NOT NULL
+        ), raws AS (
+            SELECT url, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM rests
+        ), parts AS (
+            SELECT url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+            FROM raws
+        ), best AS (
+            SELECT url, arg_max(rule_host || rule_path, length(rule_host || rule_path) * 1000 + length(rule_host)) AS rule,
+                arg_max(verdict, length(rule_host || rule_path) * 1000 + length(rule_host)) AS verdict
+            FROM parts JOIN rules
+                ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+            GROUP BY url
+        )
+        SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, 'allow') AS verdict
+        FROM pages LEFT JOIN parts USING (url) LEFT JOIN best USING (url)
+    """,
 }
