@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weekover.llm import bpe, chat, mixing, quality, sharding, simhash, urls, warc
+from weekover.llm import bpe, chat, embeddings, mixing, quality, sharding, simhash, urls, warc
 from weekover.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -85,6 +85,13 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+COSINE = 0.95
+
+
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"), COSINE)
+
+
 # A conversation whose texts hold control strings of other templates.
 SPIKED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -115,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op7_quality": op7_quality,
     "op8_urls": op8_urls,
+    "op9_embeddings": op9_embeddings,
     "op10_chat": op10_chat,
 }
 
