@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weekover.llm import bpe, chat, embeddings, mixing, quality, sharding, simhash, urls, warc
+from weekover.llm import bpe, chat, embeddings, mixing, quality, sharding, simhash, toxicity, urls, warc
 from weekover.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -69,6 +70,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fitted(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model, keep=["doc_id"]).select(
+        "doc_id",
+        toxicity.held_out("doc_id").alias("held_out"),
+        "score",
+        F.expr("CAST(score >= 0.5 AS int) AS predicted"),
+    )
+
+
 # Host, beginning of the path, and verdict of the rules that are applied.
 URL_RULES = [
     ("org", "/", "allow"),
@@ -120,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
+    "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_urls": op8_urls,
     "op9_embeddings": op9_embeddings,
