@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +54,25 @@ def word_count(column: str) -> F.Column:
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    On a cluster the package is installed or sent along; this helps where only the driver's
+    path knows it, and sets the rows of a batch.
+    """
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+    if int(spark.conf.get(BATCH_CONF)) > BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
+def map_arrow(frame: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    reach_workers(frame.sparkSession)
+    return frame.mapInArrow(run, schema)
+
+
 def fresh(frame: DataFrame, stem: str) -> str:
     """A column name that the frame does not have, whatever its letters' case."""
     taken = {c.lower() for c in frame.columns}
@@ -90,11 +111,10 @@ def with_columns(
                 [*batch.columns[:n_kept], *(new[c] for c in added)], names=[*kept, *added]
             )
 
-    frame.sparkSession.conf.set(BATCH_CONF, str(BATCH_ROWS))
     passed = frame.select(
         *(F.col(f"`{c}`") for c in kept), *(F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs))
     )
-    return passed.mapInArrow(run, schema)
+    return map_arrow(passed, run, schema)
 
 
 def lookup(frame: DataFrame, table: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

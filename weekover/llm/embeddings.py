@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekover.llm.common import BATCH_CONF, BATCH_ROWS, batch_rows, lookup, written
+from weekover.llm.common import batch_rows, lookup, map_arrow, written
 from weekover.llm.components import connected
 from weekover.llm.simhash import _union
 
@@ -82,7 +82,7 @@ def _with_cells(vectors: DataFrame, axes: dict[int, np.ndarray], epsilon: float)
                     cells[i] = c
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"])
 
-    return vectors.mapInArrow(run, "vector array<double>, n long, first long, cells array<int>")
+    return map_arrow(vectors, run, "vector array<double>, n long, first long, cells array<int>")
 
 
 BLOCKS = (
@@ -226,8 +226,8 @@ def _unpacked(blocks: DataFrame) -> DataFrame:
                     names=["node", "vector", "n", "first"],
                 )
 
-    return blocks.select("nodes", "vectors", "counts", "firsts", "length").mapInArrow(
-        run, "node long, vector array<double>, n long, first long"
+    return map_arrow(
+        blocks.select("nodes", "vectors", "counts", "firsts", "length"), run, "node long, vector array<double>, n long, first long"
     )
 
 
@@ -260,7 +260,6 @@ def near_duplicates(
     ``component_id`` is the smallest id reachable by links.
     """
     spark = vectors.sparkSession
-    spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     epsilon = math.sqrt(2 - 2 * threshold)
     rows = vectors.select(F.col(vec_id).alias("id"), F.col(embedding).cast("array<double>").alias("vector"))
     valid = rows.where(_valid("vector"))
@@ -271,7 +270,7 @@ def near_duplicates(
     # The last key parts vectors of one cell, so that a crowded cell spans several tasks.
     celled = written(_with_cells(distinct, axes, epsilon), "cells")
     ordered = celled.repartitionByRange(*order).sortWithinPartitions(*order).select("vector", "n", "first")
-    blocks = written(ordered.mapInArrow(_cut(sent, block_rows), BLOCKS), "blocks")
+    blocks = written(map_arrow(ordered, _cut(sent, block_rows), BLOCKS), "blocks")
     pairs = written(block_pairs(blocks, epsilon), "block-pairs")
     sides = [
         blocks.select(F.col("block").alias(f"block_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("nodes", "vectors", "counts")))
@@ -280,7 +279,7 @@ def near_duplicates(
     both = pairs.join(sides[0], "block_a").join(sides[1], "block_b")
     # A row holds two blocks.
     with batch_rows(spark, 2):
-        joined = both.mapInArrow(_joined(sent, threshold), "node long, links long, root long")
+        joined = map_arrow(both, _joined(sent, threshold), "node long, links long, root long")
         links = written(joined, "vector-links")
     with batch_rows(spark, 8):
         nodes = written(_unpacked(blocks), "vector-nodes")

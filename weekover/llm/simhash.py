@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekover.llm.components import connected
-from weekover.llm.common import fresh, lookup, with_columns, written
+from weekover.llm.common import fresh, lookup, map_arrow, with_columns, written
 
 BITS = 64
 SEED = 42
@@ -233,7 +233,7 @@ def forest_links(fingerprints: DataFrame, distance: int, node_rows: int = NODE_R
         .sortWithinPartitions("fixed", "pattern", "rank")
         .select("fixed", "pattern", "fp")
     )
-    return ordered.mapInArrow(_spanning(distance), "a bigint, b bigint")
+    return map_arrow(ordered, _spanning(distance), "a bigint, b bigint")
 
 
 def near_duplicates(

@@ -6,7 +6,8 @@ unlabelled text clean, less the share of it that toxic text accounts for by the
 prior, estimates the risk on clean text. Where that estimate falls below zero the model
 fits single unlabelled documents, and its steps go the other way.
 
-Features are the distinct lower-case words of a whole text and their beginnings. Spark
+Features are the lower-case words of a whole text and their beginnings, each again when
+it occurs repeatedly. Spark
 counts them over bounded samples (``samples`` of each kind, by the hash of the id) and the
 ``n_features`` that speak most for known toxic text are kept; training on these small
 sets is numpy on the driver. Scoring covers all documents.
@@ -20,6 +21,7 @@ is zero. Rows without an id are scored, but not learned from.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,8 +34,12 @@ from weekover.llm.common import with_columns, written
 
 FOLDS = 5
 SAMPLES, N_FEATURES, LEAST_DOCUMENTS = 8000, 2048, 3
+# How much a feature must tell to be kept: chance gives this to hardly any of a million.
+LEAST_TELLING = 25.0
 # Lengths of the beginnings of words that are features beside the words.
 STARTS = (4, 5, 6)
+# A word or beginning is a feature once more when it occurs so many times.
+OFTEN = (1, 2, 3)
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
 WORD = re.compile(r"\w+")
 
@@ -42,11 +48,21 @@ def held_out(doc_id: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def _counted(text: str | None) -> list[tuple[str, Counter]]:
+    """Occurrences of words, and of each length of beginnings, with the mark of their names."""
+    words = WORD.findall((text or "").lower())
+    return [("", Counter(words)), *(("*", Counter([w[:n] for w in words if len(w) > n])) for n in STARTS)]
+
+
 def features(text: str | None) -> set[str]:
-    """Words of a text, and their beginnings marked by a star."""
-    found = set(WORD.findall((text or "").lower()))
-    starts = {w[:n] + "*" for n in STARTS for w in found if len(w) > n}
-    return found | starts
+    """Words of a text, their beginnings marked by a star, and which of them occur often."""
+    return {
+        f"{name}{mark}{f'#{k}' if k > 1 else ''}"
+        for mark, counts in _counted(text)
+        for name, n in counts.items()
+        for k in OFTEN
+        if n >= k
+    }
 
 
 @dataclass
@@ -55,18 +71,16 @@ class Model:
     bias: float
 
     def __post_init__(self) -> None:
-        words = {f for f in self.weights if not f.endswith("*")}
-        self._words = frozenset(words)
-        self._starts = [(n, frozenset(f[:-1] for f in self.weights if f.endswith("*") and len(f) == n + 1)) for n in STARTS]
+        self._bases = frozenset(f.partition("#")[0].removesuffix("*") for f in self.weights)
 
     def score(self, text: str | None) -> float:
-        words = set(WORD.findall((text or "").lower()))
-        hits = list(self._words & words)
-        for n, starts in self._starts:
-            if starts:
-                hits += [s + "*" for s in starts.intersection([w[:n] for w in words if len(w) > n])]
+        hits = []
+        for mark, counts in _counted(text):
+            for name in self._bases & counts.keys():
+                n = counts[name]
+                hits += [f"{name}{mark}{f'#{k}' if k > 1 else ''}" for k in OFTEN if n >= k]
         # Sorted, so that the sum does not depend on the order of a set.
-        z = self.bias + sum(self.weights[f] for f in sorted(hits))
+        z = self.bias + sum(self.weights.get(f, 0.0) for f in sorted(hits))
         return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
 
@@ -140,7 +154,8 @@ def fitted(
         return {"features": pa.array([sorted(features(x.as_py())) for x in batch.column(0)], pa.list_(pa.string()))}
 
     listed = with_columns(both, make, ["text"], {"features": T.ArrayType(T.StringType())}, ["doc_id", "known"])
-    listed = written(listed, "toxic-samples")
+    # Copies of one document would make all its words look telling.
+    listed = written(listed.dropDuplicates(["known", "features"]), "toxic-samples")
     sizes = {r["known"]: r["n"] for r in listed.groupBy("known").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(True) or not sizes.get(False):
         return Model({}, -np.inf)
@@ -150,8 +165,10 @@ def fitted(
         .agg(F.count_if("known").alias("p"), F.count_if(~F.col("known")).alias("u"))
         .where(F.col("p") >= LEAST_DOCUMENTS)
     )
-    rates = f"log((p / {sizes[True]}D) / ((u + 0.5D) / {sizes[False]}D))"
-    best = seen.withColumn("tells", F.expr(f"p * {rates}")).orderBy(F.desc("tells"), "feature").limit(n_features)
+    # Twice the log likelihood ratio of the count against the one expected from unlabelled text.
+    seen = seen.withColumn("e", F.expr(f"(u + 0.5D) * {sizes[True]}D / {sizes[False]}D"))
+    tells = seen.withColumn("tells", F.expr("2 * (p * log(p / e) - (p - e))")).where(f"p > e AND tells >= {LEAST_TELLING}")
+    best = tells.orderBy(F.desc("tells"), "feature").limit(n_features)
     names = sorted(r["feature"] for r in best.collect())
     place = {f: i for i, f in enumerate(names)}
     kept = F.array_intersect("features", F.array(*map(F.lit, names))) if names else F.array().cast("array<string>")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekover.llm.common import BATCH_CONF, BATCH_ROWS, fresh, lookup
+from weekover.llm.common import BATCH_ROWS, fresh, lookup, map_arrow
 
 SALTS = 64
 DEFAULT = "allow"
@@ -101,7 +101,6 @@ def longest_rules(urls: DataFrame, rules: DataFrame, salts: int = SALTS) -> Data
     spread = given.select(
         "domain", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "path", F.lit(0), nothing, F.concat("domain", "path"), "verdict"
     )
-    urls.sparkSession.conf.set(BATCH_CONF, str(BATCH_ROWS))
     ordered = (
         probes.union(spread)
         .withColumn("key", reversed_host(F.col("domain")))
@@ -109,7 +108,7 @@ def longest_rules(urls: DataFrame, rules: DataFrame, salts: int = SALTS) -> Data
         .sortWithinPartitions("key", "salt", "path", "rank")
         .drop("key")
     )
-    matched = ordered.mapInArrow(_sweep, "url string, domain string, rule string, verdict string")
+    matched = map_arrow(ordered, _sweep, "url string, domain string, rule string, verdict string")
     best = F.max(F.struct(F.char_length("rule"), F.char_length("domain"), "rule", "verdict")).alias("best")
     return matched.groupBy("url").agg(best).select("url", "best.rule", "best.verdict")
 

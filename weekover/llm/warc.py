@@ -50,7 +50,7 @@ from pyspark.sql.datasource import (
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from weekover.llm.common import BATCH_CONF, BATCH_ROWS, lookup
+from weekover.llm.common import lookup, reach_workers
 from weekover.session import shared_folder
 
 SCHEMA = (
@@ -415,7 +415,7 @@ class WarcDataSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+    reach_workers(spark)
     spark.dataSource.register(WarcDataSource)
 
 
