@@ -43,10 +43,10 @@ def test_positive_and_unlabelled_rows_suffice():
 
 def test_odd_rows(spark):
     docs = [(1, None), (2, ""), (None, "moron"), (4, "word " * 60_000), (4, "moron")] + [
-        (10 + i, "some moron here" if i % 3 == 0 else "some fine thing here") for i in range(90)
+        (10 + i, f"some {'moron' if i % 3 == 0 else 'fine thing'} here {i}") for i in range(400)
     ]
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("SCORE", F.lit("x"))
-    labels = [(10 + i, int(i % 3 == 0)) for i in range(90)] + [(None, 1), (11, None), (12345, 1)]
+    labels = [(10 + i, int(i % 3 == 0)) for i in range(400)] + [(None, 1), (11, None), (12345, 1)]
     labels = spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.fitted(frame, labels)
     rows = toxicity.scored(frame, model).collect()

@@ -20,6 +20,7 @@ is zero. Rows without an id are scored, but not learned from.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -81,7 +82,7 @@ class Model:
                 hits += [f"{name}{mark}{f'#{k}' if k > 1 else ''}" for k in OFTEN if n >= k]
         # Sorted, so that the sum does not depend on the order of a set.
         z = self.bias + sum(self.weights.get(f, 0.0) for f in sorted(hits))
-        return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+        return 1 / (1 + math.exp(-min(z, 700.0))) if z > -700 else 0.0
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
