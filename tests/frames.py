@@ -32,9 +32,12 @@ def inputs(spark, orders, traffic=(), offers=(), templates=("T1",), cities=CITIE
         return spark.createDataFrame(list(rows), schema)
 
     facts = frame(orders, schemas.ORDER_FACTS)
+    # Lines are given with or without their order's day.
+    by_day = lines is not None and all(len(line) == len(schemas.OFFER_LINES) for line in lines)
+    line_schema = schemas.OFFER_LINES if by_day else "order_id long, offer_id long, discount double"
     return FrameInputs(
         orders=facts if lines is None else facts.drop("offer_details"),
-        offer_lines=None if lines is None else frame(lines, schemas.OFFER_LINES),
+        offer_lines=None if lines is None else frame(lines, line_schema),
         offer_events=frame(offers, schemas.OFFER_EVENTS),
         templates=frame([(t,) for t in templates], schemas.TEMPLATES),
         special_coupons=frame([("SAVE",)], schemas.SPECIAL_COUPONS),

@@ -6,6 +6,7 @@ from contextlib import contextmanager
 import pytest
 
 import __spark_entry__ as contract
+from weekover.plans import catalog
 from weekover.operators import compare, facts, filters
 from weekover.sources import retail, schemas, tables
 from weekover.sources.inputs import FrameInputs
@@ -29,7 +30,8 @@ def settings(spark, **values):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-LAZY = sorted(set(contract.queries()) - {"snapshot_roundtrip", "snapshot_kinds", "snapshot_refresh_one", "incremental_refresh"})
+EAGER = ("snapshot_", "incremental_")
+LAZY = sorted(name for name in catalog.REGISTRY if not name.startswith(EAGER))
 
 
 @pytest.mark.parametrize("name", LAZY)
@@ -54,9 +56,11 @@ def test_only_bounded_frames_are_broadcast_when_sizes_are_unknown(spark):
 
 
 def test_grid_reads_the_facts_once(spark):
-    """One scan of the events for the cutoff and one for the rows, besides the traffic."""
+    """One scan of the events for the cutoff, one for the rows and one, of two columns, for
+    the orders whose lines are needed, besides the traffic."""
     text = plan(contract.queries()["group_hour_grid"](spark, SF_DIR))
-    assert len(re.findall(r"FileScan parquet \[event_id", text)) == 2
+    assert len(re.findall(r"FileScan parquet \[event_id", text)) == 3
+    assert len(re.findall(r"FileScan parquet \[event_id#\d+L?,ts#\d+\]", text)) == 1
 
 
 def test_day_filter_and_columns_reach_the_scan(spark):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from weekover.params import LABEL_GAPS
+
 # First hour after each daypart, and its name.
 DAYPARTS = ((6, "late_night"), (12, "morning"), (15, "lunch"), (18, "afternoon"), (24, "dinner"))
 
@@ -29,7 +31,7 @@ def daypart(hour: str) -> str:
 
 def cluster_slug(label: str, known: Sequence[str], default: str) -> str:
     """Normalised cluster name; labels of no known cluster give the default one."""
-    slug = f"regexp_replace(lower({label}), '[ +]', '_')"
+    slug = f"translate(lower({label}), '{LABEL_GAPS}', '{'_' * len(LABEL_GAPS)}')"
     names = ", ".join(f"'{name}'" for name in known)
     return f"if({slug} IN ({names}), {slug}, '{default}')"
 

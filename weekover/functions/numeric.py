@@ -3,7 +3,7 @@
 They return text for ``selectExpr`` and ``F.expr``: reports have dozens of measures of the
 same form, and one parsed expression is built faster than a chain of column calls.
 
-Money is added up in whole ten-thousandths, so a sum does not depend on the order in
+Money is rounded to four decimals per value and added up in whole ten-thousandths, so a sum does not depend on the order in
 which partial aggregates meet, and a row costs one primitive addition per amount. Only
 totals turn into decimals. Ratios are doubles, rounded half up through a decimal, which
 gives the same digits in every engine.
@@ -12,9 +12,25 @@ gives the same digits in every engine.
 from __future__ import annotations
 
 
+# Money values from here on, like ones that are not finite, are not amounts.
+LARGEST_AMOUNT = "1e11D"
+
+
+def is_amount(value: str) -> str:
+    return f"abs({value}) < {LARGEST_AMOUNT}"
+
+
 def units(value: str) -> str:
-    """A money value in whole ten-thousandths, NULL counted as zero."""
-    return f"coalesce(cast(rint({value} * 10000) as bigint), 0)"
+    """A money value in whole ten-thousandths, NULL counted as zero.
+
+    What is no amount gives NULL, which a ``sound_sum`` hands on.
+    """
+    return f"(CASE WHEN {value} IS NULL THEN 0L WHEN {is_amount(value)} THEN cast(rint({value} * 10000) AS bigint) END)"
+
+
+def sound_sum(amount: str, day: str = "TRUE", total: str | None = None) -> str:
+    """Sum over the rows of a day, NULL if an amount among them is."""
+    return f"if(count_if({day} AND ({amount}) IS NULL) > 0, NULL, {total or f'sum({amount})'})"
 
 
 def copied_sum(amount: str, *factors: str, day: str = "TRUE") -> str:
@@ -25,10 +41,11 @@ def copied_sum(amount: str, *factors: str, day: str = "TRUE") -> str:
     """
     single = " AND ".join(f"{factor} = 1" for factor in factors)
     product = " * ".join([f"cast({amount} as decimal(38,0))", *factors])
-    return (
+    total = (
         f"(coalesce(sum({amount}) FILTER (WHERE {day} AND {single}), 0)"
         f" + coalesce(sum({product}) FILTER (WHERE {day} AND NOT ({single})), 0))"
     )
+    return sound_sum(amount, day, total)
 
 
 def exact(total: str) -> str:

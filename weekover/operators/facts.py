@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekover.functions.labels import COUPON_PRESENT
-from weekover.functions.numeric import aliased, as_money, copied_sum, exact, percent, ratio, rounded, units
+from weekover.functions.numeric import aliased, as_money, copied_sum, exact, percent, ratio, rounded, sound_sum, units
 from weekover.metrics import MONEY_MEASURES, TRAFFIC_MEASURES
 from weekover.operators import filters, spend, traffic
 from weekover.params import ReportParams
@@ -60,7 +60,7 @@ def order_level(
     once, which is the same on unique keys.
     """
     weights = spend.offer_weights(inputs.offer_events, inputs.templates, params)
-    totals = {name: f"sum({amount})" for name, amount in AMOUNTS.items()}
+    totals = {name: sound_sum(amount) for name, amount in AMOUNTS.items()}
     totals |= {
         "copies": "count(*)",
         "has_banner": f"max(banner_factor > {params.banner_threshold}D)",
@@ -82,7 +82,8 @@ def order_level(
     if nested:
         per_order = per_order.join(spend.nested_spend(rows, weights, keys), keys, "left")
     else:
-        per_order = per_order.join(spend.order_spend(inputs.offer_lines, weights), "order_id", "left")
+        lines = spend.compared_lines(inputs.offer_lines, inputs.orders, params)
+        per_order = per_order.join(spend.order_spend(lines, weights), ["order_id", "dt"], "left")
     # An order can reach several groups; there are at most as many rows per key as there
     # are groups in the city dimension.
     over_key = f"OVER (PARTITION BY {', '.join(keys)})"
@@ -131,7 +132,10 @@ def _rates(day: str = "TRUE") -> dict[str, str]:
 
 
 def hourly_kpis(per_order: DataFrame) -> DataFrame:
-    """Per-order averages by cluster, hour and day."""
+    """Per-order averages by cluster, hour and day.
+
+    A money column that holds no amount makes the averages it enters NULL in its cell only.
+    """
     return per_order.groupBy("cluster", "hr", "dt").agg(*map(F.expr, aliased(_rates())))
 
 

@@ -16,9 +16,13 @@ from weekover.params import ReportParams
 
 
 def comparable_days(orders: DataFrame, params: ReportParams) -> DataFrame:
-    """Order rows of today and the same weekday last week without the excluded brand."""
+    """Order rows of today and the same weekday last week without the excluded brand.
+
+    Rows later than the clock of the run are not known yet; rows without a time stay.
+    """
+    known = F.col("created_on").isNull() | (F.col("created_on") <= F.expr(params.now))
     return orders.where(
-        F.col("dt").isin(params.today, params.last_week) & (F.col("excluded_flag") == 0)
+        F.col("dt").isin(params.today, params.last_week) & (F.col("excluded_flag") == 0) & known
     ).withColumn("hr", F.hour("created_on"))
 
 

@@ -28,6 +28,16 @@ def group_hour_sums(facts: DataFrame) -> DataFrame:
     )
 
 
+def placed(facts: DataFrame) -> DataFrame:
+    """Facts with ``pos``, their place by day, group and hour within the cluster.
+
+    A cluster has one row per group of the city dimension, hour and day.
+    """
+    return facts.selectExpr(
+        "*", "cast(row_number() OVER (PARTITION BY cluster ORDER BY dt, grp, hr) AS int) AS pos"
+    )
+
+
 def group_keys(sums: DataFrame) -> DataFrame:
     """Groups seen on either day."""
     return sums.select("cluster", "grp").distinct()

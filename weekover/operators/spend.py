@@ -7,31 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekover.functions.numeric import as_money, units
+from weekover.functions.numeric import as_money, is_amount, units
+from weekover.operators import filters
+from weekover.operators.joins import lookup
 from weekover.params import ReportParams
 
 ORDER_KEY = ("order_id", "hr", "dt")
 
-# Entries of one stored offer list, as a power of two.
-LIST_BITS = 10
-
 
 def offer_lists(lines: DataFrame) -> DataFrame:
-    """Offer lines nested into arrays of at most 2**LIST_BITS entries.
+    """One ``offer_details`` list per order, as order rows store it, in order of its entries.
 
-    Lines are cut into runs of that length by position within their input split, and a
-    list holds the lines of one order in one run, so no order can grow one list without
-    bound: an order with more lines has several lists.
+    A list holds the lines of one order; ``lines`` are those of the compared orders.
     """
-    run = F.shiftright(F.monotonically_increasing_id(), LIST_BITS)
-    return (
-        lines.withColumn("run", run)
-        .groupBy("order_id", "run")
-        .agg(F.collect_list(F.struct("offer_id", "discount")).alias("offer_details"))
-        .drop("run")
+    return lines.groupBy("order_id").agg(
+        F.expr("sort_array(collect_list(struct(offer_id, discount))) AS offer_details")
     )
 
 
+def compared_lines(lines: DataFrame, orders: DataFrame, params: ReportParams) -> DataFrame:
+    """Offer lines (order_id, dt, offer_id, discount) of the compared days.
+
+    Lines stored by day are pruned to the two days. Lines without a day are reduced to those
+    of the compared orders before anything else shuffles them.
+    """
+    if "dt" in lines.columns:
+        return lines.where(F.col("dt").isin(params.today, params.last_week))
+    placed = filters.comparable_days(orders, params).select("order_id", "dt").distinct()
+    return lines.join(placed, "order_id")
+
+
 def explode_offers(rows: DataFrame, keys: Sequence[str] = ORDER_KEY, outer: bool = False) -> DataFrame:
     """One row per applied offer; orders with a NULL or empty list drop out unless ``outer``."""
     unfold = F.explode_outer if outer else F.explode
@@ -41,9 +46,9 @@ def explode_offers(rows: DataFrame, keys: Sequence[str] = ORDER_KEY, outer: bool
 
 
 def listed_events(offer_events: DataFrame, templates: DataFrame, params: ReportParams) -> DataFrame:
-    """(offer, template) events of the listed templates within the look-back."""
+    """(offer, template) events of the listed templates within the look-back, none after today."""
     return (
-        offer_events.where(F.col("dt") >= F.lit(params.lookback_start))
+        offer_events.where(F.col("dt").between(F.lit(params.lookback_start), F.lit(params.today)))
         .join(templates, "template_id", "left_semi")
         .select("offer_id", "template_id")
     )
@@ -70,18 +75,18 @@ def offer_weights(offer_events: DataFrame, templates: DataFrame, params: ReportP
 def weighted_lines(lines: DataFrame, weights: DataFrame) -> DataFrame:
     """Lines of targeted offers with their spend in units.
 
-    An offer under several listed templates counts once per template. With the templates
+    A discount that is no amount counts as none. An offer under several listed templates counts once per template. With the templates
     counted beforehand the join is many to one, so a popular offer cannot multiply rows.
     """
     keys = [c for c in lines.columns if c not in ("offer_id", "discount")]
-    return lines.join(weights, "offer_id").selectExpr(*keys, f"{units('discount')} * templates AS line_units")
+    return lookup(lines, weights, ["offer_id"]).selectExpr(*keys, f"coalesce({units('discount')}, 0L) * templates AS line_units")
 
 
 def order_spend(lines: DataFrame, weights: DataFrame) -> DataFrame:
-    """Targeted spend of one copy of each order in units, from normalised offer lines."""
+    """Targeted spend of one copy of each order and day in units, from ``compared_lines``."""
     return (
-        weighted_lines(lines.select("order_id", "offer_id", "discount"), weights)
-        .groupBy("order_id")
+        weighted_lines(lines.select("order_id", "dt", "offer_id", "discount"), weights)
+        .groupBy("order_id", "dt")
         .agg(F.expr("sum(line_units) AS spend_units"))
     )
 
@@ -102,19 +107,22 @@ def nested_spend(rows: DataFrame, weights: DataFrame, keys: Sequence[str] = ORDE
 def targeted_spend(
     rows: DataFrame, lines: DataFrame, weights: DataFrame, keys: Sequence[str] = ORDER_KEY
 ) -> DataFrame:
-    """Targeted spend per key from normalised lines, every copy of an order counted.
+    """Targeted spend per key from ``compared_lines``, every copy of an order counted.
 
     Copies are counted before the join, which then meets each order once per hour
     instead of once per copy and line.
     """
     copies = rows.groupBy(*keys).agg(F.expr("count(*) AS copies"))
-    return copies.join(order_spend(lines, weights), "order_id").selectExpr(
+    return copies.join(order_spend(lines, weights), ["order_id", "dt"]).selectExpr(
         *keys, f"{as_money('spend_units * copies')} AS targeted_spend"
     )
 
 
-# Amount of the first offer total; NULL for a missing, empty or malformed entry.
-FIRST_OFFER_TOTAL = "try_cast(get(offer_totals, 0).total_offer_discount AS double)"
+_FIRST_TOTAL = "try_cast(get(offer_totals, 0).total_offer_discount AS double)"
+
+# Amount of the first offer total; NULL for a missing, empty or malformed entry, and for
+# text that parses as a number but is no amount.
+FIRST_OFFER_TOTAL = f"(CASE WHEN {is_amount(_FIRST_TOTAL)} THEN {_FIRST_TOTAL} END)"
 
 
 def special_spend(rows: DataFrame, special_coupons: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ from datetime import date, datetime, timedelta
 # Report clusters, most used first.
 CLUSTERS = ("tier_next", "tier_2", "tier_3", "tier_1")
 
+# Characters of a cluster label that stand for an underscore.
+LABEL_GAPS = " +"
+
 # Platforms whose sessions count as app traffic.
 APP_PLATFORMS = ("Android", "iOS")
 
@@ -36,9 +39,14 @@ class ReportParams:
     def lookback_start(self) -> date:
         return self.today - timedelta(days=self.lookback_days)
 
+    @property
+    def now(self) -> str:
+        """The clock as an SQL literal."""
+        return f"cast('{self.as_of}' AS timestamp_ntz)"
+
     def for_cluster(self, label: str) -> ReportParams:
         """The same run for one cluster, named in any spelling; unknown ones mean the default."""
-        slug = label.lower().replace(" ", "_").replace("+", "_")
+        slug = label.lower().translate(str.maketrans(dict.fromkeys(LABEL_GAPS, "_")))
         return replace(self, clusters=(slug if slug in self.clusters else self.default_cluster,))
 
     @property

@@ -29,6 +29,7 @@ PICKED_HOURS = (10, 11, 12)
 SORT_COLUMN = "d_special"
 TIERS = {"critical": 4, "warning": 2}
 REFRESHED_CLUSTER = "Tier 2"
+STEP_TIMES = ((11, 0), (13, 0), (14, 45))
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -52,6 +53,17 @@ def query(build: Callable[[ReportInputs, ReportParams], DataFrame]) -> Callable:
     return build
 
 
+def nested_query(build: Callable[[ReportInputs, ReportParams], DataFrame]) -> Callable:
+    """Register a query over order rows that carry their offers as a list."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        params = retail.default_params()
+        return _plain(build(retail.NestedRetailInputs(spark, sf_dir, params), params))
+
+    REGISTRY[build.__name__] = run
+    return build
+
+
 def table_query(build: Query) -> Query:
     """Register a query that needs the session and folder themselves."""
     REGISTRY[build.__name__] = lambda spark, sf_dir: _plain(build(spark, sf_dir))
@@ -103,10 +115,10 @@ def dedup_base(i: ReportInputs, p: ReportParams) -> DataFrame:
 # Spend
 
 
-@query
+@nested_query
 def explode_offers(i: ReportInputs, p: ReportParams) -> DataFrame:
-    rows = filters.comparable_days(i.orders, p).select(*spend.ORDER_KEY)
-    return spend.explode_offers(rows.join(spend.offer_lists(i.offer_lines), "order_id"))
+    """Order rows with one list of offers each, unfolded."""
+    return spend.explode_offers(filters.comparable_days(i.orders, p))
 
 
 @query
@@ -117,7 +129,8 @@ def targeted_offers(i: ReportInputs, p: ReportParams) -> DataFrame:
 @query
 def targeted_spend(i: ReportInputs, p: ReportParams) -> DataFrame:
     weights = spend.offer_weights(i.offer_events, i.templates, p)
-    return spend.targeted_spend(filters.comparable_days(i.orders, p), i.offer_lines, weights)
+    lines = spend.compared_lines(i.offer_lines, i.orders, p)
+    return spend.targeted_spend(filters.comparable_days(i.orders, p), lines, weights)
 
 
 @query
@@ -134,6 +147,11 @@ def hourly_kpis(i: ReportInputs, p: ReportParams) -> DataFrame:
     return facts.hourly_report_kpis(i, p)
 
 
+@nested_query
+def hourly_kpis_nested(i: ReportInputs, p: ReportParams) -> DataFrame:
+    return facts.hourly_report_kpis(i, p)
+
+
 @query
 def special_inline(i: ReportInputs, p: ReportParams) -> DataFrame:
     return facts.hourly_report_kpis(i, p, fan_out=False)
@@ -209,12 +227,17 @@ def city_base(i: ReportInputs, p: ReportParams) -> DataFrame:
 
 @query
 def city_hourly(i: ReportInputs, p: ReportParams) -> DataFrame:
-    return facts.city_facts(i, p).withColumnRenamed("grp", "city").orderBy("cluster", "dt", "city", "hr")
+    return groups.placed(facts.city_facts(i, p)).withColumnRenamed("grp", "city")
+
+
+@nested_query
+def city_hourly_nested(i: ReportInputs, p: ReportParams) -> DataFrame:
+    return groups.placed(facts.city_facts(i, p)).withColumnRenamed("grp", "city")
 
 
 @query
 def state_hourly(i: ReportInputs, p: ReportParams) -> DataFrame:
-    return facts.state_facts(i, p).withColumnRenamed("grp", "state").orderBy("cluster", "dt", "state", "hr")
+    return groups.placed(facts.state_facts(i, p)).withColumnRenamed("grp", "state")
 
 
 def _city_sums(i: ReportInputs, p: ReportParams) -> DataFrame:
@@ -266,7 +289,14 @@ def state_hour_grid(i: ReportInputs, p: ReportParams) -> DataFrame:
 
 @query
 def nested_hourly(i: ReportInputs, p: ReportParams) -> DataFrame:
-    return groups.nested_hourly(_city_grid(i, p))
+    """The nested form, its array as text: hour and the two sides' orders and conversion."""
+    sides = "concat_ws('/', h.hr, h.tw.orders, h.lw.orders, h.tw.cvr, h.lw.cvr)"
+    return groups.nested_hourly(_city_grid(i, p)).selectExpr(
+        "cluster",
+        "grp",
+        "size(hours) AS n_hours",
+        f"array_join(transform(hours, h -> {sides}), ' ') AS hours_text",
+    )
 
 
 @query
@@ -396,12 +426,53 @@ def snapshot_refresh_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.read_snapshot(spark, root, refresh.KIND)
 
 
+@table_query
+def snapshot_one_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored report of one cluster, asked for by its label."""
+    p = retail.default_params()
+    root = shared_folder(spark, "snapshot")
+    snapshot.write_snapshot(compare.hourly_report(retail.RetailInputs(spark, sf_dir, p), p), root, refresh.KIND, p)
+    (cluster,) = p.for_cluster(REFRESHED_CLUSTER).clusters
+    return snapshot.read_snapshot(spark, root, refresh.KIND, cluster)
+
+
+@table_query
+def snapshot_emptied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored report of all clusters, of which one is replaced by an empty result."""
+    p = retail.default_params()
+    root = shared_folder(spark, "snapshot")
+    report = compare.hourly_report(retail.RetailInputs(spark, sf_dir, p), p)
+    snapshot.write_snapshot(report, root, refresh.KIND, p)
+    snapshot.write_snapshot(report.limit(0), root, refresh.KIND, p.for_cluster(REFRESHED_CLUSTER))
+    return snapshot.read_snapshot(spark, root, refresh.KIND)
+
+
+def _streamed(spark: SparkSession, sf_dir: str, folder: str, pattern: str, work: str, root: str, p: ReportParams) -> None:
+    events = refresh.file_stream(spark, folder, retail.TABLES["events"], pattern)
+    inputs = retail.RetailInputs(spark, sf_dir, p)
+    # Lines of any landed order may be needed, so they are reduced by the landed orders.
+    inputs = refresh.with_lines(inputs, retail.all_lines(spark, sf_dir))
+    refresh.run_refresh(retail.order_stream(events, spark, sf_dir), inputs, work, root, p)
+
+
 @table_query
 def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = retail.default_params()
     root = shared_folder(spark, "snapshot")
-    stream = refresh.event_stream(spark, sf_dir, "events.parquet")
-    refresh.start_refresh(stream, sf_dir, shared_folder(spark, "refresh"), root, p).awaitTermination()
+    _streamed(spark, sf_dir, sf_dir, "events.parquet", shared_folder(spark, "refresh"), root, p)
+    return snapshot.read_snapshot(spark, root, refresh.KIND).drop("as_of")
+
+
+@table_query
+def incremental_refresh_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events arriving in three files while the clock moves on, over one checkpoint."""
+    work, root, folder = (shared_folder(spark, n) for n in ("refresh", "snapshot", "events"))
+    events = retail.table(spark, sf_dir, "events")
+    for step, moment in enumerate(STEP_TIMES):
+        events.where(F.col("event_id") % len(STEP_TIMES) == step).coalesce(1).write.mode("append").parquet(folder)
+        p = retail.default_params()
+        p = replace(p, as_of=p.as_of.replace(hour=moment[0], minute=moment[1]))
+        _streamed(spark, sf_dir, folder, "part-*.parquet", work, root, p)
     return snapshot.read_snapshot(spark, root, refresh.KIND).drop("as_of")
 
 

@@ -28,7 +28,7 @@ def r(expression: str, digits: int) -> str:
 
 
 def m(column: str) -> str:
-    return f"COALESCE(CAST({column} AS DECIMAL(18,2)), 0)"
+    return f"COALESCE(CAST({column} AS DECIMAL(18,4)), 0)"
 
 
 def div(a: str, b: str) -> str:
@@ -103,11 +103,11 @@ CTES["state_rows"] = "SELECT c.*, g.state AS grp FROM comparable c JOIN cities g
 def _spend_ctes(rows: str) -> None:
     prefix = rows.removesuffix("_rows")
     CTES[f"{prefix}_targeted"] = f"""
-  SELECT {KEY}, SUM(CAST(l_quantity AS DECIMAL(18,2))) AS targeted
+  SELECT {KEY}, SUM(CAST(l_quantity AS DECIMAL(18,4))) AS targeted
   FROM {rows} JOIN lineitem ON l_orderkey = order_id JOIN offers ON offer_id = l_partkey
   GROUP BY {KEY}"""
     CTES[f"{prefix}_special"] = f"""
-  SELECT {KEY}, CASE WHEN coupon_code IN ({COUPONS}) THEN CAST(first_total AS DECIMAL(18,2)) END AS special
+  SELECT {KEY}, CASE WHEN coupon_code IN ({COUPONS}) THEN CAST(first_total AS DECIMAL(18,4)) END AS special
   FROM {rows}"""
 
 
@@ -116,7 +116,7 @@ for _rows in ("hourly_rows", "city_rows", "state_rows"):
 
 
 def _kpis(joined: bool) -> str:
-    special = "special" if joined else f"CASE WHEN coupon_code IN ({COUPONS}) THEN CAST(first_total AS DECIMAL(18,2)) END"
+    special = "special" if joined else f"CASE WHEN coupon_code IN ({COUPONS}) THEN CAST(first_total AS DECIMAL(18,4)) END"
     joins = f"LEFT JOIN hourly_special USING ({KEY})" if joined else ""
     n = "COUNT(DISTINCT order_id)"
     return f"""
@@ -369,7 +369,9 @@ FROM (
 def _plain_facts(facts: str, label: str) -> str:
     money = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in MONEY_MEASURES)
     counts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("orders", "coupon_orders", *TRAFFIC_MEASURES))
-    return f"SELECT cluster, grp AS {label}, hr, dt, {counts}, {money} FROM {facts}"
+    pos = "CAST(ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY dt NULLS FIRST, grp NULLS FIRST, hr NULLS FIRST) AS INTEGER) AS pos"
+    placed = f", {pos}" if label != "grp" else ""
+    return f"SELECT cluster, grp AS {label}, hr, dt, {counts}, {money}{placed} FROM {facts}"
 
 
 _HOURLY = ", ".join(hourly_columns())
@@ -407,7 +409,7 @@ SELECT order_id, hr, dt, l_partkey AS offer_id, l_quantity AS discount
 FROM day_orders JOIN lineitem ON l_orderkey = order_id""",
     "targeted_offers": "SELECT offer_id, template_id FROM offers",
     "targeted_spend": """
-SELECT order_id, hr, dt, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS targeted_spend
+SELECT order_id, hr, dt, CAST(SUM(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS targeted_spend
 FROM day_orders JOIN lineitem ON l_orderkey = order_id JOIN offers ON offer_id = l_partkey
 GROUP BY order_id, hr, dt""",
     "special_spend": f"""
@@ -501,6 +503,15 @@ FROM day_orders ORDER BY created_on DESC, order_id LIMIT 12""",
 SELECT 'city' AS kind, '{P.as_of_text}' AS as_of, cluster, grp, {_SUMMARY} FROM city_summary
 UNION ALL SELECT 'state', '{P.as_of_text}', cluster, grp, {_SUMMARY} FROM state_summary""",
     "incremental_refresh": f"SELECT cluster, {_HOURLY}, pos FROM report",
+    "incremental_refresh_steps": f"SELECT cluster, {_HOURLY}, pos FROM report",
+    "snapshot_one_cluster": f"SELECT cluster, {_HOURLY}, pos, '{P.as_of_text}' AS as_of FROM report WHERE cluster = 'tier_2'",
+    "snapshot_emptied": f"SELECT cluster, {_HOURLY}, pos, '{P.as_of_text}' AS as_of FROM report WHERE cluster <> 'tier_2'",
+    "hourly_kpis_nested": f"SELECT cluster, hr, dt, {_DAY_KPIS} FROM kpis",
+    "city_hourly_nested": _plain_facts("city_facts", "city"),
+    "nested_hourly": """
+SELECT cluster, grp, CAST(COUNT(*) AS INTEGER) AS n_hours,
+  string_agg(concat_ws('/', hr, tw_orders, lw_orders, tw_cvr, lw_cvr), ' ' ORDER BY hr) AS hours_text
+FROM city_grid GROUP BY cluster, grp""",
     "scalar_functions": f"""
 SELECT order_id, hr AS hour_of, strftime(created_on, '%H:%M:%S') AS time_of_day, {TODAY} AS today,
   {TODAY} - 7 AS last_week, lower(coupon_code) AS lower_code, COALESCE(platform_discount_hit, 0) AS hit_or_zero,

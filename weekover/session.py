@@ -27,10 +27,14 @@ def build_session(app_name: str = "weekover", **settings: str) -> SparkSession:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder path under the cluster's ``spark.checkpoint.dir``.
 
-    Only a session without that setting, as in local tests, gets a temporary root.
+    Only a local session without that setting, as in tests, gets a temporary root: on a
+    cluster the driver's own disk is out of the executors' sight, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="weekover-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

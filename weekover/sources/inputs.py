@@ -16,7 +16,7 @@ class ReportInputs(Protocol):
 
     Offers come in one of two storage forms: nested, as the array ``offer_details`` on
     each order row (``offer_lines`` is then None), or normalised, as one ``offer_lines``
-    row per order and offer. No frame is ever built by collecting lines into arrays.
+    row per order and offer, with the order's day ``dt`` if they are stored by day.
     """
 
     orders: DataFrame

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weekover.operators import spend
 from weekover.params import ReportParams
 from weekover.sources import schemas
 
@@ -103,8 +104,12 @@ def order_facts(events: DataFrame, orders: DataFrame, customer: DataFrame) -> Da
     )
 
 
-def offer_lines(lineitem: DataFrame) -> DataFrame:
-    return lineitem.selectExpr("l_orderkey AS order_id", "l_partkey AS offer_id", "l_quantity AS discount")
+def offer_lines(lineitem: DataFrame, compared: DataFrame) -> DataFrame:
+    """Lines of the orders placed by the compared events, with the day; all others are dropped first."""
+    placed = compared.selectExpr("event_id AS l_orderkey", "cast(ts AS date) AS dt").distinct()
+    return lineitem.join(placed, "l_orderkey").selectExpr(
+        "l_orderkey AS order_id", "dt", "l_partkey AS offer_id", "l_quantity AS discount"
+    )
 
 
 def offer_events(part: DataFrame, params: ReportParams) -> DataFrame:
@@ -175,37 +180,25 @@ def inline(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
 
 
 class RetailInputs:
-    """The canonical frames over the tables in ``sf_dir``, each built when first used.
-
-    ``events`` replaces the event rows that orders are built from, as the incremental
-    refresh does with the rows that have landed so far; ``clusters`` replaces the
-    cluster dimension.
-    """
+    """The canonical frames over the tables in ``sf_dir``, each built when first used."""
 
-    def __init__(
-        self,
-        spark: SparkSession,
-        sf_dir: str,
-        params: ReportParams,
-        events: DataFrame | None = None,
-        clusters: DataFrame | None = None,
-    ):
+    def __init__(self, spark: SparkSession, sf_dir: str, params: ReportParams):
         self._spark, self._sf_dir, self._params = spark, sf_dir, params
-        self._events, self._clusters = events, clusters
 
     def _table(self, name: str) -> DataFrame:
         return table(self._spark, self._sf_dir, name)
 
+    @cached_property
+    def _compared(self) -> DataFrame:
+        return compared_events(self._table("events"), self._params)
+
     @cached_property
     def orders(self) -> DataFrame:
-        events = self._table("events") if self._events is None else self._events
-        return order_facts(
-            compared_events(events, self._params), self._table("orders"), self._table("customer")
-        )
+        return order_facts(self._compared, self._table("orders"), self._table("customer"))
 
     @cached_property
     def offer_lines(self) -> DataFrame:
-        return offer_lines(self._table("lineitem"))
+        return offer_lines(self._table("lineitem"), self._compared)
 
     @cached_property
     def offer_events(self) -> DataFrame:
@@ -225,7 +218,7 @@ class RetailInputs:
 
     @cached_property
     def cluster_dim(self) -> DataFrame:
-        return cluster_dim(self._table("nation")) if self._clusters is None else self._clusters
+        return cluster_dim(self._table("nation"))
 
     @cached_property
     def cluster_classes(self) -> DataFrame:
@@ -234,3 +227,24 @@ class RetailInputs:
     @cached_property
     def traffic(self) -> DataFrame:
         return traffic_buckets(self._table("events"), self._table("nation"), self._params)
+
+
+class NestedRetailInputs(RetailInputs):
+    """The same with offers in the other storage form: one list on each order row."""
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        flat = RetailInputs(self._spark, self._sf_dir, self._params)
+        return flat.orders.join(spend.offer_lists(flat.offer_lines), "order_id", "left")
+
+    offer_lines = None
+
+
+def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all orders, without a day."""
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS order_id", "l_partkey AS offer_id", "l_quantity AS discount")
+
+
+def order_stream(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical order rows of a stream of events; the other two tables do not change."""
+    return order_facts(events, table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))

@@ -23,7 +23,11 @@ def write_by_day(df: DataFrame, path: str) -> None:
 
 
 def read_inputs(spark: SparkSession, root: str) -> FrameInputs:
-    """Read the canonical tables below ``root`` with nested offers."""
+    """Read the canonical tables below ``root`` with nested offers.
+
+    For offers stored as lines by day, replace ``offer_lines`` by a read of that table and
+    drop ``offer_details`` from the orders.
+    """
 
     def table(name, schema):
         return spark.read.schema(schema).parquet(f"{root}/{name}")
