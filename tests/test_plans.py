@@ -116,3 +116,17 @@ def test_same_rows_with_shuffled_joins(spark, name):
     want = result()
     with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
         assert result() == want
+
+
+def test_nested_orders_are_scanned_twice_at_most(spark, tmp_path):
+    """Once for the cutoff and once for everything else."""
+    from frames import PARAMS, TODAY, inputs, order
+
+    i = inputs(spark, [order(1, (TODAY, "12:00:00"), offer_details=[(1, 3.0)])], offers=[(1, "T1", TODAY)])
+    path = str(tmp_path / "order_facts")
+    tables.write_by_day(i.orders, path)
+    stored = FrameInputs(**{**vars(i), "orders": spark.read.schema(schemas.ORDER_FACTS).parquet(path)})
+    for report in (facts.city_facts, facts.state_facts, compare.hourly_report):
+        text = plan(report(stored, PARAMS))
+        scans = len(re.findall(r"FileScan parquet \[[^\]]*order_id", text))
+        assert scans - text.count("ReusedExchange") <= 2, report.__name__

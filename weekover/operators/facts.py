@@ -60,26 +60,35 @@ def order_level(
     once, which is the same on unique keys.
     """
     weights = spend.offer_weights(inputs.offer_events, inputs.templates, params)
-    totals = {name: sound_sum(amount) for name, amount in AMOUNTS.items()}
+    nested = "offer_details" in rows.columns
+    # Rows of these reports are not made distinct, so no shuffle of them is there to be
+    # shared: offers are unfolded in the same pass, and amounts count on a row's first line.
+    one_pass = nested and bool(group)
+    first = "first_line" if one_pass else "TRUE"
+    totals = {
+        name: sound_sum(amount, first, f"sum({amount}) FILTER (WHERE {first})") for name, amount in AMOUNTS.items()
+    }
     totals |= {
-        "copies": "count(*)",
+        "copies": f"count_if({first})",
         "has_banner": f"max(banner_factor > {params.banner_threshold}D)",
         "has_coupon": f"max({COUPON_PRESENT})",
-        "special_sum": f"sum({units('special_spend')})",
+        "special_sum": f"sum({units('special_spend')}) FILTER (WHERE {first})",
     }
-    nested = "offer_details" in rows.columns
+    if one_pass:
+        totals["spend_units"] = "sum(line_units)"
     keys = ["cluster", "order_key"] if nested else list(KEY)
     if nested:
         # As one struct the key is never NULL, so the join below adds no NULL filter to
         # its right side and both sides share the shuffle that made the rows distinct.
         rows = rows.selectExpr("*", f"struct({', '.join(spend.ORDER_KEY)}) AS order_key")
-    per_order = (
-        spend.special_spend(rows, inputs.special_coupons)
-        .groupBy(*keys, *group)
-        .agg(*map(F.expr, aliased(totals)))
-    )
+    rows = spend.special_spend(rows, inputs.special_coupons)
+    if one_pass:
+        rows = spend.unfolded(rows, weights)
+    per_order = rows.groupBy(*keys, *group).agg(*map(F.expr, aliased(totals)))
     # Spend joins before the window: the partitioning of a shuffled join serves both.
-    if nested:
+    if one_pass:
+        pass
+    elif nested:
         per_order = per_order.join(spend.nested_spend(rows, weights, keys), keys, "left")
     else:
         lines = spend.compared_lines(inputs.offer_lines, inputs.orders, params)
@@ -88,7 +97,8 @@ def order_level(
     # are groups in the city dimension.
     over_key = f"OVER (PARTITION BY {', '.join(keys)})"
     per_order = per_order.selectExpr(
-        "* EXCEPT (special_sum)",
+        "* EXCEPT (special_sum, spend_units)",
+        f"sum(spend_units) {over_key} AS spend_units" if one_pass else "spend_units",
         *(["order_key.*"] if nested else []),
         f"sum(copies) {over_key} AS key_copies" if group else "copies AS key_copies",
         f"sum(special_sum) {over_key} AS special_sum" if group and fan_out else "special_sum",

@@ -91,6 +91,23 @@ def order_spend(lines: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
+def unfolded(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """Rows once per applied offer, and once without any, with the line's spend in units.
+
+    ``first_line`` marks one line of each row, so that amounts can be summed beside spend.
+    """
+    lines = rows.selectExpr("* EXCEPT (offer_details)", "posexplode_outer(offer_details) AS (place, offer)")
+    lines = lines.selectExpr(
+        "* EXCEPT (place, offer)",
+        "coalesce(place, 0) = 0 AS first_line",
+        "offer.offer_id AS offer_id",
+        f"coalesce({units('offer.discount')}, 0L) AS discount_units",
+    )
+    return lookup(lines, weights, ["offer_id"], "left").selectExpr(
+        "* EXCEPT (offer_id, discount_units, templates)", "discount_units * coalesce(templates, 0) AS line_units"
+    )
+
+
 def nested_spend(rows: DataFrame, weights: DataFrame, keys: Sequence[str] = ORDER_KEY) -> DataFrame:
     """Targeted spend per key in units, from the offer arrays of the rows, every copy counted.
 
