@@ -126,6 +126,32 @@ def chat_digests(rows: DataFrame) -> DataFrame:
     )
 
 
+def _chat_oracle() -> str:
+    own = ", ".join(f"({conv_id}, {turn}, '{role}', '{text}')" for conv_id, turn, role, text in SPIKED)
+
+    def length(column: str) -> str:
+        """Code points of a text once escaped: backslashes double, control strings gain one."""
+        escaped = f"replace({column}, '\\', '\\\\')"
+        for head in chat.CONTROL_HEADS:
+            escaped = f"replace({escaped}, '{head}', '{head[0]}\\{head[1:]}')"
+        return f"length({escaped})"
+
+    marks = len(chat.START) + len(chat.MIDDLE) + len(chat.END)
+    return f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES {own})
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (WHERE role = '{chat.TRAINED_ROLE}'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+                FILTER (WHERE role = '{chat.TRAINED_ROLE}'), '')) AS loss_sha256,
+            CAST(sum({marks} + {length("role")} + {length("text")}) AS BIGINT) AS formatted_chars
+        FROM turns GROUP BY conv_id
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
@@ -175,4 +201,22 @@ ORACLES: dict[str, str] = {
         SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, 'allow') AS verdict
         FROM pages LEFT JOIN parts USING (url) LEFT JOIN best USING (url)
     """,
+    "op9_embeddings": """
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings
+        ), links AS (
+            SELECT a.vec_id AS one, b.vec_id AS other FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.vector, b.vector) >= 0.95
+        ), reached(vec_id, other) AS (
+            SELECT vec_id, vec_id FROM vectors
+            UNION
+            SELECT reached.vec_id, links.other FROM reached JOIN links ON links.one = reached.other
+        ), lowest AS (
+            SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id
+        )
+        SELECT vec_id, (SELECT count(*) FROM links WHERE one = vec_id) AS n_links, component_id,
+            vec_id = component_id AS kept
+        FROM vectors JOIN lowest USING (vec_id)
+    """,
+    "op10_chat": _chat_oracle(),
 }
