@@ -28,12 +28,8 @@ def _round(links: DataFrame) -> DataFrame:
     large = _stars(both).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
     small = _stars(large)
     # A node hangs on its smallest neighbour, and so do the other smaller ones.
-    return (
-        small.select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("l"))
-        .select("l.*")
-        .where("a > b")
-        .distinct()
-    )
+    hung = "explode(array(struct(a, low AS b), struct(b AS a, low AS b))) AS link"
+    return small.selectExpr(hung).select("link.*").where("a > b").distinct()
 
 
 def connected(links: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from weekover.llm.common import batch_rows, lookup, map_arrow, written
 from weekover.llm.components import connected
@@ -80,7 +82,8 @@ def _with_cells(vectors: DataFrame, axes: dict[int, np.ndarray], epsilon: float)
                 own = _turned(np.stack([rows[i] for i in at]), sent.value)[:, :GRID_AXES]
                 for i, c in zip(at, np.floor(own / epsilon).astype(int).tolist()):
                     cells[i] = c
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"])
+            columns = [*batch.columns, pa.array(cells, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "cells"])
 
     return map_arrow(vectors, run, "vector array<double>, n long, first long, cells array<int>")
 
@@ -93,6 +96,7 @@ BLOCKS = (
 
 def _cut(axes_sent, size: int):
     """Sorted rows (vector, n, first) to blocks of consecutive ones of one length."""
+    schema = to_arrow_schema(StructType.fromDDL(BLOCKS))
 
     def block(rows: list[tuple], number: int) -> dict:
         vectors = np.array([r[0] for r in rows], float)
@@ -111,9 +115,6 @@ def _cut(axes_sent, size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Numbers do not meet: those of a task begin at its place among the partitions.
         number, held = TaskContext.get().partitionId() << 24, []
-        schema = pa.schema(
-            [("block", pa.int64()), ("length", pa.int32()), *((n, pa.binary()) for n in ("nodes", "vectors", "counts")), ("firsts", pa.list_(pa.int64())), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))]
-        )
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and (len(held) == size or len(held[0][0]) != len(row[0])):
@@ -221,10 +222,13 @@ def _unpacked(blocks: DataFrame) -> DataFrame:
                 nodes = np.frombuffer(row["nodes"], np.int64)
                 values = pa.array(np.frombuffer(row["vectors"], np.float64))
                 offsets = pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * row["length"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes), pa.ListArray.from_arrays(offsets, values), pa.array(np.frombuffer(row["counts"], np.int64)), pa.array(row["firsts"], pa.int64())],
-                    names=["node", "vector", "n", "first"],
-                )
+                columns = [
+                    pa.array(nodes),
+                    pa.ListArray.from_arrays(offsets, values),
+                    pa.array(np.frombuffer(row["counts"], np.int64)),
+                    pa.array(row["firsts"], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "vector", "n", "first"])
 
     return map_arrow(
         blocks.select("nodes", "vectors", "counts", "firsts", "length"), run, "node long, vector array<double>, n long, first long"
@@ -239,15 +243,17 @@ def block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
     """
     cell = lambda name, shift: F.floor(F.col(name)[0] / epsilon).cast("int") + shift
     ends = blocks.select("block", "length", "low", "high")
-    one = ends.select("block", "length", "low", "high", F.explode(F.sequence(cell("low", 0), cell("high", 0))).alias("cell"))
+    one = ends.select("*", F.explode(F.sequence(cell("low", 0), cell("high", 0))).alias("cell"))
     two = ends.select(
-        F.col("block").alias("block_b"), F.col("length").alias("length_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.explode(F.sequence(cell("low", -1), cell("high", 1))).alias("cell")
+        *(F.col(c).alias(f"{c}_b") for c in ("block", "length", "low", "high")),
+        F.explode(F.sequence(cell("low", -1), cell("high", 1))).alias("cell"),
     )
     gaps = (
         "aggregate(zip_with(zip_with(low, high_b, (l, h) -> l - h), zip_with(low_b, high, (l, h) -> l - h), "
         "(x, y) -> greatest(x, y, 0D)), 0D, (s, g) -> s + g * g)"
     )
-    near = one.join(two, "cell").where("block <= block_b AND length = length_b").where(f"{gaps} <= {epsilon * epsilon + SLACK!r}D")
+    near = one.join(two, "cell").where("block <= block_b AND length = length_b")
+    near = near.where(f"{gaps} <= {epsilon * epsilon + SLACK!r}D")
     return near.select(F.col("block").alias("block_a"), "block_b").distinct()
 
 
@@ -273,7 +279,7 @@ def near_duplicates(
     blocks = written(map_arrow(ordered, _cut(sent, block_rows), BLOCKS), "blocks")
     pairs = written(block_pairs(blocks, epsilon), "block-pairs")
     sides = [
-        blocks.select(F.col("block").alias(f"block_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("nodes", "vectors", "counts")))
+        blocks.select(*(F.col(c).alias(f"{c}_{s}") for c in ("block", "nodes", "vectors", "counts")))
         for s in "ab"
     ]
     both = pairs.join(sides[0], "block_a").join(sides[1], "block_b")

@@ -69,7 +69,7 @@ def _crossing(sizes: DataFrame, by: list[str], goal: str) -> DataFrame:
     """Per source the bin in which the running sum of ``size`` passes the goal, and the sum before it."""
     running = f"sum(size) OVER (PARTITION BY {', '.join(by)} ORDER BY bin)"
     passed = sizes.selectExpr("*", f"{running} AS run").where(F.col("run") > F.col(goal))
-    first = passed.groupBy(*by, goal).agg(F.min_by(F.struct("bin", (F.col("run") - F.col("size")).alias("before")), "bin").alias("c"))
+    first = passed.groupBy(*by, goal).agg(F.expr("min_by(struct(bin, run - size AS before), bin) AS c"))
     return first.select(*by, goal, "c.bin", "c.before")
 
 
@@ -96,7 +96,10 @@ def plan(rows: DataFrame, sources: DataFrame) -> DataFrame:
     # Draws below the threshold stay under the goal; what is left to it is ``missing``.
     edge = second.selectExpr("source_key", f"top * {BINS} + bin AS threshold", "rest - before AS missing")
     edge = shares.join(edge, "source_key", "left").selectExpr(
-        "source_key", "whole", f"coalesce(threshold, if(goal > 0, {DRAWS}L, 0L)) AS threshold", "coalesce(missing, 0D) AS missing"
+        "source_key",
+        "whole",
+        f"coalesce(threshold, if(goal > 0, {DRAWS}L, 0L)) AS threshold",
+        "coalesce(missing, 0D) AS missing",
     )
     edge = written(edge, "thresholds")
     left = rows.join(edge, "source_key").where("draw >= threshold AND size > 0")
@@ -138,7 +141,12 @@ def measured(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, epochs: float = 3.0, weights: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source"
+    docs: DataFrame,
+    epochs: float = 3.0,
+    weights: DataFrame | None = None,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
 ) -> tuple[DataFrame, DataFrame]:
     """The measured rows with (source_size, target, copies), and the plan of each source.
 
@@ -157,7 +165,9 @@ def mix(
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies"), planned
 
 
-def repeated(docs: DataFrame, epochs: float = 3.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def repeated(
+    docs: DataFrame, epochs: float = 3.0, doc_id: str = "doc_id", text: str = "text", source: str = "source"
+) -> DataFrame:
     """The mix itself: every document as often as it is taken."""
     _, planned = mix(docs, epochs, None, doc_id, text, source)
     own = docs.columns

@@ -267,7 +267,7 @@ def near_duplicates(
 def deduplicated(docs: DataFrame, shingle_words: int, distance: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near copies: of each component the one with the smallest id."""
     rows = written(near_duplicates(docs, shingle_words, distance, doc_id, text), "near-duplicates")
-    first = F.min(F.struct(F.col(doc_id).isNull().alias("unnamed"), F.col(doc_id).alias("id"), "text_hash")).alias("first")
+    first = F.expr(f"min(struct(`{doc_id}` IS NULL AS unnamed, `{doc_id}` AS id, text_hash)) AS first")
     winners = rows.groupBy("grp").agg(first).select("first.id", "first.text_hash").distinct()
     mark = fresh(docs, "text_hash")
     marked = docs.withColumn(mark, F.xxhash64(text))

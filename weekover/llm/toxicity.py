@@ -108,7 +108,9 @@ class _Rows:
         return np.bincount(self.col, weights=g[self.row], minlength=self.width)
 
 
-def train(positive: list[list[int]], unlabelled: list[list[int]], width: int, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float, list[float]]:
+def train(
+    positive: list[list[int]], unlabelled: list[list[int]], width: int, prior: float, steps: int = STEPS
+) -> tuple[np.ndarray, float, list[float]]:
     """Weights, bias and the risk after each step, by the non-negative risk estimator."""
     p, u = _Rows(positive, width), _Rows(unlabelled, width)
     w, b = np.zeros(width), 0.0
@@ -132,7 +134,12 @@ def train(positive: list[list[int]], unlabelled: list[list[int]], width: int, pr
 
 
 def fitted(
-    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", samples: int = SAMPLES, n_features: int = N_FEATURES
+    docs: DataFrame,
+    labels: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    samples: int = SAMPLES,
+    n_features: int = N_FEATURES,
 ) -> Model:
     """A model from the labels (doc_id, toxic 0 or 1) outside the held-out fold."""
     learnable = F.col("doc_id").isNotNull() & ~held_out("doc_id")
@@ -173,12 +180,16 @@ def fitted(
     names = sorted(r["feature"] for r in best.collect())
     place = {f: i for i, f in enumerate(names)}
     kept = F.array_intersect("features", F.array(*map(F.lit, names))) if names else F.array().cast("array<string>")
-    rows = sorted((r["doc_id"], r["known"], sorted(place[f] for f in r["f"])) for r in listed.select("doc_id", "known", kept.alias("f")).collect())
+    # As many rows as samples, with the kept features only.
+    found = listed.select("doc_id", "known", kept.alias("f")).collect()
+    rows = sorted((r["doc_id"], r["known"], sorted(place[f] for f in r["f"])) for r in found)
     w, b, _ = train([f for _, k, f in rows if k], [f for _, k, f in rows if not k], len(names), prior)
     return Model({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-3}, float(b))
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text", output: str = "score", keep: list[str] | None = None) -> DataFrame:
+def scored(
+    docs: DataFrame, model: Model, text: str = "text", output: str = "score", keep: list[str] | None = None
+) -> DataFrame:
     """Adds the score of every whole text; an existing column of that name is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -96,10 +96,22 @@ def longest_rules(urls: DataFrame, rules: DataFrame, salts: int = SALTS) -> Data
     keys = keys.join(given.select("domain").distinct(), "domain", "left_semi")
     nothing = F.lit(None).cast("string")
     probes = keys.select(
-        "domain", F.pmod(F.xxhash64("url"), F.lit(salts)).cast("int").alias("salt"), "path", F.lit(1).alias("rank"), "url", nothing.alias("rule"), nothing.alias("verdict")
+        "domain",
+        F.pmod(F.xxhash64("url"), F.lit(salts)).cast("int").alias("salt"),
+        "path",
+        F.lit(1).alias("rank"),
+        "url",
+        nothing.alias("rule"),
+        nothing.alias("verdict"),
     )
     spread = given.select(
-        "domain", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "path", F.lit(0), nothing, F.concat("domain", "path"), "verdict"
+        "domain",
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
+        "path",
+        F.lit(0),
+        nothing,
+        F.concat("domain", "path"),
+        "verdict",
     )
     ordered = (
         probes.union(spread)

@@ -424,7 +424,12 @@ def sha1(payload: bytes) -> str:
 
 
 def archive(
-    pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_REVISITED
+    pages: DataFrame,
+    path: str,
+    page_id: str = "page_id",
+    url: str = "url",
+    html: str = "html",
+    least: int = LEAST_REVISITED,
 ) -> None:
     """Write a record per page, with equal payloads of at least ``least`` bytes stored once.
 
@@ -437,7 +442,8 @@ def archive(
         F.col(url).alias("target_uri"),
         F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"),
     )
-    sized = rows.select("*", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("digest"))
+    size = F.octet_length("payload").cast("bigint").alias("payload_bytes")
+    sized = rows.select("*", size, F.sha1("payload").alias("digest"))
     large = sized.where(F.col("payload_bytes") >= least)
     holders = large.groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("n"))
     placed = lookup(sized, holders.where("n > 1").select("digest", "holder"), ["digest"], "left")
