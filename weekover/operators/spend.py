@@ -75,11 +75,13 @@ def offer_weights(offer_events: DataFrame, templates: DataFrame, params: ReportP
 def weighted_lines(lines: DataFrame, weights: DataFrame) -> DataFrame:
     """Lines of targeted offers with their spend in units.
 
-    A discount that is no amount counts as none. An offer under several listed templates counts once per template. With the templates
-    counted beforehand the join is many to one, so a popular offer cannot multiply rows.
+    A discount that is no amount counts as none. An offer under several listed templates
+    counts once per template. With the templates counted beforehand the join is many to one,
+    so a popular offer cannot multiply rows.
     """
     keys = [c for c in lines.columns if c not in ("offer_id", "discount")]
-    return lookup(lines, weights, ["offer_id"]).selectExpr(*keys, f"coalesce({units('discount')}, 0L) * templates AS line_units")
+    spent = f"coalesce({units('discount')}, 0L) * templates AS line_units"
+    return lookup(lines, weights, ["offer_id"]).selectExpr(*keys, spent)
 
 
 def order_spend(lines: DataFrame, weights: DataFrame) -> DataFrame:

@@ -369,7 +369,8 @@ FROM (
 def _plain_facts(facts: str, label: str) -> str:
     money = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in MONEY_MEASURES)
     counts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("orders", "coupon_orders", *TRAFFIC_MEASURES))
-    pos = "CAST(ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY dt NULLS FIRST, grp NULLS FIRST, hr NULLS FIRST) AS INTEGER) AS pos"
+    order = "dt NULLS FIRST, grp NULLS FIRST, hr NULLS FIRST"
+    pos = f"CAST(ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY {order}) AS INTEGER) AS pos"
     placed = f", {pos}" if label != "grp" else ""
     return f"SELECT cluster, grp AS {label}, hr, dt, {counts}, {money}{placed} FROM {facts}"
 

@@ -242,7 +242,8 @@ class NestedRetailInputs(RetailInputs):
 
 def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of all orders, without a day."""
-    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS order_id", "l_partkey AS offer_id", "l_quantity AS discount")
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.selectExpr("l_orderkey AS order_id", "l_partkey AS offer_id", "l_quantity AS discount")
 
 
 def order_stream(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:

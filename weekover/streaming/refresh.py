@@ -22,7 +22,9 @@ from weekover.sources.inputs import FrameInputs, ReportInputs
 KIND = "hourly"
 
 
-def file_stream(spark: SparkSession, folder: str, schema: str, pattern: str, files_per_batch: int | None = None) -> DataFrame:
+def file_stream(
+    spark: SparkSession, folder: str, schema, pattern: str, files_per_batch: int | None = None
+) -> DataFrame:
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
