@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import base64
 import functools
-import os
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -30,7 +31,7 @@ from weekover.llm.common import with_columns
 
 # Bounds of a worker's memory: remembered pieces (of a generation) and pairs, and the
 # characters of texts looked at together.
-PIECES, PAIRS, CHUNK_CHARS = 150_000, 300_000, 1 << 20
+PIECES, PAIRS, CHUNK_CHARS = 250_000, 500_000, 1 << 21
 # A vocabulary is sent to every executor, so its file must stay below this size.
 VOCABULARY_BYTES = 64 << 20
 
@@ -57,12 +58,15 @@ class Vocabulary:
         pairs = (line.split() for line in content.splitlines() if line)
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.sizes = {rank: len(token) for rank, token in self.tokens.items()}
         self.reach = max(map(len, self.ranks))
-        # Every end of a token, with its own rank if it is a token too, else -1.
-        self.tails = {token[k:]: -1 for token in self.ranks for k in range(len(token))}
-        self.tails.update(self.ranks)
+        # Finds all tokens in a byte string, each byte taken as a character.
+        self.finder = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            self.finder.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.finder.make_automaton()
         self._halves: dict[int, tuple[int, int]] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
         self._starts: dict[int, bool] = {}
 
     def halves(self, token: int) -> tuple[int, int]:
@@ -76,11 +80,11 @@ class Vocabulary:
     def follows(self, first: int, second: int) -> bool:
         """Whether the two tokens are the encoding of their joint bytes."""
         key = (first, second)
-        known = self._pairs.get(key)
+        known = self.pairs.get(key)
         if known is None:
-            if len(self._pairs) >= PAIRS:
-                self._pairs.clear()
-            known = self._pairs[key] = self._apart(first, second)
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            known = self.pairs[key] = self._apart(first, second)
         return known
 
     def _apart(self, first: int, second: int) -> bool:
@@ -116,36 +120,36 @@ class Prefixes:
         self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
         self.append(data)
 
-    def _at(self, end: int) -> int:
-        v, data, last = self.vocabulary, self.data, self.last
-        tails, size, ends = v.tails, 1, []
-        while size <= end and (token := tails.get(data[end - size : end])) is not None:
-            if token >= 0:
-                ends.append((token, size))
-            size += 1
-        pairs = v._pairs
-        for token, size in reversed(ends):
-            if size == end:
-                if v.starts(token):
-                    return token
-                continue
-            before = last[end - size]
-            valid = pairs.get((before, token))
-            if valid or valid is None and v.follows(before, token):
-                return token
-        raise ValueError(f"no token ends with byte {data[end - 1]}")
-
-    def become(self, data: bytes) -> None:
-        """Go on from the entries of the prefix shared with the former bytes."""
-        same = len(os.path.commonprefix((self.data, data)))
-        del self.last[same + 1 :]
-        self.data = data[:same]
-        self.append(data[same:])
-
     def append(self, more: bytes) -> None:
         self.data += more
-        for end in range(len(self.last), len(self.data) + 1):
-            self.last.append(self._at(end))
+        self._extend(len(self.data))
+
+    def become(self, data: bytes) -> None:
+        """Start anew with other bytes."""
+        self.data, self.last = data, [-1]
+        self._extend(len(data))
+
+    def _extend(self, stop: int) -> None:
+        """Adds the entries up to ``stop``: of the tokens that end there, the one that follows validly."""
+        v, last = self.vocabulary, self.last
+        pair, done = v.pairs.get, len(last) - 1
+        start = max(0, done + 1 - v.reach)
+        for end, (token, size) in v.finder.iter(self.data[start:stop].decode("latin-1")):
+            end += start + 1
+            if end <= done:
+                continue
+            at = end - size
+            if at:
+                valid = pair((last[at], token))
+                if valid is None:
+                    valid = v.follows(last[at], token)
+            else:
+                valid = v.starts(token)
+            if valid:
+                last.append(token)
+                done = end
+        if done < stop:
+            raise ValueError(f"no token ends with byte {self.data[done]}")
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replace ``data[start:stop]``; returns how many entries had to be computed anew."""
@@ -155,7 +159,7 @@ class Prefixes:
         shift = start + len(new)
         agreed = 0
         for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._at(end))
+            self._extend(end)
             k = end - shift - 1  # place among the entries behind the edit
             agreed = agreed + 1 if k >= 0 and self.last[end] == old[k] else 0
             # Entries look back at a longest token at most: what follows is as before.
@@ -165,11 +169,13 @@ class Prefixes:
         return len(self.data) - start
 
     def tokens(self) -> list[int]:
-        found, end = [], len(self.data)
+        found, end, last, sizes = [], len(self.data), self.last, self.vocabulary.sizes
         while end:
-            found.append(self.last[end])
-            end -= len(self.vocabulary.tokens[found[-1]])
-        return found[::-1]
+            token = last[end]
+            found.append(token)
+            end -= sizes[token]
+        found.reverse()
+        return found
 
 
 class Encoder:
@@ -182,15 +188,12 @@ class Encoder:
         self.old: dict[str, tuple[int, ...]] = {}
 
     def _learn(self, pieces: set[str]) -> None:
-        """The ids of the given pieces are in ``young`` afterwards.
-
-        In sorted order each piece goes on from the prefix it shares with the one before.
-        """
+        """The ids of the given pieces are in ``young`` afterwards."""
         if len(self.young) > PIECES:
             self.young, self.old = {}, self.young
         young, old, ranks = self.young, self.old, self.vocabulary.ranks
         state = Prefixes(self.vocabulary)
-        for piece in sorted(pieces.difference(young)):
+        for piece in pieces.difference(young):
             tokens = old.get(piece)
             if tokens is None:
                 data = piece.encode("utf-8", "surrogatepass")
@@ -275,7 +278,13 @@ def decode(
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         encoder = _encoder(sent.value, pattern)
-        decoded = [encoder.decode(x.as_py() or ()) for x in batch.column(0)]
-        return {output: pa.array(decoded, pa.binary())}
+        column = batch.column(0)
+        ids = pc.list_flatten(column).to_pylist()
+        counts = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+        # All bytes of the batch in one, cut at the texts' ends.
+        parts = list(map(encoder.vocabulary.tokens.__getitem__, ids))
+        ends = np.concatenate([[0], np.cumsum([*map(len, parts)], dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts)])]
+        buffers = [None, pa.py_buffer(ends), pa.py_buffer(b"".join(parts))]
+        return {output: pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), buffers).cast(pa.binary())}
 
     return with_columns(docs, make, [tokens], {output: T.BinaryType()}, keep)
