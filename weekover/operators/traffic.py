@@ -14,11 +14,15 @@ def _totals(function: str) -> list[Column]:
 
 
 def cluster_traffic(traffic: DataFrame, cluster_classes: DataFrame, params: ReportParams) -> DataFrame:
-    """Today's app buckets, up to the clock of the run, of the classes that make up each cluster."""
+    """Today's app buckets of the classes that make up each cluster.
+
+    Buckets after the clock of the run keep last week's counts; today's are not known yet.
+    """
+    known = {m: f"if(hr <= {params.now}, {m}, 0L)" for m in ("sessions", "conv_sessions")}
     classes = cluster_classes.where(F.col("cluster").isin(list(params.clusters)))
     return (
         traffic.where((F.col("dt") == F.lit(params.today)) & F.col("platform").isin(list(params.platforms)))
-        .where(F.col("hr") <= F.expr(params.now))
+        .withColumns({m: F.expr(count) for m, count in known.items()})
         .withColumn("hr", F.hour("hr"))
         .join(classes, "classification")
     )
