@@ -267,11 +267,12 @@ def near_duplicates(
 def deduplicated(docs: DataFrame, shingle_words: int, distance: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near copies: of each component the one with the smallest id."""
     rows = written(near_duplicates(docs, shingle_words, distance, doc_id, text), "near-duplicates")
-    first = F.expr(f"min(struct(`{doc_id}` IS NULL AS unnamed, `{doc_id}` AS id, text_hash)) AS first")
-    winners = rows.groupBy("grp").agg(first).select("first.id", "first.text_hash").distinct()
-    mark = fresh(docs, "text_hash")
-    marked = docs.withColumn(mark, F.xxhash64(text))
-    kept = marked.join(
-        winners, marked[doc_id].eqNullSafe(winners["id"]) & (marked[mark] == winners["text_hash"]), "left_semi"
-    )
-    return kept.dropDuplicates([doc_id, mark]).drop(mark)
+    key = fresh(docs, "row_key")
+    # A struct is never NULL, so one key serves the join and the removal of repeated rows,
+    # and the texts are shuffled once. Both sides have the same type, nullability included.
+    kind = f"struct<unnamed:boolean,id:{docs.schema[doc_id].dataType.simpleString()},text_hash:bigint>"
+    fields = f"`{doc_id}` IS NULL AS unnamed, `{doc_id}` AS id, {{text_hash}} AS text_hash"
+    own = F.expr(f"CAST(struct({fields.format(text_hash='text_hash')}) AS {kind})").alias(key)
+    winners = rows.select("grp", own).groupBy("grp").agg(F.min(key).alias(key)).select(key).distinct()
+    marked = docs.withColumn(key, F.expr(f"CAST(struct({fields.format(text_hash=f'xxhash64(`{text}`)')}) AS {kind})"))
+    return marked.join(winners, key, "left_semi").dropDuplicates([key]).select(*(F.col(f"`{c}`") for c in docs.columns))
