@@ -70,3 +70,31 @@ def test_empty_and_nulls(spark):
     assert mixing.mix(empty)[0].count() == 0 and mixing.repeated(empty).count() == 0
     nulls = spark.createDataFrame([(None, None, None)] * 2, empty.schema)
     assert [r.copies * r.size for r in mixing.mix(nulls)[0].collect()] == [0, 0]
+
+
+def test_one_long_document_leaves_room_for_those_behind_it(spark):
+    short = [100] * 10, [100] * 70 + [7, 3] * 20
+    for long in (20_000, 15_000):
+        sizes = [*short[0], long, *short[1]]
+        # Far apart and close together: neighbours share bins of the histograms.
+        for step in (mixing.DRAWS // len(sizes), 1):
+            rows = [("=s", size, i * step) for i, size in enumerate(sizes)]
+            rows = spark.createDataFrame(rows, "source_key string, size long, draw long")
+            total = sum(sizes)
+            sources = spark.createDataFrame([("=s", total, 8_000.0)], "source_key string, source_size long, target double")
+            taken = rows.join(mixing.plan(rows, sources), "source_key").withColumn("copies", mixing.copies())
+            copies = [(r["size"], r.copies) for r in taken.collect()]
+            assert {c for _, c in copies} == {0, 1}
+            assert abs(sum(s * c for s, c in copies) - 8_000) < min(s for s, c in copies if not c)
+
+
+def test_no_document_more_or_less_brings_the_sum_nearer(spark, documents):
+    rows, _ = mixing.mix(documents)
+    side = "min(size) FILTER (WHERE size > 0 AND copies {} floor(target / source_size))"
+    for r in rows.groupBy("source", "target").agg(
+        F.sum(F.expr("size * copies")).alias("taken"),
+        F.expr(side.format("=")).alias("left"),
+        F.expr(side.format(">")).alias("more"),
+    ).collect():
+        least = r.left if r.taken < r.target else r.more
+        assert least is None or abs(r.taken - r.target) < least, r

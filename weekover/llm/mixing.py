@@ -6,14 +6,21 @@ shared among the others by weight, until no share is too large. A source's targe
 says how often each of its documents is taken: whole repetitions for all, and one more for
 a seeded part of them.
 
-The part is all documents whose seeded draw is below a threshold. The threshold is found
-by two histograms of the draws, each of ``BINS`` bins per source, so no task ever sees the
-rows of a source together. What is then missing to the target is given by the one further
-document whose size fits best. Whole documents are taken, so reruns and lost executors
-give the same mix.
+The smaller side of each source is picked: the documents that are taken once more, or, if
+those are more than half of its words, the ones that are not. It is found in rounds. A
+round goes through the documents of at most half of what the side misses by their seeded
+draws, from where the round before ended, and picks all below a threshold, where the next
+one would be too much. Documents that are too large stay out and smaller ones behind them
+come in, so what is missing at least halves in each round until no such document is left;
+then the largest further document that fits is picked. In the end less is missing than the
+smallest document of the other side. A threshold is found by two histograms of the draws,
+each of ``BINS`` bins per source, and the few draws of one bin of the second, so no task
+ever sees the rows of a source together. Whole documents are taken, so reruns and lost
+executors give the same mix.
 
 Only DataFrame functions are used. NULL texts have size 0. A NULL source is a source like
-any other and comes last. Rows with the same id and text draw alike.
+any other and comes last. Rows with the same id and text draw alike
+and are taken together.
 """
 
 from __future__ import annotations
@@ -24,8 +31,10 @@ from pyspark.sql import functions as F
 from weekover.llm.common import fresh, word_count, written
 
 BINS = 4096
-# Draws are whole numbers below this, BINS times BINS.
-DRAWS = BINS * BINS
+# Draws are whole numbers below this, so many that hardly any two documents draw alike.
+DRAWS = BINS**5
+# Draws in a bin of the first histogram, of the second, and single draws.
+WIDTHS = (BINS**4, BINS**3, 1)
 SEED = 20
 # Each round clamps one source at least; with few sources few rounds are needed.
 ROUNDS = 1000
@@ -65,51 +74,69 @@ def draw(doc_id: str, text: str) -> F.Column:
     return F.pmod(F.xxhash64(F.col(doc_id), F.col(text), F.lit(SEED)), F.lit(DRAWS))
 
 
-def _crossing(sizes: DataFrame, by: list[str], goal: str) -> DataFrame:
-    """Per source the bin in which the running sum of ``size`` passes the goal, and the sum before it."""
-    running = f"sum(size) OVER (PARTITION BY {', '.join(by)} ORDER BY bin)"
-    passed = sizes.selectExpr("*", f"{running} AS run").where(F.col("run") > F.col(goal))
-    first = passed.groupBy(*by, goal).agg(F.expr("min_by(struct(bin, run - size AS before), bin) AS c"))
-    return first.select(*by, goal, "c.bin", "c.before")
+def _crossing(rows: DataFrame, width: int) -> DataFrame:
+    """Per source the bin of ``width`` draws in which the running sum of sizes passes ``rest``, and the rest before it."""
+    sums = rows.groupBy("source_key", "rest", F.expr(f"draw div {width}").alias("bin")).agg(F.sum("size").alias("size"))
+    running = "sum(size) OVER (PARTITION BY source_key ORDER BY bin)"
+    passed = sums.selectExpr("*", f"{running} AS run").where("run > rest")
+    first = passed.groupBy("source_key").agg(F.expr("min_by(struct(bin, rest - (run - size) AS rest), bin) AS c"))
+    return first.select("source_key", "c.bin", "c.rest")
+
+
+def _filled(rows: DataFrame, edge: DataFrame) -> DataFrame:
+    """``edge`` after one round: a further part of the draws, where the next begins, and what is missing then."""
+    given = edge.selectExpr("source_key", "start", "missing AS rest", "floor(missing / 2) AS most")
+    fit = rows.join(given, "source_key").where("draw >= start AND size > 0 AND size <= most")
+    fit = fit.select("source_key", "draw", "size", "rest")
+    crossed = _crossing(fit, WIDTHS[0])
+    for wide, width in zip(WIDTHS, WIDTHS[1:]):
+        inside = fit.drop("rest").withColumn("bin", F.expr(f"draw div {wide}")).join(crossed, ["source_key", "bin"])
+        crossed = _crossing(inside.drop("bin"), width)
+    total = fit.groupBy("source_key").agg(F.sum("size").alias("total"))
+    part = f"struct(start AS low, coalesce(bin, {DRAWS}L) AS high, floor(missing / 2) AS most)"
+    return edge.join(total, "source_key", "left").join(crossed, "source_key", "left").selectExpr(
+        "source_key",
+        "whole",
+        "others",
+        f"if(total > 0, array_append(parts, {part}), parts) AS parts",
+        # The document at the crossing is larger than what is missing now.
+        f"coalesce(bin + 1, {DRAWS}L) AS start",
+        "coalesce(rest, missing - coalesce(total, 0L)) AS missing",
+    )
+
+
+# Whether a row is in one of the parts of its source.
+IN_PARTS = "exists(parts, p -> draw >= p.low AND draw < p.high AND size <= p.most)"
 
 
 def plan(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Per source: whole repetitions, threshold of the draws, and the one further draw and size.
+    """Per source: whole repetitions, parts of the draws with their largest sizes, and the one further draw and size.
 
+    Those are the documents taken once more, or all others are, if ``others`` is true.
     ``rows`` has (source_key, size, draw) of every document, ``sources`` (source_key,
-    source_size, target).
+    source_size, target). The driver sees one count per round.
     """
-    shares = sources.selectExpr(
+    goal = "if(source_size > 0, target - floor(target / source_size) * source_size, 0D)"
+    edge = sources.selectExpr(
         "source_key",
-        "target",
         "if(source_size > 0, floor(target / source_size), 0L) AS whole",
-        "if(source_size > 0, target - floor(target / source_size) * source_size, 0D) AS goal",
-    )
-    binned = rows.groupBy("source_key", F.expr(f"draw div {BINS}").alias("bin"), F.expr(f"draw % {BINS}").alias("sub"))
-    fine = written(binned.agg(F.sum("size").alias("size")), "draw-bins")
-    coarse = fine.groupBy("source_key", "bin").agg(F.sum("size").alias("size"))
-    first = _crossing(coarse.join(shares, "source_key"), ["source_key"], "goal")
-    first = first.selectExpr("source_key", "bin AS top", "goal - before AS rest")
-    inner = fine.withColumnRenamed("bin", "top").join(first, ["source_key", "top"])
-    inner = inner.selectExpr("source_key", "top", "rest", "sub AS bin", "size")
-    second = _crossing(inner, ["source_key", "top"], "rest")
-    # Draws below the threshold stay under the goal; what is left to it is ``missing``.
-    edge = second.selectExpr("source_key", f"top * {BINS} + bin AS threshold", "rest - before AS missing")
-    edge = shares.join(edge, "source_key", "left").selectExpr(
-        "source_key",
-        "whole",
-        f"coalesce(threshold, if(goal > 0, {DRAWS}L, 0L)) AS threshold",
-        "coalesce(missing, 0D) AS missing",
+        f"{goal} > source_size / 2 AS others",
+        "CAST(array() AS array<struct<low: bigint, high: bigint, most: bigint>>) AS parts",
+        "0L AS start",
+        f"least({goal}, source_size - {goal}) AS missing",
     )
-    edge = written(edge, "thresholds")
-    left = rows.join(edge, "source_key").where("draw >= threshold AND size > 0")
-    # Only a document that brings the sum nearer to the target helps.
-    best = left.where("abs(size - missing) < missing").groupBy("source_key").agg(
-        F.min(F.struct(F.expr("abs(size - missing)").alias("off"), "draw", "size")).alias("b")
+    edge = written(edge, "edges")
+    # Ends: what is missing halves, or all documents of a source have been gone through.
+    while edge.where(f"start < {DRAWS}L AND missing >= 2").count():
+        edge = written(_filled(rows, edge), "edges")
+    left = rows.join(edge, "source_key").where(f"size > 0 AND size <= missing AND NOT {IN_PARTS}")
+    alike = left.groupBy("source_key", "missing", "draw", "size").agg(F.sum("size").alias("together"))
+    best = alike.where("together <= missing").groupBy("source_key").agg(
+        F.min(F.struct(F.expr("missing - together").alias("off"), "draw", "size")).alias("b")
     )
     return written(
         edge.join(best, "source_key", "left").selectExpr(
-            "source_key", "whole", "threshold", "b.draw AS last_draw", "b.size AS last_size"
+            "source_key", "whole", "others", "parts", "b.draw AS last_draw", "b.size AS last_size"
         ),
         "mix",
     )
@@ -122,8 +149,8 @@ def source_key(source: str) -> F.Column:
 
 def copies() -> F.Column:
     """How often a row with (size, draw) is taken under its source's plan."""
-    extra = "size > 0 AND (draw < threshold OR draw = last_draw AND size = last_size)"
-    return F.expr(f"CAST(whole + if(coalesce({extra}, false), 1, 0) AS bigint)")
+    picked = f"coalesce({IN_PARTS} OR draw = last_draw AND size = last_size, false)"
+    return F.expr(f"CAST(whole + if(size > 0 AND {picked} <> others, 1, 0) AS bigint)")
 
 
 def measured(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
