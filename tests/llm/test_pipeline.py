@@ -44,6 +44,12 @@ def test_quality_and_toxicity(spark, stages):
     assert sum(stays for stays, toxic in judged if toxic) <= 0.4 * sum(t for _, t in judged)
 
 
+def test_few_toxic_documents_stay(spark, stages):
+    toxic = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").collect()}
+    before, calm = ({r.doc_id for r in stages[name]} & toxic for name in ("quality_rules", "toxicity"))
+    assert len(calm) <= 0.1 * len(before)
+
+
 def test_one_of_each_group(stages):
     texts = {r.doc_id: r.text for r in stages["toxicity"]}
     ids = sorted(texts)

@@ -56,3 +56,31 @@ def test_odd_rows(spark):
     assert {r.score for r in toxicity.scored(frame, none).collect()} == {0.0}
     empty = frame.limit(0)
     assert toxicity.scored(empty, toxicity.fitted(empty, labels)).count() == 0
+
+
+def test_few_labels_suffice(spark):
+    docs = [(10 + i, f"some {'moron' if i % 3 == 0 else 'fine thing'} here {i}") for i in range(90)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(10 + i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    rows = toxicity.scored(frame, toxicity.fitted(frame, labels)).collect()
+    assert all((r.score >= 0.5) == ("moron" in r.text) for r in rows)
+
+
+def test_words_of_few_known_documents_are_learned(spark):
+    # Each insult is in 4 of 40 known documents, and in their copies among the unlabelled.
+    docs = [(i, f"text {i} of insult{chr(97 + i % 10)} kind" if i < 50 else f"text {i} of plain kind") for i in range(800)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 50)) for i in range(0, 400)], "doc_id long, toxic int")
+    words = {f for f, w in toxicity.fitted(frame, labels).weights.items() if w > 0}
+    known = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5]
+    often = {f"insult{chr(97 + k)}" for k in range(10) if sum(i % 10 == k for i in known) >= toxicity.LEAST_DOCUMENTS}
+    assert len(often) > 5 and often <= words
+
+
+def test_most_toxic_documents_are_found(spark):
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    known = [(r.predicted, toxic[r.doc_id], r.held_out) for r in queries.op6_toxicity(spark, SF).collect() if r.doc_id in toxic]
+    held = [(p, t) for p, t, out in known if out]
+    assert sum(p == t for p, t in held) >= 0.95 * len(held)
+    assert not any(p and not t for p, t, _ in known)
+    assert sum(t and not p for p, t, _ in known) <= 0.1 * sum(t for _, t, _ in known)

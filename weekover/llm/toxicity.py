@@ -9,8 +9,10 @@ fits single unlabelled documents, and its steps go the other way.
 Features are the lower-case words of a whole text and their beginnings, each again when
 it occurs repeatedly. Spark
 counts them over bounded samples (``samples`` of each kind, by the hash of the id) and the
-``n_features`` that speak most for known toxic text are kept; training on these small
-sets is numpy on the driver. Scoring covers all documents.
+``n_features`` that speak most for known toxic text are kept. A feature counts as much as
+it tells beside the one that tells most, so that the many words which a few toxic
+documents share by chance hardly move the score, however many labels there are. Training
+on these small sets is numpy on the driver. Scoring covers all documents.
 
 Labels are learned only from rows outside the held-out fold, the crc32 of the id in
 ``FOLDS``; ids, labels, languages and sources are never features. Empty and NULL texts
@@ -35,8 +37,6 @@ from weekover.llm.common import with_columns, written
 
 FOLDS = 5
 SAMPLES, N_FEATURES, LEAST_DOCUMENTS = 8000, 2048, 3
-# How much a feature must tell to be kept: chance gives this to hardly any of a million.
-LEAST_TELLING = 25.0
 # Lengths of the beginnings of words that are features beside the words.
 STARTS = (4, 5, 6)
 # A word or beginning is a feature once more when it occurs so many times.
@@ -94,25 +94,35 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class _Rows:
-    """Sparse rows of zeros and ones."""
+    """Sparse rows of zeros and the values of their features."""
 
-    def __init__(self, rows: list[list[int]], width: int):
-        self.n, self.width = len(rows), width
+    def __init__(self, rows: list[list[int]], values: np.ndarray):
+        self.n, self.values = len(rows), values
         self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
         self.col = np.array([c for r in rows for c in r], np.int64)
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.col], minlength=self.n)
+        return np.bincount(self.row, weights=(w * self.values)[self.col], minlength=self.n)
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, weights=g[self.row], minlength=self.width)
+        return np.bincount(self.col, weights=g[self.row], minlength=len(self.values)) * self.values
 
 
 def train(
-    positive: list[list[int]], unlabelled: list[list[int]], width: int, prior: float, steps: int = STEPS
+    positive: list[list[int]],
+    unlabelled: list[list[int]],
+    width: int,
+    prior: float,
+    steps: int = STEPS,
+    values: np.ndarray | None = None,
 ) -> tuple[np.ndarray, float, list[float]]:
-    """Weights, bias and the risk after each step, by the non-negative risk estimator."""
-    p, u = _Rows(positive, width), _Rows(unlabelled, width)
+    """Weights, bias and the risk after each step, by the non-negative risk estimator.
+
+    A feature that a row has is ``values`` of it there, one if not given; the weights are
+    those of features that are one.
+    """
+    values = np.ones(width) if values is None else values
+    p, u = _Rows(positive, values), _Rows(unlabelled, values)
     w, b = np.zeros(width), 0.0
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     risks = []
@@ -130,7 +140,7 @@ def train(
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return w, b, risks
+    return w * values, b, risks
 
 
 def fitted(
@@ -175,16 +185,19 @@ def fitted(
     )
     # Twice the log likelihood ratio of the count against the one expected from unlabelled text.
     seen = seen.withColumn("e", F.expr(f"(u + 0.5D) * {sizes[True]}D / {sizes[False]}D"))
-    tells = seen.withColumn("tells", F.expr("2 * (p * log(p / e) - (p - e))")).where(f"p > e AND tells >= {LEAST_TELLING}")
-    best = tells.orderBy(F.desc("tells"), "feature").limit(n_features)
-    names = sorted(r["feature"] for r in best.collect())
+    tells = seen.withColumn("tells", F.expr("2 * (p * log(p / e) - (p - e))")).where("p > e")
+    best = tells.select("feature", "tells").orderBy(F.desc("tells"), "feature").limit(n_features)
+    told = {r["feature"]: r["tells"] for r in best.collect()}
+    names = sorted(told)
+    values = np.array([told[f] for f in names]) / max(told.values(), default=1.0)
     place = {f: i for i, f in enumerate(names)}
     kept = F.array_intersect("features", F.array(*map(F.lit, names))) if names else F.array().cast("array<string>")
     # As many rows as samples, with the kept features only.
     found = listed.select("doc_id", "known", kept.alias("f")).collect()
     rows = sorted((r["doc_id"], r["known"], sorted(place[f] for f in r["f"])) for r in found)
-    w, b, _ = train([f for _, k, f in rows if k], [f for _, k, f in rows if not k], len(names), prior)
-    return Model({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-3}, float(b))
+    positive, unlabelled = [f for _, k, f in rows if k], [f for _, k, f in rows if not k]
+    w, b, _ = train(positive, unlabelled, len(names), prior, values=values)
+    return Model({f: float(w[i]) for f, i in place.items() if w[i]}, float(b))
 
 
 def scored(
