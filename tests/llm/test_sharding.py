@@ -70,3 +70,32 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert sharding.shards(spark.createDataFrame([], "doc_id long, text string"), 4).count() == 0
+
+
+def test_one_large_group_leaves_no_shard_empty(spark):
+    random.seed(5)
+    texts = [(i, f"{i} " + "x" * random.randint(0, 200)) for i in range(3000)]
+    rest = sum(len(t) + 16 for _, t in texts)
+    texts += [(10_000 + i, "copy" * 100) for i in range(rest // 2 // 416)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sizes = assert_sharded(sharding.shards(docs, 40).collect(), texts, 40)
+    largest = max(sizes.values())
+    assert len(sizes) == 40 and largest == rest // 2 // 416 * 416
+    others = sorted(sizes.values())[:-1]
+    assert others[-1] <= 1.2 * rest / 39 and others[0] >= 0.5 * rest / 39
+
+
+def test_even_groups_fill_all_shards(spark):
+    runs = spark.createDataFrame([(i, 0, 100) for i in range(60)], "run long, part long, size long")
+    found = sharding.cuts(runs, 40).groupBy("shard").agg(F.sum("size").alias("size")).collect()
+    assert sorted(r.shard for r in found) == list(range(40)) and max(r["size"] for r in found) == 200
+
+
+def test_cuts_keep_the_smallest_capacity(spark):
+    random.seed(7)
+    for n, n_shards in ((1, 3), (7, 3), (60, 5), (80, 40), (40, 40), (90, 8)):
+        sizes = [random.choice((random.randint(16, 90), 16, 900)) for _ in range(n)]
+        runs = spark.createDataFrame([(i, 0, s) for i, s in enumerate(sizes)], "run long, part long, size long")
+        found = sharding.cuts(runs, n_shards).groupBy("shard").agg(F.sum("size").alias("size")).collect()
+        assert max(r["size"] for r in found) == slow_capacity(sizes, n_shards)
+        assert sorted(r.shard for r in found) == list(range(min(n, n_shards)))

@@ -2,8 +2,11 @@
 
 Documents with equal texts form one atomic group. Groups are ordered by the hash of their
 text and cut into contiguous shards so that the largest shard is as small as possible: a
-binary search finds the smallest capacity for which filling shards greedily in order takes
-no more shards than there are, and the cuts are where that filling made them.
+binary search finds the smallest level for which filling shards greedily in order takes
+no more shards than there are, where a group above the level has a shard of its own. So a
+group that no shard can divide does not set the size of all others. Below the level, each
+shard is filled to an equal share of the bytes that are left, as far as the shards left
+can hold the rest, and no shard stays empty while there are groups for it.
 
 The order is summed up by the leading bits of the hash into at most ``2**RUN_BITS`` runs
 of whole groups, which is all that the search needs; runs near a cut are then divided by
@@ -53,12 +56,12 @@ def listed(runs: DataFrame) -> DataFrame:
     return runs.agg(F.array_sort(F.collect_list(F.struct("run", "part", "size"))).alias("runs"))
 
 
-def capacity(runs: DataFrame, n_shards: int) -> int:
-    """The smallest capacity at which greedy filling in order takes no more than ``n_shards``."""
+def _searched(runs: DataFrame, n_shards: int) -> tuple[int, int]:
+    """The smallest level at which greedy filling in order takes no more than ``n_shards``, and the largest run."""
     total = "aggregate(runs, 0L, (a, r) -> a + r.size)"
-    # Shards that greedy filling takes at a capacity.
+    # Shards that greedy filling takes at a level; a run above it is alone in its shard.
     taken = (
-        "aggregate(runs, struct(1L AS shards, 0L AS used), (a, r) -> if(a.used + r.size > b.mid, "
+        "aggregate(runs, struct(1L AS shards, 0L AS used), (a, r) -> if(a.used > 0 AND a.used + r.size > b.mid, "
         "struct(a.shards + 1 AS shards, r.size AS used), struct(a.shards AS shards, a.used + r.size AS used)), "
         "a -> a.shards)"
     )
@@ -67,23 +70,54 @@ def capacity(runs: DataFrame, n_shards: int) -> int:
         f"if(b.low >= b.high, b, if({taken} <= {n_shards}, {halved.format(low='b.low', high='b.mid')}, "
         f"{halved.format(low='(b.mid + 1)', high='b.high')}))"
     )
-    least = f"greatest(aggregate(runs, 0L, (a, r) -> greatest(a, r.size)), ({total} + {n_shards - 1}) div {n_shards})"
-    start = halved.format(low=least, high=total)
+    start = halved.format(low="0L", high=total)
     search = f"aggregate(sequence(1, {SEARCH_STEPS}), {start}, (b, i) -> {step}, b -> b.high)"
-    return listed(runs).selectExpr(f"{search} AS capacity").first()["capacity"]
+    largest = "aggregate(runs, 0L, (a, r) -> greatest(a, r.size))"
+    found = listed(runs).selectExpr(f"{search} AS level", f"{largest} AS largest").first()
+    return found["level"], found["largest"]
+
+
+def capacity(runs: DataFrame, n_shards: int) -> int:
+    """The smallest size of the largest shard."""
+    return max(_searched(runs, n_shards))
 
 
 def cuts(runs: DataFrame, n_shards: int) -> DataFrame:
     """Shard of every run, and whether it touches a cut."""
-    limit = capacity(runs, n_shards)
+    level, _ = _searched(runs, n_shards)
+    # Where the shards begin that greedy filling makes from the end, the last one first:
+    # a shard with k shards behind it may not end before the k-th of these places.
+    back = (
+        "aggregate(reverse(runs), struct(size(runs) AS i, 0L AS used, CAST(array() AS array<int>) AS at), (a, r) -> "
+        f"if(a.used > 0 AND a.used + r.size > {level}L, "
+        "struct(a.i - 1 AS i, r.size AS used, array_append(a.at, a.i) AS at), "
+        "struct(a.i - 1 AS i, a.used + r.size AS used, a.at AS at)), a -> a.at)"
+    )
+    # Bytes of the runs at or below the level, and the number of those above it.
+    small = f"aggregate(runs, 0L, (a, r) -> a + if(r.size > {level}L, 0L, r.size))"
+    alone = f"size(filter(runs, r -> r.size > {level}L))"
+    # An equal share of the bytes left, for a shard that begins now as the ``nth``.
+    share = f"CAST((small - a.gone) / greatest(1, {n_shards} - {{nth}} - (alone - a.big)) AS double)"
+    behind = f"({n_shards} - 1 - size(a.at))"
+    full = f"(a.used + r.size / 2 > a.aim OR size(runs) - a.i <= {behind})"
+    ends = (
+        f"a.used > 0 AND (a.used + r.size > {level}L OR "
+        f"{behind} > 0 AND a.i >= coalesce(get(back, {behind} - 1), 0) AND {full})"
+    )
+    passed = f"a.gone + if(r.size > {level}L, 0L, r.size) AS gone, a.big + if(r.size > {level}L, 1, 0) AS big"
+    next_shard = f"r.size AS used, {share.format(nth='(size(a.at) + 1)')} AS aim, array_append(a.at, a.i) AS at"
+    same_shard = "a.used + r.size AS used, a.aim AS aim, a.at AS at"
+    start = (
+        f"struct(0 AS i, 0L AS gone, 0 AS big, 0L AS used, "
+        f"CAST(small / greatest(1, {n_shards} - alone) AS double) AS aim, CAST(array() AS array<int>) AS at)"
+    )
     # Places of the runs that begin a new shard.
     begun = (
-        "aggregate(runs, struct(0 AS i, 0L AS used, CAST(array() AS array<int>) AS at), (a, r) -> "
-        f"if(a.used + r.size > {limit}L, "
-        "struct(a.i + 1 AS i, r.size AS used, array_append(a.at, a.i) AS at), "
-        "struct(a.i + 1 AS i, a.used + r.size AS used, a.at AS at)), a -> a.at)"
+        f"aggregate(runs, {start}, (a, r) -> if({ends}, struct(a.i + 1 AS i, {passed}, {next_shard}), "
+        f"struct(a.i + 1 AS i, {passed}, {same_shard})), a -> a.at)"
     )
-    each = listed(runs).selectExpr(f"{begun} AS at", "runs").selectExpr("at", "posexplode(runs) AS (i, r)")
+    each = listed(runs).selectExpr("runs", f"{back} AS back", f"{small} AS small", f"{alone} AS alone")
+    each = each.selectExpr(f"{begun} AS at", "runs").selectExpr("at", "posexplode(runs) AS (i, r)")
     return each.selectExpr(
         "r.*", "size(filter(at, c -> c <= i)) AS shard", "exists(at, c -> c = i OR c = i + 1) AS at_cut"
     )
@@ -92,8 +126,9 @@ def cuts(runs: DataFrame, n_shards: int) -> DataFrame:
 def shards(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: (doc_id, size, text_crc32, shard, slot).
 
-    Sizes of shards are as equal as whole groups allow. Slots of a shard run from 0 without
-    gaps. Some shards stay empty if there are too few groups.
+    The largest shard is as small as whole runs allow, and the others share what is beside
+    groups too large for an equal share. Slots of a shard run from 0 without gaps. Some
+    shards stay empty if there are too few groups.
     """
     rows = written(sized(docs, doc_id, text), "sized")
     coarse = rows.groupBy("run").agg(F.sum("size").alias("size")).withColumn("part", F.lit(0).cast("bigint"))
