@@ -26,5 +26,5 @@ def test_matches_sql(spark, name):
 def test_all_are_registered():
     names = set(contract.queries())
     assert {"pipeline", *queries.QUERIES} <= names
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(queries.ORACLES) <= set(contract.oracle_sql())

@@ -8,8 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekover.llm import bpe, chat, embeddings, mixing, quality, sharding, simhash, toxicity, urls, warc
-from weekover.llm.common import read_table
+from weekover.llm import (
+    bpe,
+    chat,
+    codes,
+    counts,
+    embeddings,
+    mixing,
+    quality,
+    sharding,
+    simhash,
+    toxicity,
+    urls,
+    warc,
+    whitening,
+)
+from weekover.llm.common import lookup, read_table, written
+from weekover.session import shared_folder
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -126,6 +141,116 @@ def chat_digests(rows: DataFrame) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    rows = whitening.whiten(vectors, whitening.fitted(vectors), keep=["vec_id"])
+    return rows.select("*", F.posexplode("whitened").alias("place", "value")).selectExpr(
+        "vec_id",
+        "place + 1 AS component",
+        "n",
+        "TRY_CAST(deviation AS bigint) AS deviation",
+        "value AS whitened",
+        "explained[place] AS explained",
+        "identity_error",
+    )
+
+
+PIECES, TOKEN_LIMIT = "piece_bpe_32k.model", 4096
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return counted(docs, shared_folder(spark, "token-counts"))
+
+
+def counted(docs: DataFrame, cache: str) -> DataFrame:
+    """Counts of the documents by way of a cache."""
+    sized = docs.selectExpr("doc_id", "CAST(octet_length(coalesce(text, '')) AS bigint) AS n_bytes", "text")
+    rows = counts.token_counts(sized, counts.Tokenizer(public_tokenizers.path(PIECES)), cache)
+    return rows.selectExpr("doc_id", "n_bytes", "n_tokens", f"n_tokens > {TOKEN_LIMIT} AS over_limit")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def coded(vectors: DataFrame) -> DataFrame:
+    """Codes in hex and errors, with the errors summed over equal labels."""
+    books = codes.fitted(vectors)
+    rows = codes.encoded(vectors, books, keep=["vec_id", "label"])
+    # A struct, so that NULL labels meet too.
+    rows = written(rows.withColumn("labelled", F.struct("label")), "vector-codes")
+    sums = rows.groupBy("labelled").agg(F.sum("error").alias("label_error"))
+    return lookup(rows, sums, ["labelled"]).select(
+        "vec_id",
+        F.expr("array_join(transform(code, i -> lower(lpad(hex(i), 2, '0'))), '')").alias("code"),
+        "error",
+        "label_error",
+        F.lit(codes.digest(books)).alias("codebooks_sha256"),
+    )
+
+
+def _codes_oracle() -> str:
+    """The rounds of the codebooks one after the other, by the distances of all entries."""
+    parts, entries = codes.PARTS, codes.ENTRIES
+    ctes = [
+        f"""base AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v,
+                len(embedding) // {parts} AS width
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        )""",
+        f"""cut AS MATERIALIZED (
+            SELECT vec_id, part, v[part * width + 1 : part * width + width] AS p
+            FROM base, (SELECT unnest(range({parts})) AS part)
+        )""",
+        f"""book0 AS (
+            SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, p AS c
+            FROM cut WHERE vec_id IN (SELECT vec_id FROM base ORDER BY vec_id LIMIT {entries})
+        )""",
+    ]
+    for k in range(codes.ROUNDS + 1):
+        ctes.append(
+            f"""near{k} AS MATERIALIZED (
+            SELECT vec_id, part, min(struct_pack(d := d, entry := entry)) AS best FROM (
+                SELECT vec_id, cut.part, entry,
+                    CAST(list_sum(list_transform(list_zip(p, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+                FROM cut JOIN book{k} AS book ON book.part = cut.part
+            ) GROUP BY ALL
+        )"""
+        )
+        if k < codes.ROUNDS:
+            ctes.append(
+                f"""mean{k} AS (
+            SELECT part, entry, list(m ORDER BY pos) AS c FROM (
+                SELECT part, entry, pos, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM (
+                    SELECT cut.part, best.entry AS entry, unnest(p) AS x, unnest(range(len(p))) AS pos
+                    FROM cut JOIN near{k} USING (vec_id, part)
+                ) GROUP BY ALL
+            ) GROUP BY ALL
+        )"""
+            )
+            ctes.append(
+                f"""book{k + 1} AS MATERIALIZED (
+            SELECT part, entry, coalesce(mean{k}.c, book{k}.c) AS c FROM book{k} LEFT JOIN mean{k} USING (part, entry)
+        )"""
+            )
+    last = codes.ROUNDS
+    ctes.append(
+        f"""coded AS (
+            SELECT vec_id, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error
+            FROM near{last} GROUP BY vec_id
+        )"""
+    )
+    return f"""
+        WITH {", ".join(ctes)}
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+            (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM book{last}) AS codebooks_sha256
+        FROM coded JOIN base USING (vec_id)
+    """
+
+
 def _chat_oracle() -> str:
     own = ", ".join(f"({conv_id}, {turn}, '{role}', '{text}')" for conv_id, turn, role, text in SPIKED)
 
@@ -163,6 +288,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_embeddings": op9_embeddings,
     "op10_chat": op10_chat,
+    "op11_whitening": op11_whitening,
+    "op12_token_counts": op12_token_counts,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -219,4 +347,5 @@ ORACLES: dict[str, str] = {
         FROM vectors JOIN lowest USING (vec_id)
     """,
     "op10_chat": _chat_oracle(),
+    "op13_vector_codes": _codes_oracle(),
 }
