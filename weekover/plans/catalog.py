@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -399,18 +400,33 @@ def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @table_query
 def snapshot_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The city and the state summaries stored side by side, each under its kind."""
+    """The city and the state summaries stored side by side, each under its kind, published together."""
     p = retail.default_params()
     root = shared_folder(spark, "snapshot")
     inputs = retail.RetailInputs(spark, sf_dir, p)
-    for kind, sums in (("city", _city_sums), ("state", _state_sums)):
-        snapshot.write_snapshot(groups.group_summary(sums(inputs, p), p), root, kind, p)
+    sums = {"city": _city_sums(inputs, p), "state": _state_sums(inputs, p)}
+    snapshot.write_snapshots({kind: groups.group_summary(s, p) for kind, s in sums.items()}, root, p)
     stored = [
         snapshot.read_snapshot(spark, root, kind).withColumn("kind", F.lit(kind)) for kind in ("city", "state")
     ]
     return stored[0].unionByName(stored[1])
 
 
+@table_query
+def snapshot_one_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two refreshes of all three kinds, the earlier clock coming last: one clock is read, the later one."""
+    now = retail.default_params()
+    root = shared_folder(spark, "snapshot")
+    for p in (now, replace(now, as_of=now.as_of.replace(hour=11, minute=0))):
+        inputs = retail.RetailInputs(spark, sf_dir, p)
+        reports = {refresh.KIND: compare.hourly_report(inputs, p).selectExpr("cluster", "hr AS name", "total_opd AS orders")}
+        for kind, sums in (("city", _city_sums(inputs, p)), ("state", _state_sums(inputs, p))):
+            reports[kind] = groups.group_summary(sums, p).selectExpr("cluster", "grp AS name", "tw_orders AS orders")
+        snapshot.write_snapshots(reports, root, p)
+    stored = [snapshot.read_snapshot(spark, root, kind).withColumn("kind", F.lit(kind)) for kind in reports]
+    return reduce(DataFrame.unionByName, stored)
+
+
 @table_query
 def snapshot_refresh_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report stored earlier in the day, then one cluster refreshed at the present clock."""
@@ -419,10 +435,11 @@ def snapshot_refresh_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_folder(spark, "snapshot")
     stored = compare.hourly_report(retail.RetailInputs(spark, sf_dir, before), before)
     snapshot.write_snapshot(stored, root, refresh.KIND, before)
-    one = p.for_cluster(REFRESHED_CLUSTER)
-    snapshot.write_snapshot(
-        compare.hourly_report(retail.RetailInputs(spark, sf_dir, one), one), root, refresh.KIND, one
-    )
+
+    def build(one: ReportParams) -> DataFrame:
+        return compare.hourly_report(retail.RetailInputs(spark, sf_dir, one), one)
+
+    snapshot.refresh(spark, root, refresh.KIND, p.for_cluster(REFRESHED_CLUSTER), build)
     return snapshot.read_snapshot(spark, root, refresh.KIND)
 
 
@@ -469,7 +486,7 @@ def incremental_refresh_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     work, root, folder = (shared_folder(spark, n) for n in ("refresh", "snapshot", "events"))
     events = retail.table(spark, sf_dir, "events")
     for step, moment in enumerate(STEP_TIMES):
-        events.where(F.col("event_id") % len(STEP_TIMES) == step).coalesce(1).write.mode("append").parquet(folder)
+        events.where(F.col("event_id") % len(STEP_TIMES) == step).write.mode("append").parquet(folder)
         p = retail.default_params()
         p = replace(p, as_of=p.as_of.replace(hour=moment[0], minute=moment[1]))
         _streamed(spark, sf_dir, folder, "part-*.parquet", work, root, p)

@@ -503,6 +503,10 @@ FROM day_orders ORDER BY created_on DESC, order_id LIMIT 12""",
     "snapshot_kinds": f"""
 SELECT 'city' AS kind, '{P.as_of_text}' AS as_of, cluster, grp, {_SUMMARY} FROM city_summary
 UNION ALL SELECT 'state', '{P.as_of_text}', cluster, grp, {_SUMMARY} FROM state_summary""",
+    "snapshot_one_clock": f"""
+SELECT 'hourly' AS kind, cluster, hr AS name, total_opd AS orders, '{P.as_of_text}' AS as_of FROM report
+UNION ALL SELECT 'city', cluster, grp, tw_orders, '{P.as_of_text}' FROM city_summary
+UNION ALL SELECT 'state', cluster, grp, tw_orders, '{P.as_of_text}' FROM state_summary""",
     "incremental_refresh": f"SELECT cluster, {_HOURLY}, pos FROM report",
     "incremental_refresh_steps": f"SELECT cluster, {_HOURLY}, pos FROM report",
     "snapshot_one_cluster": f"SELECT cluster, {_HOURLY}, pos, '{P.as_of_text}' AS as_of FROM report WHERE cluster = 'tier_2'",

@@ -112,10 +112,8 @@ def run_refresh(
     """
     start_refresh(orders, inputs, work_folder, snapshot_root, params).awaitTermination()
     spark = orders.sparkSession
-    latest = snapshot.latest_runs(spark, snapshot_root, KIND)
-    # One row per cluster.
-    stale = latest.where(F.col("as_of") != params.as_of_text).select("cluster").collect()
-    clusters = tuple(sorted({row["cluster"] for row in stale} & set(params.clusters)))
+    stale = {p.cluster for p in snapshot.latest_runs(spark, snapshot_root, KIND) if p.as_of < params.as_of_text}
+    clusters = tuple(sorted(stale & set(params.clusters)))
     if clusters:
         part = replace(params, clusters=clusters)
         landed = landed_orders(spark, f"{work_folder}/landing", orders.schema, part)
