@@ -1,5 +1,6 @@
 """Targets against plain water-filling, and what the mix takes against the targets."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -51,6 +52,24 @@ def test_query(spark, documents):
     assert sorted(rows) == sorted(queries.op4_mixing(spark, SF).collect())
 
 
+def test_targets_of_many_sources(spark):
+    random.seed(13)
+    # Sizes over many orders of magnitude, each clamped after another; equal ones too.
+    sizes = {f"s{i:05d}": int(1.008 ** (i // 2)) for i in range(3_000)}
+    sources = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    weighted = sources.join(mixing.rotating_weights(sources.select("source")), "source")
+    found = {r.source: r.target for r in mixing.targets(weighted, 3.0).collect()}
+    assert found == pytest.approx(slow_targets(sizes))
+
+
+def test_sources_without_weight_or_words(spark):
+    rows = [("a", 100, 1.0), ("b", 100, 0.0), ("c", 0, 2.0), ("d", 10, 1.0)]
+    sources = spark.createDataFrame(rows, "source string, source_size long, weight double")
+    found = {r.source: r.target for r in mixing.targets(sources, 3.0).collect()}
+    assert found == pytest.approx({"a": 180.0, "b": 0.0, "c": 0.0, "d": 30.0})
+    assert mixing.targets(sources.limit(0), 3.0).count() == 0
+
+
 def test_odd_rows(spark):
     docs = [(i, "w " * (i % 7), "big") for i in range(200)] + [(i, "one two", None) for i in range(200, 205)]
     docs += [(300, None, "none"), (301, "a", "tiny"), (302, "a " * 30_000, "é"), (303, "b", "é")]

@@ -54,6 +54,11 @@ def word_count(column: str) -> F.Column:
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def lowest(spot: F.Column, share: float) -> F.Column:
+    """Whether a 64-bit hash is among the lowest ``share`` of all hashes, however small the share is."""
+    return F.lit(True) if share >= 1 else spot < F.lit(int(share * 2.0**64) - 2**63)
+
+
 def reach_workers(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it.
 

@@ -36,8 +36,6 @@ DRAWS = BINS**5
 # Draws in a bin of the first histogram, of the second, and single draws.
 WIDTHS = (BINS**4, BINS**3, 1)
 SEED = 20
-# Each round clamps one source at least; with few sources few rounds are needed.
-ROUNDS = 1000
 
 
 def rotating_weights(sources: DataFrame, weights: int = 3) -> DataFrame:
@@ -47,26 +45,29 @@ def rotating_weights(sources: DataFrame, weights: int = 3) -> DataFrame:
 
 
 def targets(sources: DataFrame, epochs: float) -> DataFrame:
-    """Adds ``target`` to sources (source, source_size, weight): what each should give.
+    """Adds ``target`` to sources (source_size, weight): what each should give.
 
-    The targets add up to all sizes unless every source is clamped. Sources without weight
-    or size get none. The driver sees three sums per round.
+    In the order of cap per weight the clamped sources come first. With the sources before
+    one clamped, the others share what is left at one level; the first source whose cap
+    holds that level ends the clamping. The targets add up to all sizes unless every source
+    is clamped. Sources without weight or size get none. The driver sees two numbers.
     """
-    cap = F.col("source_size") * F.lit(float(epochs))
+    cap = f"CAST(source_size * {float(epochs)!r}D AS double)"
+    order = "ORDER BY cap / weight, weight, cap ROWS BETWEEN"
     total = sources.agg(F.sum("source_size")).first()[0] or 0
-    level, clamped = 0.0, -1
-    for _ in range(ROUNDS):
-        above = cap < F.col("weight") * F.lit(level)
-        sums = sources.agg(
-            F.coalesce(F.sum(F.when(above, cap)), F.lit(0.0)),
-            F.coalesce(F.sum(F.when(~above, F.col("weight"))), F.lit(0.0)),
-            F.count_if(above),
-        ).first()
-        if sums[2] == clamped or sums[1] <= 0:
-            break
-        clamped = sums[2]
-        level = max(0.0, total - sums[0]) / sums[1]
-    return sources.withColumn("target", F.least(cap, F.col("weight") * F.lit(level)))
+    ranked = sources.where("weight > 0").selectExpr("weight", f"{cap} AS cap").selectExpr(
+        "cap / weight AS holds",
+        f"({float(total)!r}D - coalesce(sum(cap) OVER ({order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0D))"
+        f" / sum(weight) OVER ({order} CURRENT ROW AND UNBOUNDED FOLLOWING) AS level",
+    )
+    # Clamping a source that holds the level only lowers it, so the first of the levels is the
+    # highest. If none holds, all are clamped.
+    level = ranked.where("holds >= level").agg(F.max("level")).first()[0]
+    aimed = "cap" if level is None else f"least(cap, weight * {level!r}D)"
+    own = [f"`{c}`" for c in sources.columns]
+    return sources.selectExpr("*", f"{cap} AS cap").selectExpr(
+        *own, f"CASE WHEN weight > 0 THEN {aimed} ELSE 0D END AS target"
+    )
 
 
 def draw(doc_id: str, text: str) -> F.Column:

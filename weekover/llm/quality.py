@@ -1,19 +1,27 @@
 """Quality rules as learned decision lists.
 
 Statistics of every whole text are computed by SQL functions, and rules over them are
-learned from labels by sequential covering: a rule grows one threshold at a time by the
-best information gain on two thirds of the labelled rows, is cut back to the prefix that is
-most precise on the other third, and joins the list if it is precise enough there. The rows
-it covers are set aside and the next rule is grown. The result is an ordered list of
+learned from labels by sequential covering. On two thirds of the labelled rows rules are
+grown from each of the most telling first conditions, one threshold at a time by the best
+information gain, so that a common but blurred statistic does not keep out a pure one. They
+are cut back to all their beginnings; of those that are precise enough on the other third,
+the one that is surest to be pure joins the list. The rows it covers are set aside and the
+next rule is grown. Where no rule is precise enough, the rows of the best one are left out
+of growing and other rules are tried. Last, a rule of the list that covers good rows is
+replaced if a purer one can be grown in its place. The result is an ordered list of
 conjunctions that becomes one ``CASE`` expression.
 
-Learning needs only counts by (statistic, bin, label), which Spark aggregates; the driver
-sees ``BINS`` counts per statistic and step. Fitting uses at most about ``label_rows``
-labelled rows, chosen by the hash of their id; everything else covers all rows.
-
-Only DataFrame and SQL functions are used. NULL and empty texts have no words and fail the
-base rules. Rows without a label, or with a NULL one, are not learned from. Without labels
-of both kinds the list is empty and only the base rules reject.
+Learning needs only counts by (rule, statistic, bin, label), which Spark aggregates; the
+driver sees some ``2 * BINS`` counts per rule and statistic in each step. Fitting uses about
+``label_rows`` labelled rows, those with the lowest hashes of their ids; everything else
+covers all rows.
+
+Only DataFrame and SQL functions are used. Texts are read whole, whatever their length. NULL
+and empty texts have no words and fail the base rules. Rows without a label, or with a NULL
+one, are not learned from. Without labels of both kinds the list is empty and only the base
+rules reject. Repeated rows are judged alike, each on its own; among rules that are equally
+good the shorter and then the earlier grown one is taken. An empty table gives an empty one.
+Other columns pass through; one with the name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekover.llm.common import WORD, fresh, written
+from weekover.llm.common import WORD, fresh, lowest, written
 
 WINDOW = 5
 # Base rules: fewest words, and per cent of words in repeated windows that is too much.
@@ -33,6 +41,8 @@ LEAST_WORDS, REPEAT_PERCENT = 10, 20
 BINS = 32
 LABEL_ROWS = 20_000
 MOST_RULES, MOST_CONDITIONS = 12, 3
+# First conditions that rules are grown from, and how often no grown rule may be precise enough.
+FIRST_CONDITIONS, MOST_FAILURES = 5, 4
 # A rule must be this precise on rows it was not grown on, and cover so many of them.
 PRECISION, LEAST_COVER = 0.95, 5
 
@@ -138,25 +148,31 @@ def _matches(rule: Rule) -> str:
     return " AND ".join(c.binned() for c in rule) if rule else "true"
 
 
-def _counts(rows: DataFrame, rule: Rule) -> dict[str, list[tuple[int, int]]]:
-    """Bad and good rows that fit the rule, by share and bin."""
+Table = dict[str, list[tuple[int, int]]]
+
+
+def _counts(rows: DataFrame, rules: list[Rule], bounds: dict[str, list[float]]) -> list[Table]:
+    """For each rule the bad and good rows that fit it, by share and bin."""
+    fits = ", ".join(f"if({_matches(rule)}, {k}, NULL)" for k, rule in enumerate(rules))
     found = (
-        rows.where(_matches(rule))
-        .select("bad", F.explode("bins").alias("share", "bin"))
-        .groupBy("share", "bin")
+        rows.selectExpr("bad", "bins", f"explode(array({fits})) AS rule")
+        .where("rule IS NOT NULL")
+        .select("bad", "rule", F.explode("bins").alias("share", "bin"))
+        .groupBy("rule", "share", "bin")
         .agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n"))
     )
-    table = {share: [(0, 0)] * (BINS + 1) for share in SHARES}
-    # A bounded histogram: one row per share and bin.
+    tables = [{share: [(0, 0)] * (len(bounds[share]) + 1) for share in SHARES} for _ in rules]
+    # A bounded histogram: one row per rule, share and bin.
     for row in found.collect():
-        table[row["share"]][row["bin"]] = (row["p"], row["n"])
-    return table
+        tables[row["rule"]][row["share"]][row["bin"]] = (row["p"], row["n"])
+    return tables
 
 
-def _best(table: dict[str, list[tuple[int, int]]], bounds: dict[str, list[float]]) -> tuple[float, Condition | None, int]:
-    """The condition of the highest gain, and how many good rows it leaves."""
-    best: tuple[float, Condition | None, int] = (0.0, None, 0)
+def _telling(table: Table, bounds: dict[str, list[float]]) -> list[tuple[float, Condition, int]]:
+    """The condition of the highest gain of each share and the good rows it leaves, most telling first."""
+    found = []
     for share, bins in table.items():
+        best: tuple[float, Condition | None, int] = (1e-9, None, 0)
         p_all, n_all = sum(p for p, _ in bins), sum(n for _, n in bins)
         if not p_all:
             continue
@@ -168,18 +184,112 @@ def _best(table: dict[str, list[tuple[int, int]]], bounds: dict[str, list[float]
                 gain = p * (math.log2(p / (p + n)) - now) if p else 0.0
                 if gain > best[0] + 1e-9:
                     best = (gain, Condition(share, above, bound, place), n)
-    return best
+        if best[1] is not None:
+            found.append(best)
+    return sorted(found, key=lambda b: -b[0])
 
 
-def _centred(rows: DataFrame, condition: Condition) -> Condition:
-    """The bound moved halfway to the next larger value, which changes no row's side."""
-    value = F.col("shares")[condition.share]
-    above = rows.agg(F.min(F.when(value > condition.bound, value))).first()[0]
-    return condition if above is None else replace(condition, bound=(condition.bound + above) / 2)
+def _joined(rule: Rule, condition: Condition) -> Rule:
+    """The rule with one condition more; it takes the place of a wider one on the same side."""
+    return (*(c for c in rule if (c.share, c.above) != (condition.share, condition.above)), condition)
 
 
-def learn(labelled: DataFrame) -> list[Rule]:
-    """Rules from rows (doc_id, bad, s), the most telling first."""
+def _grown(rows: DataFrame, bounds: dict[str, list[float]]) -> list[Rule]:
+    """Rules from each of the most telling first conditions, with all their beginnings."""
+    first = _telling(_counts(rows, [()], bounds)[0], bounds)[:FIRST_CONDITIONS]
+    rules: list[Rule] = [(condition,) for _, condition, _ in first]
+    going = [(condition,) for _, condition, good in first if good]
+    for _ in range(MOST_CONDITIONS - 1):
+        if not going:
+            break
+        further = []
+        for rule, table in zip(going, _counts(rows, going, bounds)):
+            for _, condition, good in _telling(table, bounds)[:1]:
+                longer = _joined(rule, condition)
+                rules.append(longer)
+                if good:
+                    further.append(longer)
+        going = further
+    return list(dict.fromkeys(rules))
+
+
+@dataclass(frozen=True)
+class Cover:
+    """Bad and good rows that a rule covers, in all and of those it was not grown on."""
+
+    bad: int
+    good: int
+    held_bad: int
+    held_good: int
+
+    @property
+    def purity(self) -> float:
+        """Share of bad rows, as sure as their number makes it."""
+        return (self.bad + 1) / (self.bad + self.good + 2)
+
+    @property
+    def precise(self) -> bool:
+        return self.held_bad >= LEAST_COVER and self.held_bad >= PRECISION * (self.held_bad + self.held_good)
+
+
+def _covers(rows: DataFrame, rules: list[Rule]) -> list[Cover]:
+    counts = {
+        f"{name}{k}": f"count_if({kind} AND {_matches(rule)})"
+        for k, rule in enumerate(rules)
+        for name, kind in (("b", "bad"), ("g", "NOT bad"), ("hb", "bad AND NOT grow"), ("hg", "NOT bad AND NOT grow"))
+    }
+    row = rows.agg(*(F.expr(f"{count} AS {name}") for name, count in counts.items())).first()
+    return [Cover(row[f"b{k}"], row[f"g{k}"], row[f"hb{k}"], row[f"hg{k}"]) for k in range(len(rules))]
+
+
+def _without(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    return rows.where(" AND ".join(f"NOT ({_matches(rule)})" for rule in rules)) if rules else rows
+
+
+def _choice(rows: DataFrame, aside: list[Rule], bounds: dict[str, list[float]]) -> tuple[Rule, Cover] | None:
+    """The rule that is surest to be pure among those that are precise enough, else among all; None if none grows."""
+    rules = _grown(_without(rows, aside).where("grow"), bounds)
+    if not rules:
+        return None
+    found = list(zip(rules, _covers(rows, rules)))
+    able = [(rule, cover) for rule, cover in found if cover.precise] or found
+    return max(able, key=lambda f: (f[1].purity, f[1].bad, -len(f[0])))
+
+
+def cover(rows: DataFrame, bounds: dict[str, list[float]]) -> list[Rule]:
+    """The list of rules for rows (bad, bins, grow)."""
+    rules: list[Rule] = []
+    aside: list[Rule] = []
+    while len(rules) < MOST_RULES and len(aside) <= MOST_FAILURES:
+        choice = _choice(_without(rows, rules), aside, bounds)
+        if choice is None:
+            break
+        (rules if choice[1].precise else aside).append(choice[0])
+    for k, rule in enumerate(rules):
+        own = _without(rows, rules[:k] + rules[k + 1 :])
+        (now,) = _covers(own, [rule])
+        choice = _choice(own, [], bounds) if now.good else None
+        if choice and choice[1].precise and choice[1].good < now.good and choice[1].purity > now.purity:
+            rules[k] = choice[0]
+    return rules
+
+
+def _centred(rows: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """Bounds moved halfway to the next larger value of all rows, which changes no row's side."""
+    conditions = sorted({c for rule in rules for c in rule}, key=repr)
+    if not conditions:
+        return rules
+    above = rows.agg(
+        *(F.expr(f"min(if(shares['{c.share}'] > {c.bound!r}D, shares['{c.share}'], NULL))").alias(f"c{k}") for k, c in enumerate(conditions))
+    ).first()
+    moved = {
+        c: c if above[f"c{k}"] is None else replace(c, bound=(c.bound + above[f"c{k}"]) / 2) for k, c in enumerate(conditions)
+    }
+    return [tuple(moved[c] for c in rule) for rule in rules]
+
+
+def binned(labelled: DataFrame) -> tuple[DataFrame, dict[str, list[float]]]:
+    """Rows (bad, shares, bins, grow) from rows (doc_id, bad, s), and the bounds of the bins of each share."""
     shares = F.expr("map(" + ", ".join(f"'{k}', {e}" for k, e in SHARES.items()) + ")")
     rows = written(labelled.select("doc_id", "bad", shares.alias("shares")), "labelled")
     steps = "array(" + ", ".join(f"{k / BINS}D" for k in range(1, BINS)) + ")"
@@ -187,46 +297,21 @@ def learn(labelled: DataFrame) -> list[Rule]:
         *(F.expr(f"percentile_approx(shares['{k}'], {steps}, 10000)").alias(k) for k in SHARES),
         *(F.expr(f"percentile_approx(if(bad, shares['{k}'], NULL), {steps}, 10000)").alias(f"{k}_bad") for k in SHARES),
     ).first()
-    if cut["n_words"] is None or cut["n_words_bad"] is None:
-        return []
-    bounds = {}
-    for k in SHARES:
-        mixed = sorted({float(b) for b in [*cut[k], *cut[f"{k}_bad"]]})
-        # Every other bound if there are too many of them.
-        bounds[k] = mixed if len(mixed) <= BINS else mixed[:: -(-len(mixed) // BINS)]
+    bounds = {k: sorted({float(b) for b in [*(cut[k] or []), *(cut[f"{k}_bad"] or [])]}) for k in SHARES}
     listed = "map(" + ", ".join(
         f"'{k}', size(filter(array({', '.join(f'{b!r}D' for b in bounds[k])}), b -> b < shares['{k}']))" for k in SHARES
     ) + ")"
-    binned = rows.selectExpr("bad", "shares", f"{listed} AS bins", "pmod(xxhash64(doc_id, 'grow'), 3) < 2 AS grow")
-    left = written(binned, "binned")
-    rules: list[Rule] = []
-    while len(rules) < MOST_RULES:
-        rule: Rule = ()
-        while len(rule) < MOST_CONDITIONS:
-            gain, condition, good = _best(_counts(left.where("grow"), rule), bounds)
-            if condition is None or gain <= 0:
-                break
-            rule = (*rule, _centred(left, condition))
-            if not good:
-                break
-        if not rule:
-            break
-        prefixes = [rule[:k] for k in range(1, len(rule) + 1)]
-        held = left.where("NOT grow").agg(
-            *(F.expr(f"count_if(bad AND {_matches(r)})").alias(f"p{k}") for k, r in enumerate(prefixes)),
-            *(F.expr(f"count_if(NOT bad AND {_matches(r)})").alias(f"n{k}") for k, r in enumerate(prefixes)),
-        ).first()
-        worth = [
-            ((held[f"p{k}"] - held[f"n{k}"]) / max(1, held[f"p{k}"] + held[f"n{k}"]), -len(r), k)
-            for k, r in enumerate(prefixes)
-        ]
-        k = max(worth)[2]
-        bad, good = held[f"p{k}"], held[f"n{k}"]
-        if bad < LEAST_COVER or bad < PRECISION * (bad + good):
-            break
-        rules.append(prefixes[k])
-        left = left.where(f"NOT ({_matches(prefixes[k])})")
-    return rules
+    grow = "pmod(xxhash64(doc_id, 'grow'), 3) < 2 AS grow"
+    return written(rows.selectExpr("doc_id", "bad", "shares", f"{listed} AS bins", grow), "binned"), bounds
+
+
+def learn(labelled: DataFrame) -> list[Rule]:
+    """Rules from rows (doc_id, bad, s), the first that was learned first."""
+    kinds = labelled.agg(F.max("bad"), F.min("bad")).first()
+    if kinds[0] is not True or kinds[1] is not False:
+        return []
+    rows, bounds = binned(labelled)
+    return _centred(rows, cover(rows, bounds))
 
 
 def learned_rules(
@@ -234,11 +319,11 @@ def learned_rules(
 ) -> list[Rule]:
     """Rules from the labels (doc_id, quality 0 or 1) of documents that pass the base rules."""
     known = labels.where("quality IS NOT NULL").select("doc_id", (F.col("quality") == 0).alias("bad"))
-    share = min(1.0, label_rows / max(1, known.count()))
-    drawn = f"pmod(xxhash64(doc_id, 'label'), 1000000) < {round(share * 1_000_000)}"
+    drawn = lowest(F.xxhash64("doc_id", F.lit("label")), label_rows / max(1, known.count()))
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(drawn)
     stats = with_statistics(narrow, "text", "s").select("doc_id", "s").where(f"NOT {base_failed('s')}")
-    return learn(stats.join(known.where(drawn), "doc_id"))
+    # Statistics are computed once, before learning goes over them.
+    return learn(written(stats.join(known.where(drawn), "doc_id"), "labelled-statistics"))
 
 
 def judged(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:

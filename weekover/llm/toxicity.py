@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekover.llm.common import with_columns, written
+from weekover.llm.common import lowest, with_columns, written
 
 FOLDS = 5
 SAMPLES, N_FEATURES, LEAST_DOCUMENTS = 8000, 2048, 3
@@ -162,8 +162,7 @@ def fitted(
     # No more ids than samples, so this side is small whatever the input.
     chosen = known.where("toxic = 1").select("doc_id").distinct().orderBy(spot).limit(samples)
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(learnable)
-    share = min(1.0, samples / max(1, docs.count()))
-    drawn = narrow.where(F.pmod(spot, F.lit(1_000_000)) < round(share * 1_000_000))
+    drawn = narrow.where(lowest(spot, samples / max(1, docs.count())))
     both = narrow.join(F.broadcast(chosen), "doc_id", "left_semi").withColumn("known", F.lit(True)).union(
         drawn.withColumn("known", F.lit(False))
     )
@@ -175,8 +174,10 @@ def fitted(
     # Copies of one document would make all its words look telling.
     listed = written(listed.dropDuplicates(["known", "features"]), "toxic-samples")
     sizes = {r["known"]: r["n"] for r in listed.groupBy("known").agg(F.count("*").alias("n")).collect()}
-    if not sizes.get(True) or not sizes.get(False):
+    if not sizes.get(True):
         return Model({}, -np.inf)
+    if not sizes.get(False):
+        raise ValueError("no unlabelled document was drawn")
     seen = (
         listed.select("known", F.explode("features").alias("feature"))
         .groupBy("feature")
