@@ -36,18 +36,18 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digests(read_table(spark, sf_dir, "documents"))
+    return token_digests(read_table(spark, sf_dir, "documents")).drop("tokens")
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
-    """Counts and digests of the ids of each text and of the bytes they decode to."""
-    path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    ids = bpe.encode(docs, path, pattern, keep=["doc_id"])
-    return bpe.decode(ids, path, pattern, keep=["doc_id", "tokens"]).selectExpr(
+    """Ids of each text, their count, and digests of them and of the bytes they decode to."""
+    both = bpe.recoded(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep=["doc_id"])
+    return both.selectExpr(
         "doc_id",
         "CAST(size(tokens) AS bigint) AS n_tokens",
         "sha2(array_join(tokens, ','), 256) AS ids_sha256",
         "sha2(decoded, 256) AS decoded_sha256",
+        "tokens",
     )
 
 
