@@ -94,11 +94,16 @@ def with_total(rates: DataFrame, clusters: DataFrame) -> DataFrame:
     )
 
 
-def hourly_rates(inputs: ReportInputs, params: ReportParams) -> DataFrame:
+def with_traffic(kpis: DataFrame, inputs: ReportInputs, params: ReportParams) -> DataFrame:
+    """``paired_rates`` with the traffic of the inputs."""
     by_hour = traffic.traffic_by_hour(
         traffic.cluster_traffic(inputs.traffic, inputs.cluster_classes, params)
     )
-    return paired_rates(facts.paired_kpis(facts.hourly_orders(inputs, params), params), by_hour)
+    return paired_rates(kpis, by_hour)
+
+
+def hourly_rates(inputs: ReportInputs, params: ReportParams) -> DataFrame:
+    return with_traffic(facts.paired_kpis(facts.hourly_orders(inputs, params), params), inputs, params)
 
 
 def hourly_rows(inputs: ReportInputs, params: ReportParams) -> DataFrame:

@@ -126,19 +126,22 @@ def _totals(day: str = "TRUE") -> dict[str, str]:
     return {name: as_money(total) for name, total in totals.items()}
 
 
-def _rates(day: str = "TRUE") -> dict[str, str]:
-    """Per-order averages over the rows of a day."""
-    orders = f"count(order_id) FILTER (WHERE {day})"
-    totals = _totals(day)
-    rates = {
+def rates(orders: str, banners: str, totals: dict[str, str]) -> dict[str, str]:
+    """Per-order averages from expressions for counts and money totals."""
+    found = {
         "total_opd": orders,
-        "ob_pct": rounded(percent(f"count_if(has_banner AND {day})", orders), 1),
+        "ob_pct": rounded(percent(banners, orders), 1),
         "amv": rounded(ratio(totals["bill_sum"], orders), 0),
     }
     for name in ("cdpo", "sdpo", "rdpo", "targeted", "special"):
-        rates[f"{name}_po"] = rounded(ratio(totals[f"{name}_sum"], orders), 2)
-    rates["total_platform_po"] = rounded(ratio(totals["platform_sum"], orders), 2)
-    return rates
+        found[f"{name}_po"] = rounded(ratio(totals[f"{name}_sum"], orders), 2)
+    found["total_platform_po"] = rounded(ratio(totals["platform_sum"], orders), 2)
+    return found
+
+
+def _rates(day: str = "TRUE") -> dict[str, str]:
+    """Per-order averages over the rows of a day."""
+    return rates(f"count(order_id) FILTER (WHERE {day})", f"count_if(has_banner AND {day})", _totals(day))
 
 
 def hourly_kpis(per_order: DataFrame) -> DataFrame:

@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekover.functions import labels
+from weekover.functions import labels, numeric
 from weekover.functions.numeric import aliased
 from weekover.metrics import GROUP_METRICS
-from weekover.operators import compare, facts, filters, groups, layout, monitor, snapshot, spend, traffic
+from weekover.operators import compare, facts, filters, groups, layout, monitor, prefix, snapshot, spend, traffic
 from weekover.params import ReportParams
 from weekover.session import shared_folder
 from weekover.sources import retail
 from weekover.sources.inputs import ReportInputs
 from weekover.sources.schemas import MONEY_COLUMNS
-from weekover.streaming import refresh
+from weekover.streaming import delta, refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -493,6 +493,58 @@ def incremental_refresh_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.read_snapshot(spark, root, refresh.KIND).drop("as_of")
 
 
+def _resent(i: ReportInputs) -> DataFrame:
+    """Order rows with the step they come in: some again in the next step, changed bills in a step of their own."""
+    own = f"CAST(pmod(xxhash64(order_id, order_bill), {len(STEP_TIMES)}) AS int)"
+    again = f"if(order_id % 7 = 0, array({own}, ({own} + 1) % {len(STEP_TIMES)}), array({own}))"
+    return i.orders.selectExpr("*", f"explode({again}) AS step")
+
+
+@table_query
+def incremental_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order rows arriving in three steps, late, changed and repeated ones among them, each step sent twice.
+
+    The clock moves on, and the stored sums are compacted after the second step.
+    """
+    now = retail.default_params()
+    root, orders = shared_folder(spark, "snapshot"), shared_folder(spark, "resent")
+    clocks = [replace(now, as_of=now.as_of.replace(hour=h, minute=m)) for h, m in STEP_TIMES]
+    everything = retail.RetailInputs(spark, sf_dir, now)
+    _resent(everything).write.partitionBy("step").parquet(orders)
+    schema = everything.orders.schema
+    store = delta.DeltaStore(spark, shared_folder(spark, "delta"), schema)
+    for step, p in enumerate(clocks):
+        inputs = refresh.with_lines(retail.RetailInputs(spark, sf_dir, p), retail.all_lines(spark, sf_dir))
+        batch = spark.read.schema(schema).parquet(f"{orders}/step={step}")
+        for _ in range(2):
+            store.apply(batch, step, inputs, p)
+        snapshot.write_snapshot(store.report(inputs, p), root, refresh.KIND, p)
+        if step == 1:
+            store.compact(p)
+    return snapshot.read_snapshot(spark, root, refresh.KIND).drop("as_of")
+
+
+@table_query
+def cutoff_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts and sums of both days at three clocks, from running sums that are stored once."""
+    now = retail.default_params()
+    end = replace(now, as_of=now.as_of.replace(hour=23, minute=59, second=59))
+    inputs = retail.RetailInputs(spark, sf_dir, end)
+    path = shared_folder(spark, "running-sums")
+    running = prefix.running_sums(prefix.partials(inputs.orders, inputs, end))
+    running.write.partitionBy("side", "dt").parquet(path)
+    running = spark.read.schema(running.schema).parquet(path)
+    found = []
+    for hour, minute in STEP_TIMES:
+        p = replace(now, as_of=now.as_of.replace(hour=hour, minute=minute))
+        for day, sums in zip((p.today, p.last_week), prefix.at_clock(running, p)):
+            columns = {"as_of": f"'{p.as_of_text}'", "cluster": "cluster", "hr": "hr", "dt": f"DATE '{day}'"}
+            columns |= {"orders": "n_orders", "banner_orders": "n_banner"}
+            columns |= {name: numeric.as_money(name) for name in prefix.MONEY}
+            found.append(sums.selectExpr(*aliased(columns)))
+    return reduce(DataFrame.unionByName, found)
+
+
 # Scalar functions
 
 

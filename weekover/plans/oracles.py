@@ -507,6 +507,7 @@ UNION ALL SELECT 'state', '{P.as_of_text}', cluster, grp, {_SUMMARY} FROM state_
 SELECT 'hourly' AS kind, cluster, hr AS name, total_opd AS orders, '{P.as_of_text}' AS as_of FROM report
 UNION ALL SELECT 'city', cluster, grp, tw_orders, '{P.as_of_text}' FROM city_summary
 UNION ALL SELECT 'state', cluster, grp, tw_orders, '{P.as_of_text}' FROM state_summary""",
+    "incremental_delta": f"SELECT cluster, {_HOURLY}, pos FROM report",
     "incremental_refresh": f"SELECT cluster, {_HOURLY}, pos FROM report",
     "incremental_refresh_steps": f"SELECT cluster, {_HOURLY}, pos FROM report",
     "snapshot_one_cluster": f"SELECT cluster, {_HOURLY}, pos, '{P.as_of_text}' AS as_of FROM report WHERE cluster = 'tier_2'",
@@ -531,11 +532,31 @@ FROM order_facts""",
 }
 
 
+def _at(statement_now: str, hour: int, minute: int) -> str:
+    """A statement with its clock set to another time of the day."""
+    then = P.as_of.replace(hour=hour, minute=minute).strftime("%Y-%m-%d %H:%M:%S")
+    return statement_now.replace(f"'{P.as_of_text}'", f"'{then}'")
+
+
+_COPIES = {"bill_sum": m("order_bill"), "cdpo_sum": CDPO, "sdpo_sum": SDPO, "rdpo_sum": RDPO, "platform_sum": PLATFORM}
+_COPIES |= {"campaign_sum": m("platform_discount_hit"), "special_sum": "COALESCE(special, 0)", "targeted_sum": "COALESCE(targeted, 0)"}
+
+
+def _at_clocks() -> str:
+    """Hourly counts and sums of both days at each of the clocks, every copy counted as it is met."""
+    sums = ", ".join(f"CAST(SUM({amount}) AS DOUBLE) AS {name}" for name, amount in _COPIES.items())
+    now = statement(f"""
+SELECT '{P.as_of_text}' AS as_of, cluster, hr, dt, COUNT(DISTINCT order_id) AS orders,
+  COUNT(DISTINCT CASE WHEN banner_factor > {P.banner_threshold} THEN order_id END) AS banner_orders, {sums}
+FROM hourly_rows LEFT JOIN hourly_targeted USING ({KEY}) LEFT JOIN hourly_special USING ({KEY})
+GROUP BY cluster, hr, dt""")
+    return " UNION ALL ".join(f"SELECT * FROM ({_at(now, *clock)})" for clock in catalog.STEP_TIMES)
+
+
 def _before_refresh() -> str:
     """The stored report at 11:00 for all clusters but the refreshed one."""
-    earlier = NOW.replace(P.as_of_text, P.as_of.replace(hour=11, minute=0).strftime("%Y-%m-%d %H:%M:%S"))
     now = statement(f"SELECT cluster, {_HOURLY}, pos, '{P.as_of_text}' AS as_of FROM report")
-    then = now.replace(NOW, earlier).replace(f"'{P.as_of_text}'", earlier.removeprefix("TIMESTAMP "))
+    then = _at(now, 11, 0)
     (one,) = P.for_cluster(catalog.REFRESHED_CLUSTER).clusters
     return (
         f"SELECT * FROM ({now}) WHERE cluster = '{one}' UNION ALL BY NAME "
@@ -558,4 +579,7 @@ def statement(final: str) -> str:
 
 
 def statements() -> dict[str, str]:
-    return {name: statement(final) for name, final in FINAL.items()} | {"snapshot_refresh_one": _before_refresh()}
+    return {name: statement(final) for name, final in FINAL.items()} | {
+        "snapshot_refresh_one": _before_refresh(),
+        "cutoff_prefix": _at_clocks(),
+    }
