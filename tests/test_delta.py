@@ -74,6 +74,35 @@ def test_stored_sums_answer_without_orders(spark, tmp_path):
         assert "offer_totals" not in plan and "order_id" not in plan
 
 
+PARENTS = {"tier_next": ("tier_2", "tier_3")}
+TREE = [(10, "tier_2"), (10, "tier_next"), (11, "tier_3"), (11, "tier_next"), (12, "tier_3"), (12, "tier_next")]
+TREE_P = replace(PARAMS, clusters=("tier_2", "tier_3", "tier_next"))
+
+
+@pytest.mark.parametrize("seed", [9, 10])
+def test_clusters_that_consist_of_others(spark, seed):
+    """Orders of few ids have rows in both members, copies of rows too."""
+    i = inputs(spark, drawn(seed), TRAFFIC, OFFERS, ("T1", "T2"), clusters=TREE)
+    p = replace(TREE_P, as_of=P.as_of.replace(hour=11, minute=30))
+    assert not prefix.spread_orders(i.orders, i.cluster_dim, replace(p, clusters=("tier_2", "tier_3"))).isEmpty()
+    running = prefix.running_sums(prefix.rolled_up(i.orders, i, p, PARENTS))
+    assert same(prefix.hourly_report(running, i, p), compare.hourly_report(i, p))
+
+
+def test_rows_are_carried_once(spark):
+    """The rows that orders are reduced from are as many as there are, whatever clusters consist of others."""
+    orders = [order(k, (TODAY, "10:00:00"), 10 + k % 3) for k in range(30)]
+    i = inputs(spark, orders, clusters=TREE)
+    carried, real = [], prefix.order_rows
+    count = lambda o, *more: carried.append(real(o, *more)) or carried[-1]
+    prefix.order_rows = count
+    try:
+        prefix.rolled_up(i.orders, i, TREE_P, PARENTS).collect()
+    finally:
+        prefix.order_rows = real
+    assert [frame.count() for frame in carried] == [30, 0, 0]
+
+
 def test_fractions_of_a_clock(spark):
     with pytest.raises(ValueError, match="whole second"):
         prefix.clock_second(replace(P, as_of=datetime(2024, 1, 30, 14, 45, 0, 5)))

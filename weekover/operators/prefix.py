@@ -18,6 +18,9 @@ today at any clock and to last week never, as in the report over the rows.
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,6 +136,41 @@ def negated(rows: DataFrame) -> DataFrame:
     return rows.selectExpr(*CELL, *STEP, *aliased({name: f"-{name}" for name in MEASURES}))
 
 
+def _also(rows: DataFrame, labels: list[str]) -> DataFrame:
+    """The rows once under each of the labels that are not NULL, expressions of their cluster."""
+    return rows.selectExpr(f"explode(array_compact(array({', '.join(labels)}))) AS cluster", *CELL[1:], *STEP, *MEASURES)
+
+
+def spread_orders(orders: DataFrame, cluster_dim: DataFrame, params: ReportParams) -> DataFrame:
+    """(touched) ids of orders with rows in several of the clusters, NULL if rows without an id are such."""
+    placed = filters.in_clusters(orders.where("excluded_flag = 0").select("order_id", "city_code"), cluster_dim, params)
+    clusters = placed.groupBy("order_id").agg(F.expr("min(cluster) < max(cluster)").alias("spread"))
+    return clusters.where("spread").select(F.col("order_id").alias("touched"))
+
+
+def rolled_up(
+    orders: DataFrame, inputs: ReportInputs, params: ReportParams, parents: dict[str, tuple[str, ...]]
+) -> DataFrame:
+    """Partials of all clusters of ``params``, those of ``parents`` added up from the clusters they consist of.
+
+    Every row is carried once, in its own cluster, through the reduction of the orders; each
+    cluster still has a cutoff of its own, at which its sums are looked up. The few orders
+    that have rows in several clusters of a parent do not add up: they are taken out of the
+    parent's sums and put in as its rows give them.
+    """
+    leaves = replace(params, clusters=tuple(c for c in params.clusters if c not in parents))
+    own = partials(orders, inputs, leaves)
+    spread = spread_orders(orders, inputs.cluster_dim, leaves)
+    split = orders.join(spread, F.expr("order_id <=> touched"), "left_semi")
+    above = tuple(parent for parent in parents if parent in params.clusters)
+    labels = [f"if(cluster IN ({', '.join(map(repr, parents[p]))}), '{p}', NULL)" for p in above]
+    parts = [_also(own, ["cluster", *labels])]
+    if above:
+        parts.append(_also(negated(partials(split, inputs, leaves)), labels))
+        parts.append(partials(split, inputs, replace(params, clusters=above)))
+    return summed(reduce(DataFrame.unionByName, parts))
+
+
 # Running sums by the second at which rows are known, and by the second that a cutoff meets.
 KNOWN, REACHED = "known", "reached"
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from weekover.functions import labels, numeric
 from weekover.functions.numeric import aliased
 from weekover.metrics import GROUP_METRICS
-from weekover.operators import compare, facts, filters, groups, layout, monitor, prefix, snapshot, spend, traffic
+from weekover.operators import compare, facts, filters, groups, layout, monitor, prefix, snapshot, spend, stage, traffic
 from weekover.params import ReportParams
 from weekover.session import shared_folder
 from weekover.sources import retail
@@ -187,6 +187,13 @@ def hourly_overall(i: ReportInputs, p: ReportParams) -> DataFrame:
     return compare.hourly_report(i, p).orderBy("cluster", "pos")
 
 
+@query
+def hourly_rollup(i: ReportInputs, p: ReportParams) -> DataFrame:
+    """The hourly report with the union cluster rolled up from its members' sums."""
+    sums = prefix.rolled_up(i.orders, i, p, retail.CLUSTER_PARENTS)
+    return prefix.hourly_report(prefix.running_sums(sums), i, p)
+
+
 @query
 def report_meta(i: ReportInputs, p: ReportParams) -> DataFrame:
     return compare.report_meta(compare.hourly_report(i, p), p)
@@ -241,6 +248,31 @@ def state_hourly(i: ReportInputs, p: ReportParams) -> DataFrame:
     return groups.placed(facts.state_facts(i, p)).withColumnRenamed("grp", "state")
 
 
+def _staged(name: str, nested: bool) -> Query:
+    """All three reports from one stage: hours with averages, cities and states with sums."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = retail.default_params()
+        inputs = (retail.NestedRetailInputs if nested else retail.RetailInputs)(spark, sf_dir, p)
+        found = stage.reports(inputs, p, shared_folder(spark, "order-stage"))
+        hours = {"kind": "'hourly'", "grp": "cast(NULL AS string)", "hr": "nullif(pos, 999)", "dt": f"DATE '{p.today}'"}
+        hours |= {"orders": "total_opd", "bills": "amv", "cdpo": "cdpo_po", "targeted": "targeted_po", "special": "special_po"}
+        frames = [found.hourly().selectExpr("cluster", *aliased(hours))]
+        for kind, rows in (("city", found.city()), ("state", found.state())):
+            sums = {"kind": f"'{kind}'", "grp": "grp", "hr": "hr", "dt": "dt", "orders": "orders", "bills": "cast(NULL AS double)"}
+            sums |= {"cdpo": "cdpo_sum", "targeted": "targeted_sum", "special": "special_sum"}
+            sums |= {"coupon_orders": "coupon_orders", "sessions": "sessions"}
+            frames.append(_plain(rows.selectExpr("cluster", *aliased(sums))))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+    REGISTRY[name] = run
+    return run
+
+
+_staged("all_reports", nested=False)
+_staged("all_reports_nested", nested=True)
+
+
 def _city_sums(i: ReportInputs, p: ReportParams) -> DataFrame:
     return groups.group_hour_sums(facts.city_facts(i, p))
 

@@ -507,6 +507,7 @@ UNION ALL SELECT 'state', '{P.as_of_text}', cluster, grp, {_SUMMARY} FROM state_
 SELECT 'hourly' AS kind, cluster, hr AS name, total_opd AS orders, '{P.as_of_text}' AS as_of FROM report
 UNION ALL SELECT 'city', cluster, grp, tw_orders, '{P.as_of_text}' FROM city_summary
 UNION ALL SELECT 'state', cluster, grp, tw_orders, '{P.as_of_text}' FROM state_summary""",
+    "hourly_rollup": f"SELECT cluster, {_HOURLY}, pos FROM report",
     "incremental_delta": f"SELECT cluster, {_HOURLY}, pos FROM report",
     "incremental_refresh": f"SELECT cluster, {_HOURLY}, pos FROM report",
     "incremental_refresh_steps": f"SELECT cluster, {_HOURLY}, pos FROM report",
@@ -578,8 +579,25 @@ def statement(final: str) -> str:
     return f"WITH {parts}\n{final.strip()}" if parts else final.strip()
 
 
+def _all_reports() -> str:
+    hours = f"""
+SELECT cluster, 'hourly' AS kind, CAST(NULL AS VARCHAR) AS grp, NULLIF(pos, 999) AS hr, {TODAY} AS dt, total_opd AS orders,
+  amv AS bills, cdpo_po AS cdpo, targeted_po AS targeted, special_po AS special,
+  CAST(NULL AS BIGINT) AS coupon_orders, CAST(NULL AS BIGINT) AS sessions
+FROM report"""
+    groups = [
+        f"""
+SELECT cluster, '{kind}', grp, hr, dt, orders, NULL, CAST(cdpo_sum AS DOUBLE), CAST(targeted_sum AS DOUBLE),
+  CAST(special_sum AS DOUBLE), coupon_orders, sessions FROM {kind}_facts"""
+        for kind in ("city", "state")
+    ]
+    return " UNION ALL ".join([hours, *groups])
+
+
 def statements() -> dict[str, str]:
     return {name: statement(final) for name, final in FINAL.items()} | {
         "snapshot_refresh_one": _before_refresh(),
         "cutoff_prefix": _at_clocks(),
+        "all_reports": statement(_all_reports()),
+        "all_reports_nested": statement(_all_reports()),
     }

@@ -31,6 +31,9 @@ CLUSTER_CLASSES = (
     ("tier_next", "class_3"),
 )
 
+# Clusters that consist of others.
+CLUSTER_PARENTS = {"tier_next": ("tier_2", "tier_3")}
+
 # One order in COPY_EVERY is stored twice, and another one again with a changed bill, as
 # an at-least-once feed would do.
 COPY_EVERY = 50
