@@ -1,0 +1,70 @@
+"""Offers of a sliding look-back against the events of the whole look-back."""
+
+from dataclasses import replace
+from datetime import timedelta
+
+import pytest
+from frames import PARAMS, rows
+
+from weekover.operators import lookback, spend
+from weekover.sources import schemas
+
+P = replace(PARAMS, lookback_days=3)
+
+
+def day(k):
+    return replace(P, as_of=P.as_of + timedelta(days=k))
+
+
+def events(spark):
+    found = []
+    for k in range(-6, 6):
+        when = P.today + timedelta(days=k)
+        found += [(1, "T1", when)] if k in (-3, 2) else []
+        found += [(2, "T1", when), (2, "T2", when), (2, "T2", when)] if k == 0 else []
+        found += [(3, "T9", when), (10 + k, "T1", when), (None, "T1", when)]
+    return spark.createDataFrame(found, schemas.OFFER_EVENTS), spark.createDataFrame([("T1",), ("T2",)], schemas.TEMPLATES)
+
+
+def test_successive_days(spark, tmp_path):
+    offers, templates = events(spark)
+    sliding = lookback.SlidingOffers(spark, str(tmp_path))
+    sliding.start(offers, templates, P)
+    for k in range(0, 5):
+        if k:
+            sliding.add_day(offers, templates, day(k))
+            sliding.add_day(offers, templates, day(k))
+        expected = spend.targeted_offers(offers, templates, day(k))
+        found = sliding.targeted(day(k))
+        assert rows(found, "*") == rows(expected, "*") and found.count() == expected.count()
+    # Expired pairs are gone from the table too.
+    assert sliding._table(sliding.log.read()[1]).count() == found.count()
+    sliding.vacuum()
+    assert rows(sliding.targeted(day(4)), "*") == rows(expected, "*")
+
+
+def test_a_day_reads_its_own_events_only(spark, tmp_path):
+    offers, templates = events(spark)
+    offers.write.partitionBy("dt").parquet(str(tmp_path / "events"))
+    stored = spark.read.schema(schemas.OFFER_EVENTS).parquet(str(tmp_path / "events"))
+    sliding = lookback.SlidingOffers(spark, str(tmp_path / "table"))
+    sliding.start(stored, templates, P)
+    # The other days' files can go.
+    kept = stored.where(f"dt = DATE '{day(1).today}'")
+    sliding.add_day(kept, templates, day(1))
+    assert rows(sliding.targeted(day(1)), "*") == rows(spend.targeted_offers(offers, templates, day(1)), "*")
+
+
+def test_days_follow_each_other(spark, tmp_path):
+    offers, templates = events(spark)
+    sliding = lookback.SlidingOffers(spark, str(tmp_path))
+    with pytest.raises(ValueError):
+        sliding.add_day(offers, templates, P)
+    with pytest.raises(LookupError):
+        sliding.targeted(P)
+    sliding.start(offers.limit(0), templates, P)
+    assert sliding.targeted(P).count() == 0
+    with pytest.raises(ValueError):
+        sliding.add_day(offers, templates, day(2))
+    with pytest.raises(LookupError):
+        sliding.targeted(day(1))

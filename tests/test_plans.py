@@ -2,12 +2,13 @@
 
 import re
 from contextlib import contextmanager
+from dataclasses import replace
 
 import pytest
 
 import __spark_entry__ as contract
 from weekover.plans import catalog
-from weekover.operators import compare, facts, filters
+from weekover.operators import compare, facts, filters, spend
 from weekover.sources import retail, schemas, tables
 from weekover.sources.inputs import FrameInputs
 
@@ -30,7 +31,7 @@ def settings(spark, **values):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-EAGER = ("snapshot_", "incremental_")
+EAGER = ("snapshot_", "incremental_", "cutoff_prefix", "all_reports", "hourly_bucketed", "offers_sliding")
 LAZY = sorted(name for name in catalog.REGISTRY if not name.startswith(EAGER))
 
 
@@ -130,3 +131,54 @@ def test_nested_orders_are_scanned_twice_at_most(spark, tmp_path):
         text = plan(report(stored, PARAMS))
         scans = len(re.findall(r"FileScan parquet \[[^\]]*order_id", text))
         assert scans - text.count("ReusedExchange") <= 2, report.__name__
+
+
+def test_bucketed_orders_are_not_shuffled(spark, tmp_path):
+    """Rows of an order meet each other and their lines as they are stored; so do they when nothing is broadcast."""
+    p = retail.default_params()
+    i = retail.RetailInputs(spark, SF_DIR, p)
+    stored = {
+        name: tables.write_bucketed(rows, f"{name}_{tmp_path.name}", str(tmp_path / name), 4)
+        for name, rows in (("orders", i.orders), ("lines", i.offer_lines))
+    }
+    flat = FrameInputs(**{n: getattr(i, n) for n in FrameInputs.__dataclass_fields__})
+    bucketed = replace(flat, orders=stored["orders"], offer_lines=stored["lines"])
+    expected = facts.hourly_orders(flat, p)
+    weights = spend.offer_weights(i.offer_events, i.templates, p)
+    for merged in (False, True):
+        with settings(spark, **tables.BUCKETED):
+            rows = facts.distinct_rows(filters.comparable_orders(bucketed.orders, bucketed.cluster_dim, p))
+            joined = facts.order_level(rows, bucketed, p)
+            if merged:
+                lines = spend.order_spend(bucketed.offer_lines, weights).hint("merge")
+                joined = joined.drop("spend_units").join(lines, ["order_id", "dt"], "left")
+            else:
+                assert sorted(map(str, joined.collect())) == sorted(map(str, expected.collect()))
+            text = plan(joined)
+        shuffled = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
+        assert all("order_id" not in keys for keys in shuffled), shuffled
+        assert text.count("Bucketed: true") >= 2 and ("SortMergeJoin" in text or not merged)
+
+
+def test_lines_are_pruned_by_the_offers(spark, tmp_path):
+    """Spark's runtime filter on the line scan comes from stored weights, not from their aggregate."""
+    p = retail.default_params()
+    i = retail.RetailInputs(spark, SF_DIR, p)
+    i.offer_lines.select("order_id", "dt", "offer_id", "discount").write.partitionBy("dt").parquet(str(tmp_path / "lines"))
+    lines = spark.read.schema(schemas.OFFER_LINES).parquet(str(tmp_path / "lines"))
+    weights = spend.stored_weights(spend.offer_weights(i.offer_events, i.templates, p), str(tmp_path / "weights"))
+    found = {}
+    for on in ("true", "false"):
+        runtime = {
+            "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.optimizer.runtime.bloomFilter.enabled": on,
+            "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+        }
+        with settings(spark, **runtime):
+            spent = spend.order_spend(spend.compared_lines(lines, i.orders, p), weights)
+            text = spent._jdf.queryExecution().optimizedPlan().toString()
+            found[on] = sorted(map(str, spent.collect()))
+        filtered = [x for x in text.splitlines() if "might_contain" in x]
+        assert any("dt#" in x and " IN (" in x for x in filtered) == (on == "true")
+    assert found["true"] == found["false"] != []

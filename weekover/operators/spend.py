@@ -45,12 +45,14 @@ def explode_offers(rows: DataFrame, keys: Sequence[str] = ORDER_KEY, outer: bool
     )
 
 
-def listed_events(offer_events: DataFrame, templates: DataFrame, params: ReportParams) -> DataFrame:
+def listed_events(
+    offer_events: DataFrame, templates: DataFrame, params: ReportParams, others: Sequence[str] = ()
+) -> DataFrame:
     """(offer, template) events of the listed templates within the look-back, none after today."""
     return (
         offer_events.where(F.col("dt").between(F.lit(params.lookback_start), F.lit(params.today)))
         .join(templates, "template_id", "left_semi")
-        .select("offer_id", "template_id")
+        .select("offer_id", "template_id", *others)
     )
 
 
@@ -72,6 +74,17 @@ def offer_weights(offer_events: DataFrame, templates: DataFrame, params: ReportP
     )
 
 
+def stored_weights(weights: DataFrame, path: str) -> DataFrame:
+    """The weights as a written table, for line tables of many times its size.
+
+    Spark builds a runtime filter from a filtered scan, not from an aggregate. The filter is
+    true for all rows; with it Spark can prune the lines by the offers before it shuffles
+    them (``spark.sql.optimizer.runtime.bloomFilter``, by the sizes set there).
+    """
+    weights.write.parquet(path)
+    return weights.sparkSession.read.schema(weights.schema).parquet(path).where("templates > 0")
+
+
 def weighted_lines(lines: DataFrame, weights: DataFrame) -> DataFrame:
     """Lines of targeted offers with their spend in units.
 

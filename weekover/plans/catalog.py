@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +15,10 @@ from pyspark.sql import types as T
 from weekover.functions import labels, numeric
 from weekover.functions.numeric import aliased
 from weekover.metrics import GROUP_METRICS
-from weekover.operators import compare, facts, filters, groups, layout, monitor, prefix, snapshot, spend, stage, traffic
+from weekover.operators import compare, facts, filters, groups, layout, lookback, monitor, prefix, snapshot, spend, stage, traffic
 from weekover.params import ReportParams
 from weekover.session import shared_folder
-from weekover.sources import retail
+from weekover.sources import retail, tables
 from weekover.sources.inputs import ReportInputs
 from weekover.sources.schemas import MONEY_COLUMNS
 from weekover.streaming import delta, refresh
@@ -30,6 +32,8 @@ PICKED_HOURS = (10, 11, 12)
 SORT_COLUMN = "d_special"
 TIERS = {"critical": 4, "warning": 2}
 REFRESHED_CLUSTER = "Tier 2"
+SLIDING_DAYS = (5, 4, 3, 2)
+ORDER_BUCKETS = 8
 STEP_TIMES = ((11, 0), (13, 0), (14, 45))
 
 
@@ -127,6 +131,23 @@ def targeted_offers(i: ReportInputs, p: ReportParams) -> DataFrame:
     return spend.targeted_offers(i.offer_events, i.templates, p)
 
 
+@table_query
+def offers_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targeted offers of successive days, each from the table of the day before and its own events."""
+    now = retail.default_params()
+    events = retail.RetailInputs(spark, sf_dir, now).offer_events
+    templates = retail.RetailInputs(spark, sf_dir, now).templates
+    days = [replace(now, as_of=now.as_of - timedelta(days=back)) for back in SLIDING_DAYS]
+    sliding = lookback.SlidingOffers(spark, shared_folder(spark, "sliding-offers"))
+    first, *following = days
+    sliding.start(events, templates, first)
+    found = []
+    for p in following:
+        sliding.add_day(events, templates, p)
+        found.append(sliding.targeted(p).withColumn("day", F.lit(p.today)))
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def targeted_spend(i: ReportInputs, p: ReportParams) -> DataFrame:
     weights = spend.offer_weights(i.offer_events, i.templates, p)
@@ -194,6 +215,18 @@ def hourly_rollup(i: ReportInputs, p: ReportParams) -> DataFrame:
     return prefix.hourly_report(prefix.running_sums(sums), i, p)
 
 
+@table_query
+def hourly_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly report over orders and lines that are stored by day and in buckets of orders."""
+    p = retail.default_params()
+    inputs = retail.RetailInputs(spark, sf_dir, p)
+    stored = {}
+    for name, rows in (("orders", inputs.orders), ("offer_lines", inputs.offer_lines)):
+        path = shared_folder(spark, name)
+        stored[name] = tables.write_bucketed(rows, f"{name}_{uuid.uuid4().hex}", path, ORDER_BUCKETS)
+    return compare.hourly_report(replace(refresh.with_lines(inputs, stored["offer_lines"]), orders=stored["orders"]), p)
+
+
 @query
 def report_meta(i: ReportInputs, p: ReportParams) -> DataFrame:
     return compare.report_meta(compare.hourly_report(i, p), p)

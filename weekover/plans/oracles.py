@@ -508,6 +508,11 @@ SELECT 'hourly' AS kind, cluster, hr AS name, total_opd AS orders, '{P.as_of_tex
 UNION ALL SELECT 'city', cluster, grp, tw_orders, '{P.as_of_text}' FROM city_summary
 UNION ALL SELECT 'state', cluster, grp, tw_orders, '{P.as_of_text}' FROM state_summary""",
     "hourly_rollup": f"SELECT cluster, {_HOURLY}, pos FROM report",
+    "hourly_bucketed": f"SELECT cluster, {_HOURLY}, pos FROM report",
+    "offers_sliding": f"""
+SELECT DISTINCT CAST({TODAY} - back AS DATE) AS day, offer_id, template_id
+FROM offer_events, (VALUES {", ".join(f"({back})" for back in catalog.SLIDING_DAYS[1:])}) d(back)
+WHERE dt >= {TODAY} - back - {P.lookback_days} AND dt <= {TODAY} - back AND template_id IN ({TEMPLATES})""",
     "incremental_delta": f"SELECT cluster, {_HOURLY}, pos FROM report",
     "incremental_refresh": f"SELECT cluster, {_HOURLY}, pos FROM report",
     "incremental_refresh_steps": f"SELECT cluster, {_HOURLY}, pos FROM report",

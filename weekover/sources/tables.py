@@ -22,6 +22,32 @@ def write_by_day(df: DataFrame, path: str) -> None:
     )
 
 
+# Setting of sessions that join bucketed tables: orders meet their lines by id and day, and
+# being stored by id is enough. It lets other joins use such partitionings too, which AQE
+# cannot split, so it does not belong into sessions without such tables.
+BUCKETED = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """Store a daily table by day, and inside a day in ``buckets`` sorted by order id.
+
+    Tables of the same number of buckets join on the order id, and group by it, as they are
+    stored. All rows of an order are read by one task, so an order that holds a large part of
+    a day takes as long as that part does; where that can be, ``write_by_day`` is the form
+    whose shuffles are split. ``name`` is the table's name in the session's catalog.
+    """
+    (
+        df.repartition(buckets, "order_id")
+        .write.mode("overwrite")
+        .partitionBy("dt")
+        .bucketBy(buckets, "order_id")
+        .sortBy("order_id")
+        .option("path", path)
+        .saveAsTable(name)
+    )
+    return df.sparkSession.table(name)
+
+
 def read_inputs(spark: SparkSession, root: str) -> FrameInputs:
     """Read the canonical tables below ``root`` with nested offers.
 
