@@ -48,10 +48,40 @@ def test_nested_and_odd(spark):
     pages = spark.createDataFrame(list(enumerate(found)), "page_id long, url string").withColumn("RULE", F.lit("x")).withColumn("key", F.lit(0))
     frame = spark.createDataFrame([*rules, rules[1], ("b", "/x/y", "block"), ("b", None, None)], RULES)
     rules[2] = ("b", "/x/y", "block")
-    rows = urls.judged(pages, frame, salts=3)
-    assert rows.columns == ["page_id", "url", "key", "host", "path", "rule", "verdict"]
-    for r in rows.collect():
-        assert tuple(r)[3:] == slow_verdict(r.url, rules), r
+    for buckets in (None, 2, 7, 60):
+        rows = urls.judged(pages, frame, buckets=buckets)
+        assert rows.columns == ["page_id", "url", "key", "host", "path", "rule", "verdict"]
+        for r in rows.collect():
+            assert tuple(r)[3:] == slow_verdict(r.url, rules), r
+
+
+def test_drawn_rules(spark):
+    """Hosts nested in hosts and paths in paths, marks of the key inside labels, a popular host, very long urls."""
+    random.seed(15)
+    label = lambda: random.choice(["a", "b", "ab", "a\x01b", "b\x00", "\x02a", "\U0010ffff", "é", ""])
+    host = lambda n: ".".join(label() for _ in range(random.randint(1, n)))
+    path = lambda n: "".join(random.choice(["/", "x", "é", "\U0010ffff"]) for _ in range(random.randint(0, n)))
+    rules = list({(h, p): (h, p, random.choice(["allow", "block"])) for h, p in ((host(3), path(3)) for _ in range(80))}.values())
+    found = [f"x://{host(4)}/{path(5)}" for _ in range(500)] + [f"x://b.a/{k}" for k in range(300)]
+    found += ["x://a/" + "y" * 100_000, "x://" + "a." * 20_000 + "b/x"]
+    pages = spark.createDataFrame(list(enumerate(found)), "page_id long, url string")
+    frame = spark.createDataFrame(rules, RULES)
+    for buckets in (3, 40):
+        for r in urls.judged(pages, frame, buckets=buckets).collect():
+            assert tuple(r)[2:] == slow_verdict(r.url, rules), r
+
+
+def test_buckets_share_a_popular_host(spark):
+    found = [(f"x://b.a/{k}", "b.a", f"/{k}") for k in range(4000)] + [("x://c/", "c", "/")]
+    each = spark.createDataFrame(found, "url string, host string, path string")
+    keyed = each.withColumn("key", F.concat(urls.reversed_host("host"), F.lit(urls.END), F.hex(F.xxhash64("url"))))
+    bounds = urls.bounds_of(keyed, 10)
+    assert len(bounds) == 9
+    bucket = urls._bucket(bounds, lambda b: b <= F.col("key"))
+    sizes = {r.bucket: r["count"] for r in keyed.select(bucket.alias("bucket"), "key").groupBy("bucket").count().collect()}
+    assert max(sizes.values()) < 1200 and set(sizes) == set(range(10))
+    for r in keyed.select(bucket.alias("bucket"), "key").collect():
+        assert r.bucket == sum(b.encode() <= r.key.encode() for b in bounds)
 
 
 def test_empty_tables(spark):
