@@ -99,3 +99,42 @@ def test_cuts_keep_the_smallest_capacity(spark):
         found = sharding.cuts(runs, n_shards).groupBy("shard").agg(F.sum("size").alias("size")).collect()
         assert max(r["size"] for r in found) == slow_capacity(sizes, n_shards)
         assert sorted(r.shard for r in found) == list(range(min(n, n_shards)))
+
+
+def all_groups(docs):
+    """Every group as a run of its own, in the order of hashes."""
+    rows = sharding.sized(docs, "doc_id", "text").groupBy("spot").agg(F.sum("size").alias("size"))
+    order = F.col("spot").bitwiseXOR(F.expr("shiftleft(-1L, 63)"))
+    return rows.select(order.alias("run"), F.lit(64).cast("long").alias("part"), "size")
+
+
+def assert_as_over_groups(spark, docs, n_shards):
+    found = defaultdict(int)
+    for r in sharding.shards(docs, n_shards).collect():
+        found[r.shard] += r.size
+    expected = defaultdict(int)
+    for r in sharding.cuts(all_groups(docs), n_shards).collect():
+        expected[r.shard] += r.size
+    assert found == expected
+
+
+def test_as_the_plain_search_over_groups(spark, monkeypatch):
+    """With few runs at first, dividing them ends where the search over all groups does."""
+    random.seed(17)
+    monkeypatch.setattr(sharding, "RUN_BITS", 3)
+    for n, n_shards in ((400, 5), (400, 40), (60, 40), (900, 13)):
+        texts = [(i, f"{i} " + "x" * random.choice([0, 5, 50, random.randint(0, 900)])) for i in range(n)]
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+        assert_as_over_groups(spark, docs, n_shards)
+
+
+def test_as_the_plain_search_beside_a_large_group(spark, monkeypatch):
+    random.seed(19)
+    monkeypatch.setattr(sharding, "RUN_BITS", 4)
+    texts = [(i, f"{i} " + "x" * random.randint(0, 300)) for i in range(500)] + [(900 + i, "copy" * 40) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    assert_as_over_groups(spark, docs, 12)
+
+
+def test_table_as_the_plain_search(spark, documents):
+    assert_as_over_groups(spark, documents, 40)

@@ -9,14 +9,17 @@ shard is filled to an equal share of the bytes that are left, as far as the shar
 can hold the rest, and no shard stays empty while there are groups for it.
 
 The order is summed up by the leading bits of the hash into at most ``2**RUN_BITS`` runs
-of whole groups, which is all that the search needs; runs near a cut are then divided by
-the next bits and the search is repeated, so cuts fall between single groups. The search
-runs as one SQL expression over these bounded arrays. Rows never meet by shard or by group:
-a row's slot is the count of rows in the slots' classes before its own, plus its place in
-its class.
+of whole groups. Runs that decide something are divided by the next bits and the search is
+repeated, until each of them is a single group: the runs on both sides of a cut, those that
+do not fit at one byte below the level, and those above it. Then neither the level nor the
+cuts would differ if every group were a run. The search runs as one SQL expression over these
+arrays, which hold ``2**RUN_BITS`` entries and as many again for each divided run, a few for
+each shard. Rows never meet by shard or by group: a row's slot is the count of rows in the
+slots' classes before its own, plus its place in its class.
 
 Only DataFrame functions are used. A NULL text has no bytes and is a group of its own
-with the empty text. NULL and repeated ids are rows like any other.
+with the empty text; long texts count whole. NULL and repeated ids are rows like any other.
+An empty table gives an empty result. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 
 from weekover.llm.common import lookup, written
 
-# Bits of the text hash that make a run; the runs near a cut are divided by as many again.
-RUN_BITS = 12
+# Bits of the text hash that make a run; a run is divided by as many again.
+RUN_BITS, HASH_BITS = 12, 64
 # Every row counts as much beside its text's bytes.
 ROW_BYTES = 16
 # Classes that the rows of a run are dealt to, so that no run is numbered by one task.
@@ -43,7 +46,26 @@ def sized(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         (F.octet_length(body) + ROW_BYTES).cast("bigint").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
         F.xxhash64(body).alias("spot"),
-    ).withColumn("run", F.shiftrightunsigned("spot", 64 - RUN_BITS))
+    )
+
+
+def _beginning(bits: int) -> str:
+    """The hash with all but its leading bits zero."""
+    return f"shiftleft(shiftrightunsigned(spot, {HASH_BITS - bits}), {HASH_BITS - bits})"
+
+
+def in_runs(rows: DataFrame, divided: dict[int, list[int]]) -> DataFrame:
+    """Adds the run of every row: its beginning in the order of hashes, and its bits as ``part``.
+
+    ``divided`` has the beginnings of the runs that are divided, by their bits.
+    """
+    depths = [min(bits, HASH_BITS) for bits in range(RUN_BITS, HASH_BITS + RUN_BITS, RUN_BITS)]
+    part = F.lit(depths[-1])
+    for bits in reversed(depths[:-1]):
+        part = F.when(~F.expr(_beginning(bits)).isin(divided.get(bits, [])), F.lit(bits)).otherwise(part)
+    beginning = F.expr("CASE part " + " ".join(f"WHEN {bits} THEN {_beginning(bits)}" for bits in depths) + " END")
+    # With its first bit turned a hash is in the same order as a signed number.
+    return rows.withColumn("part", part.cast("bigint")).withColumn("run", beginning.bitwiseXOR(F.expr("shiftleft(-1L, 63)")))
 
 
 def runs_of(groups: DataFrame) -> DataFrame:
@@ -83,8 +105,15 @@ def capacity(runs: DataFrame, n_shards: int) -> int:
 
 
 def cuts(runs: DataFrame, n_shards: int) -> DataFrame:
-    """Shard of every run, and whether it touches a cut."""
+    """Shard of every run, and whether it decides something: touches a cut, or keeps the level from being lower."""
     level, _ = _searched(runs, n_shards)
+    # Where shards begin at one byte less; a shard too many is enough to tell.
+    lower = (
+        "aggregate(runs, struct(0 AS i, 0L AS used, CAST(array() AS array<int>) AS at), (a, r) -> "
+        f"if(a.used > 0 AND a.used + r.size > {level - 1}L, struct(a.i + 1 AS i, r.size AS used, "
+        f"if(size(a.at) > {n_shards}, a.at, array_append(a.at, a.i)) AS at), "
+        "struct(a.i + 1 AS i, a.used + r.size AS used, a.at AS at)), a -> a.at)"
+    )
     # Where the shards begin that greedy filling makes from the end, the last one first:
     # a shard with k shards behind it may not end before the k-th of these places.
     back = (
@@ -116,29 +145,39 @@ def cuts(runs: DataFrame, n_shards: int) -> DataFrame:
         f"aggregate(runs, {start}, (a, r) -> if({ends}, struct(a.i + 1 AS i, {passed}, {next_shard}), "
         f"struct(a.i + 1 AS i, {passed}, {same_shard})), a -> a.at)"
     )
-    each = listed(runs).selectExpr("runs", f"{back} AS back", f"{small} AS small", f"{alone} AS alone")
-    each = each.selectExpr(f"{begun} AS at", "runs").selectExpr("at", "posexplode(runs) AS (i, r)")
-    return each.selectExpr(
-        "r.*", "size(filter(at, c -> c <= i)) AS shard", "exists(at, c -> c = i OR c = i + 1) AS at_cut"
-    )
+    each = listed(runs).selectExpr("runs", f"{back} AS back", f"{small} AS small", f"{alone} AS alone", f"{lower} AS lower")
+    each = each.selectExpr(f"{begun} AS at", "runs", "lower").selectExpr("at", "lower", "posexplode(runs) AS (i, r)")
+    decides = f"exists(at, c -> c = i OR c = i + 1) OR array_contains(lower, i) OR r.size > {level}L"
+    return each.selectExpr("r.*", "size(filter(at, c -> c <= i)) AS shard", f"{decides} AS decides")
 
 
 def shards(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: (doc_id, size, text_crc32, shard, slot).
 
-    The largest shard is as small as whole runs allow, and the others share what is beside
+    The largest shard is as small as whole groups allow, and the others share what is beside
     groups too large for an equal share. Slots of a shard run from 0 without gaps. Some
     shards stay empty if there are too few groups.
     """
     rows = written(sized(docs, doc_id, text), "sized")
-    coarse = rows.groupBy("run").agg(F.sum("size").alias("size")).withColumn("part", F.lit(0).cast("bigint"))
-    touched = written(cuts(coarse, n_shards).where("at_cut").select("run"), "touched-runs")
-    next_bits = F.shiftrightunsigned(F.shiftleft("spot", RUN_BITS), 64 - RUN_BITS)
-    # At most two runs per cut.
-    divided = rows.join(F.broadcast(touched.withColumn("near", F.lit(True))), "run", "left")
-    divided = divided.withColumn("part", F.when(F.col("near"), next_bits).otherwise(F.lit(0).cast("bigint")))
-    divided = divided.withColumn("class", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(CLASSES)))
-    sizes = divided.groupBy("run", "part", "class").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    groups = written(rows.groupBy("spot").agg(F.sum("size").alias("size")), "groups")
+    divided: dict[int, list[int]] = {}
+    while True:
+        runs = in_runs(groups, divided).groupBy("run", "part").agg(
+            F.sum("size").alias("size"), F.count("*").alias("n_groups"), F.min("spot").alias("spot")
+        )
+        runs = written(runs, "runs")
+        found = cuts(runs.select("run", "part", "size"), n_shards).where("decides").select("run", "part")
+        # A few runs for each shard.
+        open_runs = runs.where("n_groups > 1").join(found, ["run", "part"], "left_semi").select("part", "spot").collect()
+        if not open_runs:
+            break
+        for row in open_runs:
+            left = HASH_BITS - row["part"]
+            beginning = (row["spot"] >> left) << left
+            divided.setdefault(row["part"], []).append(beginning)
+    classed = rows.withColumn("class", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(CLASSES)))
+    divided_rows = in_runs(classed, divided)
+    sizes = divided_rows.groupBy("run", "part", "class").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     sizes = written(sizes, "run-sizes")
     placed = cuts(runs_of(sizes), n_shards).select("run", "part", "shard")
     placed = written(placed, "placed-runs")
@@ -146,7 +185,7 @@ def shards(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "
     classes = sizes.join(placed, ["run", "part"]).selectExpr(
         "run", "part", "class", "shard", f"coalesce({before}, 0L) AS before"
     )
-    numbered = divided.selectExpr(
+    numbered = divided_rows.selectExpr(
         "*", "row_number() OVER (PARTITION BY run, part, class ORDER BY spot, doc_id) - 1 AS place"
     )
     return lookup(numbered, classes, ["run", "part", "class"], "inner").select(
