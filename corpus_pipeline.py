@@ -1,7 +1,13 @@
 """Documents through five operators: quality, toxicity, near copies, mixing, tokens.
 
 Every stage is written as Parquet and read again as the documents of the next one. All
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``, extra ones too, whatever their names; the
+last returns id, ids and digests.
+
+NULL and empty texts fail the quality rules, so they go first. Texts are read whole in every
+stage. Copies of a text, and rows that repeat, are near copies: the one with the smallest id
+stays. NULL sources are a source, NULL ids are kept until the last stage. Empty tables, and
+labels without rows or of one kind only, pass through every stage.
 """
 
 from __future__ import annotations

@@ -40,7 +40,7 @@ def test_odd_texts(spark):
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)]
     rows += [(None, None, None, "a"), (None, None, "assistant", None), (2, 1, "assistant", "same"), (2, 1, "assistant", "same")]
     rows += [(3, 0, "us<|im_sep|>er\n", "q"), (3, 1, "assistant", "")]
-    frame = spark.createDataFrame(rows, SCHEMA).withColumn("PARTS", F.lit("x")).drop("PARTS")
+    frame = spark.createDataFrame(rows, SCHEMA).withColumn("PARTS", F.lit("x")).withColumn("Formatted", F.lit(1))
     assert as_found(queries.chat_digests(frame)) == expected(rows)
     assert queries.chat_digests(spark.createDataFrame([], SCHEMA)).count() == 0
 

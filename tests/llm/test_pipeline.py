@@ -71,3 +71,45 @@ def test_mix_and_tokens(stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert Counter(map(str, corpus_pipeline.run(spark, SF).collect())) == Counter(map(str, stages["byte_bpe"]))
+
+
+def odd_documents():
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
+    text = lambda k: " ".join(words[(k * 7 + j * (k % 5 + 1)) % len(words)] + str(k * j) for j in range(25))
+    rows = [(1, None, "en", "web", 0), (2, "", "en", "web", 0), (3, " \n", None, None, None)]
+    rows += [(10 + k, text(k), "en", ["web", "books", None][k % 3], 1) for k in range(12)]
+    rows += [(40, text(3), "en", "web", 1), (41, text(3), "en", "web", 1), (13, text(3), "en", "web", 1)]
+    rows += [(None, text(77), "de", None, 1), (50, " ".join(f"w{j}" for j in range(40_000)), "en", "books", 1)]
+    return rows
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def run_stages(spark, docs, folder):
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, written(stage(spark, docs, folder), f"odd-{name}")
+        yield name, before, docs
+
+
+def test_odd_documents(spark, tmp_path):
+    labels = [(10, 1, 0), (11, 0, 1), (12, None, None), (None, 1, 1), (10, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(odd_documents(), SCHEMA)
+    docs = docs.selectExpr("*", "1 AS SCORE", "2 AS s", "3 AS Draw", "4 AS tokens", "5 AS component")
+    kept = {}
+    for name, before, after in run_stages(spark, docs, str(tmp_path)):
+        kept[name] = after.collect()
+        if name != "byte_bpe":
+            assert after.columns == docs.columns
+    texts = {r.doc_id: r.text for r in kept["quality_rules"]}
+    assert not {1, 2, 3} & set(texts) and {None, 50, 40, 41, 13} <= set(texts)
+    assert [r.doc_id for r in kept["simhash_dedup"] if r.text == texts[40]] == [13]
+    assert Counter(tuple(r)[:4] for r in kept["byte_bpe"]) == Counter((r.doc_id, *digests(r.text)) for r in kept["mixing"])
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, _, after in run_stages(spark, docs, str(tmp_path)):
+        assert after.count() == 0

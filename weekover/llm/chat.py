@@ -15,7 +15,8 @@ back, whatever it contains.
 Only DataFrame functions are used. A conversation is one string by definition, so one row
 holds all its turns. Turns are in order of ``turn`` (NULL first), then role and text;
 repeated rows are repeated turns. NULL texts, roles and parts are empty; a NULL ``conv_id``
-is a conversation like any other.
+is a conversation like any other. Texts of any length are kept whole. An empty table gives
+no conversation. Columns beside the turn's own are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ executors give the same mix.
 
 Only DataFrame functions are used. NULL texts have size 0. A NULL source is a source like
 any other and comes last. Rows with the same id and text draw alike
-and are taken together.
+and are taken together. Texts count whole, whatever their length. An empty table gives an
+empty mix. ``mix`` leaves other columns out; ``repeated`` passes them all through.
 """
 
 from __future__ import annotations

@@ -12,6 +12,11 @@ tree above them stores for every run of the order the bits that its members shar
 runs are compared before their members are: bits that both share and that differ add up
 while descending, and pairs of runs beyond the distance are dropped whole, as are runs
 that are connected already. A node yields a spanning forest of its links, never all pairs.
+
+NULL and empty texts have the fingerprint zero, which links like any other. Texts are read
+whole, whatever their length. Repeated rows and equal texts share a fingerprint and so a
+group, and a NULL id is kept but names none. An empty table gives an empty result. Other
+columns pass through ``deduplicated`` and are left out of ``near_duplicates``.
 """
 
 from __future__ import annotations

@@ -17,7 +17,9 @@ on these small sets is numpy on the driver. Scoring covers all documents.
 Labels are learned only from rows outside the held-out fold, the crc32 of the id in
 ``FOLDS``; ids, labels, languages and sources are never features. Empty and NULL texts
 have no feature and get the score of the bias. Without known toxic documents every score
-is zero. Rows without an id are scored, but not learned from.
+is zero. Rows without an id are scored, but not learned from. Texts are read whole, whatever
+their length; repeated texts score alike and are learned from once. An empty table gives an
+empty one. Other columns pass through; one with the name of the score is replaced.
 """
 
 from __future__ import annotations

@@ -14,7 +14,10 @@ is inflated to find its end.
 ``archive`` and ``restored`` write and read pages, storing each payload once.
 
 NULL ids become the id ``null``, NULL texts empty payloads, and NULL urls no header.
-Control characters in header values are percent-encoded.
+Control characters in header values are percent-encoded. Payloads of any length are stored
+whole. Repeated pages are records each; of equal payloads the one with the largest id is
+stored, the first of them if ids repeat. An empty table gives an archive without records.
+Only id, url and text are archived; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
