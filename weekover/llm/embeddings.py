@@ -2,11 +2,12 @@
 
 On unit vectors a cosine of at least ``threshold`` is a distance of at most epsilon. The
 vectors are turned to their principal axes, which keeps distances, and sorted by the cells
-of a grid of that width on the leading axes. The sorted sequence is cut into blocks. Two
-blocks whose bounding boxes are further apart than epsilon are skipped; the others meet in
-a task, which joins the two sequences recursively: intervals that are provably too far
-apart are dropped whole, the others halved, and pairs of short intervals compared, first
-on the leading axes alone and then by the cosine in double precision.
+of a grid of that width on the leading axes. The sorted sequence is cut into large blocks. Two
+blocks whose bounding boxes are further apart than epsilon are skipped; each other pair is
+a tile that one task joins, recursively: intervals that are provably too far apart are
+dropped whole, the others halved, and pairs of short intervals compared, first on the
+leading axes alone and then by the cosine in double precision. A block meets itself where it
+lies, and travels once for each tile; the boxes meet on the cells of three axes.
 
 Equal vectors are taken once with their count. A task returns link counts and a spanning
 forest, never the pairs. The axes are fitted on a bounded sample; they only decide how much
@@ -14,13 +15,15 @@ is skipped, not what is found.
 
 Vectors that are NULL, empty, zero, or hold NULL or non-finite components link with
 nothing, and so do vectors of different lengths. Rows that share an id are rows like any
-other; a NULL id is kept and names no component.
+other; a NULL id is kept and names no component. Vectors of any length are compared whole.
+An empty table gives an empty result, and other columns are left out.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,11 @@ from weekover.llm.simhash import _union
 
 # Vectors the axes are fitted on, and leading axes of the grid.
 SAMPLE, GRID_AXES = 4096, 6
-# Vectors of a block and of the shortest intervals, and axes compared at first.
-BLOCK, SHORT, FIRST_AXES = 4096, 128, 16
+# Most vectors and numbers of a block, vectors of the shortest intervals, and axes compared
+# at first. A task holds two blocks.
+BLOCK, BLOCK_NUMBERS, SHORT, FIRST_AXES = 1 << 14, 1 << 20, 128, 16
+# Axes whose cells blocks meet on.
+MEETING_AXES = 3
 # Slack of the comparisons that only skip: single precision is far finer than this.
 SLACK = 1e-4
 
@@ -89,9 +95,19 @@ def _with_cells(vectors: DataFrame, axes: dict[int, np.ndarray], epsilon: float)
 
 
 BLOCKS = (
-    "block long, length int, nodes binary, vectors binary, counts binary, firsts array<long>, "
+    "block long, length int, single boolean, nodes binary, vectors binary, counts binary, firsts array<long>, "
     "low array<double>, high array<double>"
 )
+PARTS = ("block", "single", "nodes", "vectors", "counts")
+
+
+def _rows(length: int, size: int) -> int:
+    """Vectors of a block of that length."""
+    return max(1, min(size, BLOCK_NUMBERS // length))
+
+
+def _numbers(data: bytes, single: bool, rows: int) -> np.ndarray:
+    return np.frombuffer(data, np.float32 if single else np.float64).reshape(rows, -1).astype(np.float64)
 
 
 def _cut(axes_sent, size: int):
@@ -101,11 +117,16 @@ def _cut(axes_sent, size: int):
     def block(rows: list[tuple], number: int) -> dict:
         vectors = np.array([r[0] for r in rows], float)
         turned = _turned(vectors, axes_sent.value)
+        # Half as long where single precision holds the same numbers.
+        with np.errstate(over="ignore"):
+            short = vectors.astype(np.float32)
+        single = bool((short == vectors).all())
         return {
             "block": number,
             "length": vectors.shape[1],
+            "single": single,
             "nodes": (number * size + np.arange(len(rows), dtype=np.int64)).tobytes(),
-            "vectors": vectors.tobytes(),
+            "vectors": (short if single else vectors).tobytes(),
             "counts": np.array([r[1] for r in rows], np.int64).tobytes(),
             "firsts": [r[2] for r in rows],
             "low": turned.min(axis=0).tolist(),
@@ -117,7 +138,7 @@ def _cut(axes_sent, size: int):
         number, held = TaskContext.get().partitionId() << 24, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (len(held) == size or len(held[0][0]) != len(row[0])):
+                if held and (len(held) >= _rows(len(row[0]), size) or len(held[0][0]) != len(row[0])):
                     yield pa.RecordBatch.from_pylist([block(held, number)], schema=schema)
                     number, held = number + 1, []
                 held.append(row)
@@ -133,7 +154,7 @@ class _Sequence:
     def __init__(self, row: dict, side: str, axes: dict[int, np.ndarray]):
         self.nodes = np.frombuffer(row[f"nodes_{side}"], np.int64)
         self.counts = np.frombuffer(row[f"counts_{side}"], np.int64)
-        self.vectors = np.frombuffer(row[f"vectors_{side}"], np.float64).reshape(len(self.nodes), -1)
+        self.vectors = _numbers(row[f"vectors_{side}"], row[f"single_{side}"], len(self.nodes))
         self.units = _units(self.vectors)
         n = self.units.shape[1]
         self.turned = self.units @ axes[n] if n in axes else self.units
@@ -187,13 +208,13 @@ def _join(a: _Sequence, b: _Sequence, same: bool, threshold: float, found: list[
 
 
 def _joined(axes_sent, threshold: float):
-    """Pairs of blocks to (node, links, root): links counted with copies, root within the pair."""
+    """Blocks, or pairs of them, to (node, links, root): links counted with copies, root within the pair."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
-                same = row["block_a"] == row["block_b"]
+                same = "block_b" not in row
                 a = _Sequence(row, "a", axes_sent.value)
                 b = a if same else _Sequence(row, "b", axes_sent.value)
                 shift = 0 if same else len(a.nodes)
@@ -220,7 +241,7 @@ def _unpacked(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 nodes = np.frombuffer(row["nodes"], np.int64)
-                values = pa.array(np.frombuffer(row["vectors"], np.float64))
+                values = pa.array(_numbers(row["vectors"], row["single"], len(nodes)).ravel())
                 offsets = pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * row["length"])
                 columns = [
                     pa.array(nodes),
@@ -231,28 +252,33 @@ def _unpacked(blocks: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "vector", "n", "first"])
 
     return map_arrow(
-        blocks.select("nodes", "vectors", "counts", "firsts", "length"), run, "node long, vector array<double>, n long, first long"
+        blocks.select("nodes", "vectors", "counts", "firsts", "length", "single"), run, "node long, vector array<double>, n long, first long"
     )
 
 
 def block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
-    """Pairs (block_a, block_b), each once, whose boxes are no further apart than epsilon.
+    """Pairs (block_a, block_b) of different blocks, each once, whose boxes are no further apart than epsilon.
 
-    Blocks meet on the first axis' grid cells: one takes its own, the other the neighbours'
-    too, so no pair of blocks is made that this axis keeps apart.
+    Blocks meet on the cells of the leading axes: one takes its own, the other the
+    neighbours' too, so no pair of blocks is made that one of these axes keeps apart.
     """
-    cell = lambda name, shift: F.floor(F.col(name)[0] / epsilon).cast("int") + shift
+
+    def cells(rows: DataFrame, more: int) -> DataFrame:
+        for k in range(MEETING_AXES):
+            low, high = (f"coalesce(CAST(floor(get({end}, {k}) / {epsilon!r}D) AS int), 0)" for end in ("low", "high"))
+            cell = f"explode(sequence({low} - {more}, {high} + {more})) AS cell{k}"
+            rows = rows.selectExpr("*", cell)
+        return rows
+
+    keys = [f"cell{k}" for k in range(MEETING_AXES)]
     ends = blocks.select("block", "length", "low", "high")
-    one = ends.select("*", F.explode(F.sequence(cell("low", 0), cell("high", 0))).alias("cell"))
-    two = ends.select(
-        *(F.col(c).alias(f"{c}_b") for c in ("block", "length", "low", "high")),
-        F.explode(F.sequence(cell("low", -1), cell("high", 1))).alias("cell"),
-    )
+    one = cells(ends, 0)
+    two = cells(ends, 1).withColumnsRenamed({c: f"{c}_b" for c in ("block", "length", "low", "high")})
     gaps = (
         "aggregate(zip_with(zip_with(low, high_b, (l, h) -> l - h), zip_with(low_b, high, (l, h) -> l - h), "
         "(x, y) -> greatest(x, y, 0D)), 0D, (s, g) -> s + g * g)"
     )
-    near = one.join(two, "cell").where("block <= block_b AND length = length_b")
+    near = one.join(two, keys).where("block < block_b AND length = length_b")
     near = near.where(f"{gaps} <= {epsilon * epsilon + SLACK!r}D")
     return near.select(F.col("block").alias("block_a"), "block_b").distinct()
 
@@ -278,16 +304,13 @@ def near_duplicates(
     ordered = celled.repartitionByRange(*order).sortWithinPartitions(*order).select("vector", "n", "first")
     blocks = written(map_arrow(ordered, _cut(sent, block_rows), BLOCKS), "blocks")
     pairs = written(block_pairs(blocks, epsilon), "block-pairs")
-    sides = [
-        blocks.select(*(F.col(c).alias(f"{c}_{s}") for c in ("block", "nodes", "vectors", "counts")))
-        for s in "ab"
-    ]
-    both = pairs.join(sides[0], "block_a").join(sides[1], "block_b")
-    # A row holds two blocks.
-    with batch_rows(spark, 2):
-        joined = map_arrow(both, _joined(sent, threshold), "node long, links long, root long")
-        links = written(joined, "vector-links")
-    with batch_rows(spark, 8):
+    one, two = (blocks.select(*(F.col(c).alias(f"{c}_{s}") for c in PARTS)) for s in "ab")
+    tiles = pairs.join(one, "block_a").join(two, "block_b")
+    # A row holds one block or two.
+    with batch_rows(spark, 1):
+        found = (map_arrow(rows, _joined(sent, threshold), "node long, links long, root long") for rows in (one, tiles))
+        links = written(reduce(DataFrame.union, found), "vector-links")
+    with batch_rows(spark, 1):
         nodes = written(_unpacked(blocks), "vector-nodes")
     members = connected(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     sums = links.groupBy("node").agg(F.sum("links").alias("links"))
