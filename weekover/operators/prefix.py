@@ -221,6 +221,23 @@ def at_clock(running: DataFrame, params: ReportParams) -> tuple[DataFrame, DataF
     return today, _looked_up(before.where("position <= last_second"))
 
 
+def sums_at(sums: DataFrame, params: ReportParams) -> tuple[DataFrame, DataFrame]:
+    """``at_clock`` for one clock, from partials that need not be added up and without running sums."""
+    totals = aliased({name: f"cast(sum({name}) AS {'decimal(38,0)' if name in MONEY else 'bigint'})" for name in MEASURES})
+    sums = sums.where(F.col("cluster").isin(list(params.clusters)))
+    known = sums.where(f"dt = DATE '{params.today}' AND known <= {clock_second(params)}")
+    # A second has rows if those that came are more than those that went.
+    steps = known.groupBy("cluster", "hr", "second").agg(*map(F.expr, totals))
+    latest = f"max(second) FILTER (WHERE n_rows > 0 AND second < {NEVER}) AS latest"
+    today = steps.groupBy("cluster", "hr").agg(F.expr(latest), *map(F.expr, totals)).where("n_rows > 0")
+    seconds = known.groupBy("cluster", "second").agg(F.sum("n_rows").alias("n_rows"))
+    # One row per cluster.
+    cutoff = seconds.where(f"n_rows > 0 AND second < {NEVER}").groupBy("cluster").agg(F.max("second").alias("last_second"))
+    before = sums.where(f"dt = DATE '{params.last_week}'").join(F.broadcast(cutoff), "cluster")
+    reached = before.where("second <= last_second").groupBy("cluster", "hr").agg(*map(F.expr, totals))
+    return today, reached.where("n_rows > 0")
+
+
 def _totals(side: str) -> dict[str, str]:
     totals = {}
     for name in MONEY:
@@ -243,6 +260,11 @@ def paired(today: DataFrame, last_week: DataFrame) -> DataFrame:
 
 def hourly_report(running: DataFrame, inputs: ReportInputs, params: ReportParams) -> DataFrame:
     """The complete hourly report at the clock; of ``inputs`` only traffic and dimensions are read."""
-    today, last_week = at_clock(running, params)
+    return report_at(at_clock(running, params), inputs, params)
+
+
+def report_at(sums: tuple[DataFrame, DataFrame], inputs: ReportInputs, params: ReportParams) -> DataFrame:
+    """The complete hourly report from the sums of today and of last week."""
+    today, last_week = sums
     rates = compare.with_traffic(paired(today, last_week), inputs, params)
     return compare.with_total(rates, filters.cluster_cities(inputs.cluster_dim, params))

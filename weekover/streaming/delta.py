@@ -22,6 +22,7 @@ from __future__ import annotations
 import copy
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,6 +159,9 @@ class DeltaStore:
         if reweighed:
             entry |= {"weights": [self._write(now, "weights")], "replaced": {"weights": state["weights"]}}
             now = self._read("weights", entry["weights"], WEIGHTS)
+        else:
+            # The same weights, so that what is made with them before and now is one plan.
+            now = before
         new = self.rows([landed])
         if state["floor"]:
             new = new.where(f"dt >= DATE '{state['floor']}'")
@@ -170,16 +174,18 @@ class DeltaStore:
             buckets = None
         old = _of_orders(self.rows(state["rows"], buckets), ids)
         all_rows = old.unionByName(new)
-        out = prefix.partials(old, _own_lines(inputs, old), params, before)
-        into = prefix.partials(all_rows, _own_lines(inputs, all_rows), params, now)
-        entry["sums"] = [self._write(prefix.summed(into.unionByName(prefix.negated(out))), "sums", "dt")]
+        # Lines of new rows' orders only are harmless to the stored ones: rows meet their own lines.
+        own = _own_lines(inputs, all_rows)
+        changes = []
+        if state["rows"]:
+            changes.append(prefix.negated(prefix.partials(old, own, params, before)))
+        changes.append(prefix.partials(all_rows, own, params, now))
+        entry["sums"] = [self._write(prefix.summed(reduce(DataFrame.unionByName, changes)), "sums", "dt")]
         return entry
 
     def report(self, inputs: ReportInputs, params: ReportParams) -> DataFrame:
         """The hourly report at the clock; of ``inputs`` only traffic and dimensions are read."""
-        days = F.col("dt").isin(params.today, params.last_week)
-        running = prefix.running_sums(prefix.summed(self.sums().where(days)))
-        return prefix.hourly_report(running, inputs, params)
+        return prefix.report_at(prefix.sums_at(self.sums(), params), inputs, params)
 
     def compact(self, params: ReportParams) -> bool:
         """Merge the runs into one each, without the days before those that ``params`` compares.
