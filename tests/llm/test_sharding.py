@@ -85,6 +85,17 @@ def test_one_large_group_leaves_no_shard_empty(spark):
     assert others[-1] <= 1.2 * rest / 39 and others[0] >= 0.5 * rest / 39
 
 
+def test_classes_grow_with_the_table(spark, monkeypatch):
+    """With more classes the slots are gapless too, and the shards the same."""
+    texts = [(i, "copy" if i % 3 else f"text {i}") for i in range(2000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    few = sharding.shards(docs, 5).collect()
+    monkeypatch.setattr(sharding, "CLASS_ROWS", 10)
+    many = sharding.shards(docs, 5).collect()
+    assert assert_sharded(many, texts, 5) == assert_sharded(few, texts, 5)
+    assert sorted((r.doc_id, r.shard) for r in many) == sorted((r.doc_id, r.shard) for r in few)
+
+
 def test_even_groups_fill_all_shards(spark):
     runs = spark.createDataFrame([(i, 0, 100) for i in range(60)], "run long, part long, size long")
     found = sharding.cuts(runs, 40).groupBy("shard").agg(F.sum("size").alias("size")).collect()

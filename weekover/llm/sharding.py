@@ -33,8 +33,9 @@ from weekover.llm.common import lookup, written
 RUN_BITS, HASH_BITS = 12, 64
 # Every row counts as much beside its text's bytes.
 ROW_BYTES = 16
-# Classes that the rows of a run are dealt to, so that no run is numbered by one task.
-CLASSES = 64
+# Least classes that the rows of a run are dealt to, so that no run is numbered by one task,
+# and rows of the table for each class: a group that holds a third of them has smaller classes.
+CLASSES, CLASS_ROWS = 64, 1 << 20
 SEARCH_STEPS = 64
 
 
@@ -175,7 +176,8 @@ def shards(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "
             left = HASH_BITS - row["part"]
             beginning = (row["spot"] >> left) << left
             divided.setdefault(row["part"], []).append(beginning)
-    classed = rows.withColumn("class", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(CLASSES)))
+    n_classes = max(CLASSES, -(-rows.count() // CLASS_ROWS))
+    classed = rows.withColumn("class", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_classes)))
     divided_rows = in_runs(classed, divided)
     sizes = divided_rows.groupBy("run", "part", "class").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     sizes = written(sizes, "run-sizes")
